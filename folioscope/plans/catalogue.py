@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from folioscope.plans import records
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**records.QUERIES}
+SQL: dict[str, str] = {**records.SQL}
