@@ -31,14 +31,15 @@ def consistent_text(df: DataFrame, text: str, form: str = "form", look_alikes: b
     tables = df.sparkSession.sparkContext.broadcast(driver_tables())
     rest = df.drop(form)
     schema = T.StructType([*rest.schema.fields, T.StructField(form, T.StringType())])
-    at = rest.columns.index(text)
+    names = list(rest.columns)
+    at = names.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = worker_mapper(tables)
         for b in batches:
             values = b.column(at).to_pylist()
             done = [None if v is None else d for v, d in zip(values, m.consistent(values, look_alikes))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(done, pa.string())], names=[*rest.columns, form])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(done, pa.string())], names=[*names, form])
 
     return rest.mapInArrow(work, schema)
 
