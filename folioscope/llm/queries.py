@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.llm.leaks import leaking_documents
 from folioscope.llm.same_look import consistent_text, look_alike_pairs
 from folioscope.llm.sentences import paragraph_sentences
 from folioscope.session import table
@@ -29,6 +30,19 @@ def p3_consistent(spark: SparkSession, d: str) -> DataFrame:
     return out.select("run_id", "doc_id", "form", F.length("text").alias("chars_before"), F.length("form").alias("chars_after"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p3_found, p3_consistent)}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every document that holds a leak of an evaluation item, and the item."""
+    return leaking_documents(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation items that leaked, with the number of documents that hold them."""
+    found = p6_found(spark, d)
+    items = table(spark, d, "eval_items").select("item_id", "task", "lang").distinct()
+    counts = found.groupBy("item_id").agg(F.count("*").alias("documents"))
+    return items.join(counts, "item_id").select("item_id", "task", "lang", "documents")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p3_found, p3_consistent, p6_found, p6_items)}
 
 SQL: dict[str, str] = {}
