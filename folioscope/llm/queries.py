@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.llm.abuse import CATEGORIES, abuse_scores, fit_on_labels
 from folioscope.llm.leaks import leaking_documents
 from folioscope.llm.same_look import consistent_text, look_alike_pairs
 from folioscope.llm.sentences import paragraph_sentences
@@ -43,6 +44,33 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
     return items.join(counts, "item_id").select("item_id", "task", "lang", "documents")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p3_found, p3_consistent, p6_found, p6_items)}
+def _scores(spark: SparkSession, d: str, keep: list[str] | None = None) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return abuse_scores(docs, fit_on_labels(docs, table(spark, d, "doc_labels")), keep=keep)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every document and category of content that it holds."""
+    flags = F.array(*[F.struct(F.lit(c).alias("category"), F.col(f"{c}_flag").alias("flag")) for c in CATEGORIES])
+    return _scores(spark, d).select("doc_id", F.inline(flags)).where("flag").select("doc_id", "category")
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The score of every document and category."""
+    return _scores(spark, d)
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and rates of each category per source; sources spelled otherwise count as one, null as (none)."""
+    source = F.coalesce(F.nullif(F.lower(F.trim("source")), F.lit("")), F.lit("(none)"))
+    by = _scores(spark, d, ["source"]).groupBy(source.alias("source_name"))
+    rates = [F.avg(F.col(f"{c}_flag").cast("double")).alias(f"{c}_rate") for c in CATEGORIES]
+    return by.agg(F.count("*").alias("documents"), *rates)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (p1_found, p3_found, p3_consistent, p6_found, p6_items, p8_found, p8_scores, p8_rates)
+}
 
 SQL: dict[str, str] = {}
