@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.abuse import CATEGORIES, abuse_scores, fit_on_labels
 from folioscope.llm.leaks import leaking_documents
+from folioscope.llm.mixing import mixture, share_report, shares_of, sized_documents
 from folioscope.llm.same_look import consistent_text, look_alike_pairs
 from folioscope.llm.sentences import paragraph_sentences
 from folioscope.session import table
@@ -44,6 +45,22 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
     return items.join(counts, "item_id").select("item_id", "task", "lang", "documents")
 
 
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, list]:
+    sizes = sized_documents(table(spark, d, "documents"))
+    shares = shares_of(sizes, table(spark, d, "mix_targets"))
+    return mixture(sizes, shares), shares
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Every document of a listed source with its tokens and how often it comes in the mixture."""
+    return _mixed(spark, d)[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of every listed source."""
+    return share_report(*_mixed(spark, d))
+
+
 def _scores(spark: SparkSession, d: str, keep: list[str] | None = None) -> DataFrame:
     docs = table(spark, d, "documents")
     return abuse_scores(docs, fit_on_labels(docs, table(spark, d, "doc_labels")), keep=keep)
@@ -70,7 +87,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p3_found, p3_consistent, p6_found, p6_items, p8_found, p8_scores, p8_rates)
+    for f in (p1_found, p3_found, p3_consistent, p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_scores, p8_rates)
 }
 
 SQL: dict[str, str] = {}
