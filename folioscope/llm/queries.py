@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.abuse import CATEGORIES, abuse_scores, fit_on_labels
 from folioscope.llm.leaks import leaking_documents
 from folioscope.llm.mixing import mixture, share_report, shares_of, sized_documents
+from folioscope.llm.percentiles import combine, percentiles, summarize
 from folioscope.llm.same_look import consistent_text, look_alike_pairs
 from folioscope.llm.sentences import paragraph_sentences
 from folioscope.session import table
@@ -20,6 +21,27 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return paragraph_sentences(table(spark, d, "runs"))
 
 
+PERCENTILES = [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
+COUNTS = ["error_count", "warning_count"]
+
+
+def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Exact percentiles of the counts per profile."""
+    whole = summarize(table(spark, d, "submissions"), ["profile_id"], COUNTS, key="id", error=0)
+    return percentiles(whole, ["profile_id"], PERCENTILES).select("profile_id", "metric", "q", "percentile", "n")
+
+
+def p2_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries of the counts per day of receipt and profile, within half a percent, to be combined at will."""
+    day = F.date_format("received_at", "yyyy-MM-dd")
+    return summarize(table(spark, d, "submissions"), ["profile_id"], COUNTS, key="id", part=day)
+
+
+def p2_combined(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles from the daily summaries combined: the bucket bounds hold the true value."""
+    return percentiles(combine([p2_summaries(spark, d)], ["profile_id"]), ["profile_id"], PERCENTILES)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of text runs of one document that look the same though their characters differ."""
     return look_alike_pairs(table(spark, d, "runs").where("kind = 'text'"), "doc_id", "run_id", "text")
@@ -87,7 +109,18 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p3_found, p3_consistent, p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_scores, p8_rates)
+    for f in (p1_found, p2_percentiles, p2_summaries, p2_combined, p3_found, p3_consistent, p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_scores, p8_rates)
 }
 
-SQL: dict[str, str] = {}
+_COUNTS = """
+with s as (select distinct id, profile_id, error_count, warning_count from submissions),
+l as (select profile_id, 'error_count' as metric, error_count as v from s where error_count is not null
+      union all select profile_id, 'warning_count', warning_count from s where warning_count is not null),
+r as (select profile_id, metric, v, row_number() over (partition by profile_id, metric order by v) as k,
+             count(*) over (partition by profile_id, metric) as n from l)
+select r.profile_id, r.metric, q.q, cast(r.v as double) as percentile, r.n
+from r join (values (0.01), (0.1), (0.25), (0.5), (0.75), (0.9), (0.99)) q(q)
+on r.k = greatest(1, cast(ceil(round(q.q * r.n, 6)) as bigint))
+"""
+
+SQL: dict[str, str] = {"p2_percentiles": _COUNTS}
