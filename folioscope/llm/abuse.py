@@ -8,6 +8,7 @@ document's probability is that of its strongest sentence, and training assigns t
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -59,8 +60,9 @@ class Bags:
     word: np.ndarray  # hash per occurrence
     sentence: np.ndarray
     text: np.ndarray  # text of each sentence
-    cps: np.ndarray  # letters, and the start of each occurrence in them
+    cps: np.ndarray  # letters, and where each occurrence lies in them
     start: np.ndarray
+    stop: np.ndarray | None = None  # by default the next start
 
 
 class Reader:
@@ -87,6 +89,33 @@ class Reader:
         for c in (*range(0x41, 0x590), *range(0x1E00, 0x2000), *range(0xFF21, 0xFF3B)):
             self.capital[c] = chr(c).isupper()
 
+    def many(self, texts: list[str | None], at_once: int = 500) -> Bags:
+        """The bags of any number of texts, read a few at a time; letters are kept for one occurrence per word."""
+        known: dict[int, np.ndarray] = {}
+        word, sentence, text, sents = [], [], [], 0
+        for a in range(0, len(texts), at_once):
+            b = self.bags(texts[a : a + at_once])
+            stop = np.append(b.start[1:], len(b.cps))
+            new, head = np.unique(b.word, return_index=True)
+            for h, k in zip(new.tolist(), head.tolist()):
+                if h not in known:
+                    known[h] = b.cps[b.start[k] : stop[k]].copy()
+            word.append(b.word)
+            sentence.append(b.sentence + sents)
+            text.append(b.text + a)
+            sents += len(b.text)
+        every = np.array(list(known), np.uint64)
+        order = np.argsort(every)
+        letters = [known[h] for h in every[order].tolist()]
+        size = np.array([len(x) for x in letters], np.int64)
+        start = np.cumsum(size) - size
+        words = np.concatenate(word) if word else np.zeros(0, np.uint64)
+        place = np.searchsorted(every[order], words)
+        out = Bags(words, np.concatenate(sentence) if word else np.zeros(0, np.int64), np.concatenate(text) if text else np.zeros(0, np.int32),
+                   np.concatenate(letters) if letters else np.zeros(0, np.int32), start[place] if len(words) else np.zeros(0, np.int64))
+        out.stop = out.start + (size[place] if len(words) else 0)
+        return out
+
     def bags(self, texts: list[str | None]) -> Bags:
         """Sentences and words of the texts.
 
@@ -156,7 +185,7 @@ class Reader:
 
     def grams(self, b: Bags, pick: np.ndarray, buckets: int, most: int = 20) -> tuple[np.ndarray, np.ndarray]:
         """(word, bucket): the whole word and its character n-grams, for the occurrences *pick*."""
-        stop = np.append(b.start[1:], len(b.cps))[pick]
+        stop = (np.append(b.start[1:], len(b.cps)) if b.stop is None else b.stop)[pick]
         begin = b.start[pick]
         size = np.minimum(stop - begin, most)
         grid = np.zeros((len(pick), most + 2), np.uint64)
@@ -225,7 +254,7 @@ def train(texts: list[str], judged: np.ndarray, rule: TrainRule = TrainRule(), r
     With fewer than two texts of a category that category never reaches its threshold.
     """
     reader = reader or Reader(Mapper(driver_tables()))
-    b = reader.bags(texts)
+    b = reader.many(texts)
     size = len(texts)
     rng = np.random.default_rng(7)
     held = rng.random(size) < rule.held_out
@@ -433,13 +462,24 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, rule: TrainRule = TrainRul
     """A model from the judgements in *labels* on the texts in *docs*.
 
     Repeated rows count once, rows with a null judgement not at all; raters of one text are averaged. At most
-    rule.labels judgements are used, a sample by hash that is the same on every run.
+    rule.labels judgements are used, a sample by hash that is the same on every run. Without any judgement no document
+    is flagged.
     """
     one = labels.select("label_id", "doc_id", *CATEGORIES).distinct().where(" and ".join(f"{c} is not null" for c in CATEGORIES))
     some = one.orderBy(F.xxhash64("label_id"), "label_id", "doc_id").limit(rule.labels)
     mean = some.groupBy("doc_id").agg(*[F.avg(c).alias(c) for c in CATEGORIES])
-    pick = docs.select("doc_id", "text").where("text is not null").join(mean, "doc_id").orderBy("doc_id").toPandas()
-    return train(pick["text"].tolist(), pick[list(CATEGORIES)].to_numpy(float), rule)
+    pick = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(mean), "doc_id")  # at most rule.labels rows
+    tables = docs.sparkSession.sparkContext.broadcast(driver_tables())
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(5)))), key=lambda r: (r[0], r[1]))
+        judged = np.array([r[2:] for r in rows], float).reshape(-1, 3)
+        model = train([r[1] for r in rows], judged, rule, Reader(worker_mapper(tables)))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # one task holds the bounded sample, so that the driver need not
+    row = pick.repartition(1).mapInArrow(work, "model binary").first()
+    return pickle.loads(row["model"]) if row else train([], np.zeros((0, 3)), rule)
 
 
 _READERS: dict[str, tuple[Reader, Model]] = {}
