@@ -137,12 +137,15 @@ def validate(c: Corpus, profile: Profile | None = None, codes: list[str] | None
     return found.drop("sec")
 
 
+def _coded(items: Column, code: str) -> Column:
+    return F.transform(items, lambda x: F.struct(F.lit(code).alias("check_code"), x["severity"].alias("severity"), x["location"].alias("location"), x["detail"].alias("detail")))
+
+
 def _scan(df: DataFrame, rules: list[Rule], profile: Profile) -> DataFrame:
     sec = {"heads": "sec_id", "blocks": "container_id"}.get(rules[0].relation)
     parts = []
     for r in rules:
-        item = r.local(profile.of(r.code))
-        parts.append(F.transform(item, lambda x, code=r.code: F.struct(F.lit(code).alias("check_code"), x["severity"].alias("severity"), x["location"].alias("location"), x["detail"].alias("detail"))))
+        parts.append(_coded(r.local(profile.of(r.code)), r.code))
     found = F.flatten(F.array(*parts)) if len(parts) > 1 else parts[0]
     where = F.col(sec) if sec else F.lit(None).cast("string")
     return df.select("doc_id", where.alias("sec"), F.inline(found)).select(*COLUMNS)

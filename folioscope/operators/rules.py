@@ -846,7 +846,7 @@ def _r13(p: dict) -> Column:
 def diagnose_doi(v: Column) -> Column:
     """What is wrong with a DOI: blanks, a link around it, the prefix, the slash or the rest; null if nothing."""
     return (
-        F.when(v == "", None)
+        F.when(v.isNull() | (v == ""), None)
         .when(v != strip(v), "outer blanks")
         .when(v.rlike(r"[ \t]"), "inner blanks")
         .when(v.rlike(r"(?i)^(?:https?://)?(?:dx\.)?doi\.org/10\.\d{4,9}/\S+$"), "link")
@@ -860,7 +860,7 @@ def diagnose_doi(v: Column) -> Column:
 def diagnose_url(v: Column) -> Column:
     """What is wrong with a URL: blanks, slips in the scheme, the scheme or the rest; null if nothing."""
     return (
-        F.when(v == "", None)
+        F.when(v.isNull() | (v == ""), None)
         .when(v != strip(v), "outer blanks")
         .when(v.rlike(r"[ \t]"), "inner blanks")
         .when(v.rlike(r"(?i)^https?//"), "no colon")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.plans import records
+from folioscope.plans import records, rules
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**records.QUERIES}
-SQL: dict[str, str] = {**records.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**records.QUERIES, **rules.QUERIES}
+SQL: dict[str, str] = {**records.SQL, **rules.SQL}
