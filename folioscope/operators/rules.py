@@ -1244,7 +1244,7 @@ def _u02(p: dict) -> Column:
 @local("U.03", "blocks")
 def _u03(p: dict) -> Column:
     """A full stop behind a unit; г. after 1500 or more is a year, с. a page."""
-    found = find_all("text", rf"\d+\s?(?:{_UNITS})\.{_EDGE}")
-    unit = lambda m: F.regexp_extract(m, r"^\d+\s?(.*)\.$", 1)
+    found = find_all("text", rf"\d+[\s\u00a0]?(?:{_UNITS})\.{_EDGE}")
+    unit = lambda m: F.regexp_extract(m, r"^\d+[\s\u00a0]?(.*)\.$", 1)
     year = lambda m: (unit(m) == "г") & (F.regexp_extract(m, r"^(\d+)", 1).try_cast("bigint") >= 1500)
     return F.when(_is("paragraph"), many(F.filter(found, lambda m: (unit(m) != "с") & ~year(m)), "warning", _par())).otherwise(_none(p))
