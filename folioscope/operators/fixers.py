@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from folioscope.functions.text import RIGHT, blank, collapse, strip, text_of
 from folioscope.operators import rules as R
 from folioscope.operators.engine import Profile
+from folioscope.session import materialize
 from folioscope.sources.corpus import Corpus
 
 
@@ -67,12 +68,13 @@ def fix(c: Corpus, profile: Profile | None = None, codes: list[str] | None = Non
         p = profile.of(code)
         if f.columns:
             new = f.columns(p)
-            after = df.withColumns({f"__{k}": v for k, v in new.items()})
+            # written once: the log and the next fixer read it, and chained rewrites of nested columns stay small plans
+            after = materialize(df.withColumns({f"__{k}": v for k, v in new.items()}), f"fix-{code}")
             moved = reduce(lambda a, b: a | b, [~F.col(k).eqNullSafe(F.col(f"__{k}")) for k in new if k != "margins_mm"] + [F.to_json(k) != F.to_json(f"__{k}") for k in new if k == "margins_mm"])
             logs.append(after.where(moved).select("doc_id", F.lit(code).alias("fixer_code"), F.col(KEYS[f.frame]).cast("string").alias("location")))
             df = after.select(*[F.col(f"__{k}").alias(k) if k in new else F.col(k) for k in df.columns])
         else:
-            after = f.whole(df, p)
+            after = materialize(f.whole(df, p), f"fix-{code}")
             gone = df.join(after.select("doc_id", KEYS[f.frame]), ["doc_id", KEYS[f.frame]], "left_anti")
             logs.append(gone.select("doc_id", F.lit(code).alias("fixer_code"), F.col(KEYS[f.frame]).cast("string").alias("location")))
             df = after
