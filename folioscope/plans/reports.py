@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import bibliography as B
 from folioscope.operators import reports as R
-from folioscope.operators.engine import Profile, validate
+from folioscope.operators.engine import Profile, validate, validate_in_parts
 from folioscope.operators.fixers import fix
+from folioscope.operators.rules import OFF
 from folioscope.plans.rules import _CURRENT
 from folioscope.session import table
 from folioscope.sources.corpus import from_tables
@@ -131,8 +132,9 @@ def import_markdown(spark: SparkSession, d: str) -> DataFrame:
 
 
 def import_states(spark: SparkSession, d: str) -> DataFrame:
-    c = from_states(spark, table(spark, d, "builder_states"))
-    return validate(c, codes=["S.03", "H.05", "H.06", "S.07", "B.01", "I.01"]).groupBy("check_code").agg(F.count("*").alias("violations"))
+    """Violations of all enabled rules in the saved states, counted per rule."""
+    c = from_states(spark, table(spark, d, "builder_states")).written()
+    return validate_in_parts(c, Profile(disabled=set(OFF))).groupBy("check_code").agg(F.count("*").alias("violations"))
 
 
 def export_markdown(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import text_of
-from folioscope.session import table
+from folioscope.session import materialize, table
 
 RUN = "struct<run_ord:int,kind:string,text:string,bold:boolean,italic:boolean,font:string,size_pt:double,color_hex:string,target_id:string,prefix:string,source_id:string,pages:string>"
 CELL = "struct<text:string,size_pt:double>"
@@ -49,6 +49,10 @@ class Corpus:
             self.made[name] = self.relation(name).persist()
         return replace(self, made=dict(self.made))
 
+    def written(self) -> Corpus:
+        """The same corpus with its frames written once, for runs of all rules, each of which reads them anew."""
+        return Corpus(**{n: materialize(getattr(self, n), n) for n in SCHEMAS})
+
 
 def _heads(c: Corpus) -> DataFrame:
     return c.secs.withColumn("text", text_of("heading"))

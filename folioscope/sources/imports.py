@@ -5,15 +5,17 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from dataclasses import replace
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import strip
+from folioscope.functions.text import blank, strip
+from folioscope.operators.bibliography import entry_fields, entry_type
 from folioscope.operators.nested import STATE_NODES, tagged_rows, typed_table
-from folioscope.sources.corpus import RUN, Corpus, make
+from folioscope.sources.corpus import CELL, RUN, Corpus, make
 
 _RUN_NAMES = [p.split(":")[0] for p in RUN[7:-1].split(",")]
 
@@ -23,10 +25,21 @@ def _run(**values):  # noqa: ANN003, ANN202
     return F.struct(*[(values[n] if n in values else F.lit(None)).cast(kinds[n]).alias(n) for n in _RUN_NAMES])
 
 
+def _cell_rows(rows: Column) -> Column:
+    """Rows of texts as rows of cells; a state holds no size of its cells."""
+    return F.transform(rows, lambda row: F.transform(row, lambda t: F.struct(t.alias("text"), F.lit(None).cast("double").alias("size_pt")))).cast(f"array<array<{CELL}>>")
+
+
 def from_states(spark: SparkSession, states: DataFrame, key: str = "state_id", payload: str = "payload", order: str | None = "saved_at") -> Corpus:
-    """Documents from saved editor states; the state is the document. A block's old `text` counts as one run."""
+    """Documents from saved editor states; the state is the document. A block's old `text` counts as one run.
+
+    The references of bibliography sections, at any depth, become the entries ref-1, ref-2, ... of the document.
+    Numbered formulas are counted through. The latex of an inline formula is the text of its run, which no rule reads.
+    A target that is the `id` of a section stands for that section.
+    """
     rows = tagged_rows(states, key, payload, order)
-    s, b, r = (typed_table(rows, key, n) for n in STATE_NODES)
+    nodes = (STATE_NODES[0], replace(STATE_NODES[1], columns=STATE_NODES[1].columns | {"meta": "string", "numbered": "boolean"}), STATE_NODES[2])
+    s, b, r = (typed_table(rows, key, n) for n in nodes)
     path = F.transform(F.sequence(F.lit(1), F.size(F.split("node_path", "/"))), lambda k: F.array_join(F.slice(F.split("node_path", "/"), 1, k), "/"))
     head = F.array(_run(kind=F.lit("text"), text=F.coalesce("heading", F.lit(""))))
     w = Window.partitionBy(key).orderBy("sort")
@@ -35,16 +48,30 @@ def from_states(spark: SparkSession, states: DataFrame, key: str = "state_id", p
         F.col(key).alias("doc_id"), F.col("node_path").alias("sec_id"), F.nullif("parent_path", F.lit("")).alias("parent_id"), F.row_number().over(w).alias("sec_ord"),
         F.size(F.split("node_path", "/")).alias("level"), path.alias("path"), head.alias("heading"), "disabled_checks",
     )
-    runs = r.groupBy(key, "parent_path").agg(F.sort_array(F.collect_list(_run(run_ord=F.col("place"), kind=F.coalesce("kind", F.lit("text")), text=F.col("text"), bold=F.col("bold"), target_id=F.col("target_id"), prefix=F.col("prefix"), source_id=F.col("source_id"), pages=F.col("pages")))).alias("runs"))
+    refs = s.where("is_bibliography").select(key, sort.alias("sort"), F.posexplode("references").alias("at", "ref")).where(~blank("ref"))
+    ordinal = F.row_number().over(Window.partitionBy(key).orderBy("sort", "at"))
+    refs = refs.select(F.col(key).alias("doc_id"), ordinal.alias("ordinal"), strip("ref").alias("raw"))
+    entries = refs.select(
+        "doc_id", "ordinal", F.concat(F.lit("ref-"), "ordinal").alias("entry_id"), entry_type(F.col("raw")).alias("entry_type"),
+        F.map_concat(F.create_map(F.lit("raw"), F.col("raw")), entry_fields(F.col("raw"))).alias("fields"),
+    )
+    named = s.where("id is not null").groupBy(key, F.col("id").alias("target_id")).agg(F.min_by("node_path", sort).alias("target_path"))
+    r = r.join(named, [key, "target_id"], "left").withColumn("target_id", F.coalesce("target_path", "target_id"))
+    text = F.when(F.col("kind") == "formula", F.coalesce("text", "latex")).otherwise(F.col("text"))
+    runs = r.groupBy(key, "parent_path").agg(F.sort_array(F.collect_list(_run(run_ord=F.col("place"), kind=F.coalesce("kind", F.lit("text")), text=text, bold=F.col("bold"), target_id=F.col("target_id"), prefix=F.col("prefix"), source_id=F.col("source_id"), pages=F.col("pages")))).alias("runs"))
     old = F.array(_run(run_ord=F.lit(0), kind=F.lit("text"), text=F.coalesce(F.when(F.col("kind").isin("figure", "table"), F.col("caption")), F.col("text"))))
     v = Window.partitionBy(key).orderBy("sort")
+    counted = (F.col("kind") == "formula") & ~blank("latex") & F.coalesce("numbered", F.lit(True))
+    number = F.when(counted, F.count_if(counted).over(v).cast("string"))
+    headers = F.when(F.size("headers") > 0, F.array("headers")).when(F.col("headers").isNotNull(), F.array().cast("array<array<string>>"))
     blocks = (
-        b.withColumn("sort", sort).withColumn("block_ord", F.row_number().over(v)).join(runs.withColumnRenamed("parent_path", "node_path"), [key, "node_path"], "left")
+        b.withColumn("sort", sort).withColumns({"block_ord": F.row_number().over(v), "number": number}).join(runs.withColumnRenamed("parent_path", "node_path"), [key, "node_path"], "left")
         .select(F.col(key).alias("doc_id"), F.col("node_path").alias("block_id"), "block_ord", F.col("parent_path").alias("container_id"), F.col("kind").alias("block_type"),
-                F.col("latex"), F.col("ordered"), F.col("items"), F.coalesce("runs", old).alias("runs"))
+                F.get_json_object("meta", "$.dpi").try_cast("int").alias("dpi"), F.col("latex"), "number", F.col("ordered"), F.col("items"),
+                _cell_rows(headers).alias("headers"), _cell_rows(F.col("rows")).alias("rows"), F.coalesce("runs", old).alias("runs"))
     )
     docs = states.select(F.col(key).alias("doc_id"), F.get_json_object(payload, "$.title").alias("title"), F.get_json_object(payload, "$.year").try_cast("int").alias("work_year")).where("doc_id is not null").dropDuplicates(["doc_id"])
-    return make(spark, docs=docs, secs=secs, blocks=blocks)
+    return make(spark, docs=docs, secs=secs, blocks=blocks, entries=entries)
 
 
 def markdown_lines(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -1,10 +1,12 @@
+import json
 import zipfile
 
 from test_rules import corpus, par, sec
 
 from folioscope.operators import bibliography as B
 from folioscope.operators import reports as R
-from folioscope.sources.imports import from_markdown, from_packages, to_html, to_markdown
+from folioscope.operators.engine import validate
+from folioscope.sources.imports import from_markdown, from_packages, from_states, to_html, to_markdown
 from folioscope.streaming.check import check_stream, submissions_per_window
 from pyspark.sql import functions as F
 
@@ -87,3 +89,20 @@ def test_streams(spark, tmp_path):
     assert {r["check_code"] for r in spark.sql("select * from found").collect()} == {"T.03", "T.08"}
     s = spark.createDataFrame([(1, "p", "2024-01-02 00:00:00", 3), (1, "p", "2024-01-02 00:00:00", 3), (2, "p", "2024-01-03 00:00:00", None)], "id long, profile_id string, created_at string, error_count int").withColumn("created_at", F.col("created_at").cast("timestamp"))
     assert [(r["submissions"], r["errors"]) for r in submissions_per_window(s).collect()] == [(2, 3)]
+
+
+def test_states_keep_cells_references_and_dpi(spark):
+    table = {"kind": "table", "caption": "T", "headers": ["a", ""], "rows": [["1", " "], ["", "2"]]}
+    blank = {"kind": "table", "caption": "T", "headers": [], "rows": [[" "]]}
+    figure = {"kind": "figure", "caption": "F", "meta": {"dpi": 79, "runs": [{"kind": "text", "text": "n"}]}}
+    runs = [{"kind": "citation", "source_id": "ref-2"}, {"kind": "citation", "source_id": "ref-9"}, {"kind": "xref", "target_id": "sec-7"}, {"kind": "formula", "latex": "x^2"}]
+    inner = {"id": "sec-7", "heading": "B", "is_bibliography": True, "references": ["Smith, J. K. Site. 2021. https://a.b/c", " ", "short"]}
+    state = {"title": "t", "sections": [{"heading": "A", "blocks": [table, blank, figure, {"kind": "formula", "latex": "y", "numbered": True}, {"kind": "formula", "latex": "z", "numbered": False}, {"kind": "paragraph", "runs": runs}], "subsections": [inner]}]}
+    c = from_states(spark, spark.createDataFrame([(1, 1, json.dumps(state)), (2, 1, None)], "state_id long, saved_at int, payload string"))
+    assert [(r["ordinal"], r["entry_id"], r["entry_type"], r["fields"].get("year")) for r in c.entries.orderBy("ordinal").collect()] == [(1, "ref-1", "web", "2021"), (2, "ref-2", "book", None)]
+    b = {r["block_id"]: r for r in c.blocks.collect()}
+    assert [[x["text"] for x in row] for row in b["s0/b0"]["headers"] + b["s0/b0"]["rows"]] == [["a", ""], ["1", " "], ["", "2"]]
+    assert b["s0/b2"]["dpi"] == 79 and (b["s0/b3"]["number"], b["s0/b4"]["number"]) == ("1", None) and b["s0/b5"]["runs"][3]["text"] == "x^2"
+    v = {(r["check_code"], r["location"], r["detail"]) for r in validate(c, codes=["B.07", "B.10", "I.08", "R.05", "R.04", "C.06", "M.01"]).collect()}
+    assert v >= {("B.07", "table[s0/b0]", "0,1"), ("B.10", "table[s0/b1]", ""), ("I.08", "figure[s0/b2]", "79"), ("R.05", "bibliography[ref-1]", "1"), ("R.04", "bibliography[ref-2]", "length"), ("M.01", "formula[s0/b4]", "")}
+    assert [x for x in v if x[0] in ("C.06", "M.01")] and {x[2] for x in v if x[0] == "C.06"} == {"citation ref-9"} and not [x for x in v if x[:2] == ("R.05", "bibliography[ref-2]")]
