@@ -10,7 +10,7 @@ from folioscope.operators import reports as R
 from folioscope.operators.engine import Profile, validate, validate_in_parts
 from folioscope.operators.fixers import fix
 from folioscope.operators.rules import OFF
-from folioscope.plans.rules import _CURRENT
+from folioscope.plans.rules import _CURRENT, PARAMS
 from folioscope.session import table
 from folioscope.sources.corpus import from_tables
 from folioscope.sources.imports import from_markdown, from_states, to_html, to_markdown
@@ -23,6 +23,11 @@ def _violations(spark: SparkSession, d: str, spacing: float = 1.5) -> DataFrame:
     return validate(from_tables(spark, d), Profile(params={"T.01": {"font": "Serif One"}, "T.03": {"line_spacing": spacing}}), codes=_LAYOUT, suppress=False)
 
 
+def _every_violation(spark: SparkSession, d: str) -> DataFrame:
+    """What rule_union finds: violations of all enabled rules, without what sections disable."""
+    return validate_in_parts(from_tables(spark, d).written(), Profile(disabled=set(OFF), params=PARAMS))
+
+
 def document_stats(spark: SparkSession, d: str) -> DataFrame:
     return R.document_stats(from_tables(spark, d))
 
@@ -47,6 +52,21 @@ def top_codes(spark: SparkSession, d: str) -> DataFrame:
     return R.top_codes(_violations(spark, d))
 
 
+def severity_pivot_all(spark: SparkSession, d: str) -> DataFrame:
+    """severity_pivot over all enabled rules; the one with SQL is over the layout rules."""
+    return R.severity_pivot(_every_violation(spark, d))
+
+
+def category_rollup_all(spark: SparkSession, d: str) -> DataFrame:
+    """category_rollup over all enabled rules; the one with SQL is over the layout rules."""
+    return R.category_rollup(_every_violation(spark, d))
+
+
+def top_codes_all(spark: SparkSession, d: str) -> DataFrame:
+    """top_codes over all enabled rules; the one with SQL is over the layout rules."""
+    return R.top_codes(_every_violation(spark, d))
+
+
 def violation_diff(spark: SparkSession, d: str) -> DataFrame:
     """Violations fixed and introduced when the profile asks for another line spacing."""
     return R.violation_diff(_violations(spark, d), _violations(spark, d, 1.15))
@@ -109,8 +129,8 @@ def autofill_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fix_log(spark: SparkSession, d: str) -> DataFrame:
-    """What the paragraph fixers change, counted per fixer."""
-    _, log = fix(from_tables(spark, d), codes=["T.02", "T.03", "T.04", "T.05", "T.08", "T.12", "U.01"])
+    """What the fixers change, counted per fixer."""
+    _, log = fix(from_tables(spark, d))
     return log.groupBy("fixer_code").agg(F.count("*").alias("changes"))
 
 
@@ -157,7 +177,7 @@ def window_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL = (
-    document_stats, section_stats, entry_types, severity_pivot, category_rollup, top_codes, violation_diff, suppress_disabled, profile_values, history_recent,
+    document_stats, section_stats, entry_types, severity_pivot, category_rollup, top_codes, severity_pivot_all, category_rollup_all, top_codes_all, violation_diff, suppress_disabled, profile_values, history_recent,
     history_by_profile, states_retained, states_changed, history_delete, find_replace_counts, bib_classify, bib_fields, autofill_sources, fix_log, fix_spacing,
     scan_lines, import_markdown, import_states, export_markdown, export_html, stream_check, window_counts,
 )

@@ -106,3 +106,20 @@ def test_states_keep_cells_references_and_dpi(spark):
     v = {(r["check_code"], r["location"], r["detail"]) for r in validate(c, codes=["B.07", "B.10", "I.08", "R.05", "R.04", "C.06", "M.01"]).collect()}
     assert v >= {("B.07", "table[s0/b0]", "0,1"), ("B.10", "table[s0/b1]", ""), ("I.08", "figure[s0/b2]", "79"), ("R.05", "bibliography[ref-1]", "1"), ("R.04", "bibliography[ref-2]", "length"), ("M.01", "formula[s0/b4]", "")}
     assert [x for x in v if x[0] in ("C.06", "M.01")] and {x[2] for x in v if x[0] == "C.06"} == {"citation ref-9"} and not [x for x in v if x[:2] == ("R.05", "bibliography[ref-2]")]
+
+
+def test_reports_cover_rules_and_fixers_beyond_layout(spark, monkeypatch):
+    from folioscope.operators import engine
+    from folioscope.plans import reports
+    from test_fixers import sample
+
+    c = corpus(spark, docs=(1, 2), blocks=[par(1, "a", line_spacing=1.0)], entries=[{"doc_id": 2, "ordinal": 1, "entry_id": "r", "fields": {"raw": "x"}}])
+    monkeypatch.setattr(reports, "from_tables", lambda spark, d: c)
+    monkeypatch.setattr(engine, "RULES", {k: engine.RULES[k] for k in ("T.03", "R.04", "R.05", "R.11")})
+    pivot = {r["doc_id"]: (r["errors"], r["warnings"]) for r in reports.severity_pivot_all(spark, "").collect()}
+    assert pivot == {1: (1, 1), 2: (1, 2)}
+    assert {r["category"] for r in reports.category_rollup_all(spark, "").collect()} == {"R", "T", None}
+    assert [r["check_code"] for r in reports.top_codes_all(spark, "").collect()] == ["R.11", "R.04", "R.05", "T.03"]
+    monkeypatch.setattr(reports, "from_tables", lambda spark, d: sample(spark))
+    log = {r["fixer_code"] for r in reports.fix_log(spark, "").collect()}
+    assert log >= {"T.01", "T.02", "T.07", "H.04", "F.01", "L.04"}
