@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 from xml.etree import ElementTree
 
@@ -12,11 +12,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import blank, strip
+from folioscope.functions.text import blank, collapse, strip
 from folioscope.operators.bibliography import entry_fields, entry_type
 from folioscope.operators.nested import STATE_NODES, tagged_rows, typed_table
 from folioscope.sources.corpus import CELL, RUN, Corpus, make
 
+BIBLIOGRAPHY_HEADINGS = ("список использованных источников", "список литературы", "библиографический список", "список источников")
 _RUN_NAMES = [p.split(":")[0] for p in RUN[7:-1].split(",")]
 
 
@@ -122,19 +123,71 @@ def from_markdown(spark: SparkSession, df: DataFrame, key: str = "doc_id", text:
     return make(spark, docs=df.select(F.col(key).alias("doc_id")).distinct(), secs=secs, blocks=blocks)
 
 
+def _inline(runs: Column, bold: str, italic: str, both: str, formula: str, safe: Callable[[Column], Column]) -> Column:
+    """The inline elements of a block as one string: styled text, formulas, citations and references."""
+
+    def shown(r: Column) -> Column:
+        t = safe(F.coalesce(r["text"], F.lit("")))
+        b, i = (F.coalesce(r[n], F.lit(False)) & (t != "") for n in ("bold", "italic"))
+        styled = F.when(b & i, F.format_string(both, t)).when(b, F.format_string(bold, t)).when(i, F.format_string(italic, t)).otherwise(t)
+        source, pages, target, prefix = (F.coalesce(r[n], F.lit("")) for n in ("source_id", "pages", "target_id", "prefix"))
+        cited = F.concat(F.lit("["), source, F.when(pages != "", F.concat(F.lit(", с. "), pages)).otherwise(""), F.lit("]"))
+        return (
+            F.when(r["kind"] == "formula", F.format_string(formula, t)).when(r["kind"] == "citation", safe(cited))
+            .when(r["kind"] == "xref", safe(F.concat(prefix, F.lit("[→"), target, F.lit("]")))).otherwise(styled)
+        )
+
+    return F.coalesce(F.array_join(F.transform(runs, shown), ""), F.lit(""))
+
+
+def _source() -> Column:
+    """The description of an entry, else its fields."""
+    f = F.col("fields")
+    return F.coalesce(F.when(~blank(f["raw"]), f["raw"]), F.array_join(F.map_values(F.map_filter(f, lambda k, v: k != "raw")), ". "), F.lit(""))
+
+
+def _exported(c: Corpus, head: Column, block: Column, entry: Callable[[Column, Column], Column], around: tuple[str, str] = ("", "")) -> DataFrame:
+    """(doc_id, sec_ord, o, id, x) of headings, blocks and the bibliography, which follows its section or ends the document."""
+    heads = c.relation("heads")
+    h = heads.select("doc_id", "sec_ord", F.lit(-1).alias("o"), F.col("sec_id").alias("id"), head.alias("x"))
+    order = heads.select("doc_id", F.col("sec_id").alias("container_id"), "sec_ord")
+    # rendered before the join, so that strings and not runs are moved
+    b = c.relation("blocks").select("doc_id", "container_id", F.col("block_ord").alias("o"), F.col("block_id").alias("id"), block.alias("x")).where("x is not null")
+    b = b.join(order, ["doc_id", "container_id"], "left").select("doc_id", F.coalesce("sec_ord", F.lit(0)).alias("sec_ord"), "o", "id", "x")
+    place = heads.where(collapse("text").isin(*BIBLIOGRAPHY_HEADINGS)).groupBy("doc_id").agg(F.min("sec_ord").alias("sec_ord"))
+    last = F.lit(2**31 - 1)
+    items = F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "entry_id", _source().alias("x")))), lambda r, i: entry(r["x"], i + 1))
+    e = c.relation("entries").groupBy("doc_id").agg(F.concat(F.lit(around[0]), F.array_join(items, "\n"), F.lit(around[1])).alias("x"))
+    e = e.join(place, "doc_id", "left").select("doc_id", F.coalesce("sec_ord", last).alias("sec_ord"), last.alias("o"), F.lit("").alias("id"), "x")
+    return h.unionByName(b).unionByName(e)
+
+
 def to_markdown(c: Corpus) -> DataFrame:
-    """(doc_id, line_no, line): documents as lines of Markdown, in document order, ready to be written as text."""
-    h = c.relation("heads").select("doc_id", F.col("sec_id"), F.col("sec_ord"), F.lit(0).alias("o"), F.concat(F.repeat(F.lit("#"), F.least("level", F.lit(6))), F.lit(" "), "text").alias("line"))
-    order = c.relation("heads").select("doc_id", F.col("sec_id").alias("container_id"), "sec_ord")
-    t = F.col("text")
-    items = F.transform("items", lambda x, i: F.concat(F.when(F.col("ordered"), F.concat((i + 1).cast("string"), F.lit(". "))).otherwise("- "), x))
-    line = (
-        F.when(F.col("block_type") == "list", F.array_join(items, "\n")).when(F.col("block_type") == "figure", F.concat(F.lit("!["), t, F.lit("]()")))
-        .when(F.col("block_type") == "formula", F.concat(F.lit("$$"), F.coalesce("latex", F.lit("")), F.lit("$$"))).otherwise(t)
+    """(doc_id, line_no, line): documents as lines of Markdown, in document order, ready to be written as text.
+
+    A list, a table or the bibliography is one row of several lines.
+    """
+    t = _inline(F.col("runs"), "**%s**", "*%s*", "***%s***", "$%s$", lambda x: x)
+    items = F.transform("items", lambda x, i: F.concat(F.when(F.col("ordered"), F.concat((i + 1).cast("string"), F.lit(". "))).otherwise("- "), F.coalesce(x, F.lit(""))))
+
+    def line(cells: Column) -> Column:
+        texts = F.transform(cells, lambda x: F.replace(F.regexp_replace(F.coalesce(x["text"], F.lit("")), r"\s*[\r\n]+\s*", " "), F.lit("|"), F.lit("\\|")))
+        return F.concat(F.lit("| "), F.array_join(texts, " | "), F.lit(" |"))
+
+    no = F.array().cast(f"array<array<{CELL}>>")
+    headers, rows = F.coalesce("headers", no), F.coalesce("rows", no)
+    rule = F.transform(F.slice(headers, 1, 1), lambda row: F.concat(F.lit("|"), F.array_join(F.transform(row, lambda x: F.lit("---")), "|"), F.lit("|")))
+    grid = F.concat(F.transform(F.slice(headers, 1, 1), line), rule, F.transform(F.filter(headers, lambda row, i: i > 0), line), F.transform(rows, line))
+    plain = _inline(F.col("runs"), "%s", "%s", "%s", "$%s$", lambda x: x)
+    table = F.concat_ws("\n\n", F.when(plain != "", F.concat(F.lit("**"), plain, F.lit("**"))), F.when(F.size(grid) > 0, F.array_join(grid, "\n")))
+    block = (
+        F.when((F.col("block_type") == "list") & F.col("items").isNotNull(), F.array_join(items, "\n")).when(F.col("block_type") == "figure", F.concat(F.lit("!["), plain, F.lit("]()")))
+        .when(F.col("block_type") == "formula", F.concat(F.lit("$$"), F.coalesce("latex", F.lit("")), F.lit("$$"))).when(F.col("block_type") == "table", table).otherwise(t)
     )
-    b = c.relation("blocks").join(order, ["doc_id", "container_id"], "left").select("doc_id", F.col("container_id").alias("sec_id"), F.coalesce("sec_ord", F.lit(0)).alias("sec_ord"), F.col("block_ord").alias("o"), line.alias("line"))
-    w = Window.partitionBy("doc_id").orderBy("sec_ord", "o", "sec_id", "line")
-    return h.unionByName(b).select("doc_id", F.row_number().over(w).alias("line_no"), "line")
+    head = F.concat(F.repeat(F.lit("#"), F.least("level", F.lit(6))), F.lit(" "), "text")
+    x = _exported(c, head, block, lambda s, n: F.concat(n.cast("string"), F.lit(". "), s))
+    w = Window.partitionBy("doc_id").orderBy("sec_ord", "o", "id", "x")
+    return x.select("doc_id", F.row_number().over(w).alias("line_no"), F.col("x").alias("line"))
 
 
 def escaped(c):  # noqa: ANN001, ANN202
@@ -144,12 +197,36 @@ def escaped(c):  # noqa: ANN001, ANN202
     return out
 
 
+def _tagged(tag: str, x: Column, attributes: str = "") -> Column:
+    return F.concat(F.lit(f"<{tag}{attributes}>"), F.coalesce(x, F.lit("")), F.lit(f"</{tag}>"))
+
+
 def to_html(c: Corpus) -> DataFrame:
-    """(doc_id, html): headings and paragraphs of each document as HTML."""
-    h = c.relation("heads").select("doc_id", "sec_ord", F.lit(0).alias("o"), F.concat(F.lit("<h"), F.least("level", F.lit(6)), F.lit(">"), escaped(F.col("text")), F.lit("</h"), F.least("level", F.lit(6)), F.lit(">")).alias("x"))
-    order = c.relation("heads").select("doc_id", F.col("sec_id").alias("container_id"), "sec_ord")
-    b = c.relation("blocks").where("block_type = 'paragraph'").join(order, ["doc_id", "container_id"], "left").select("doc_id", F.coalesce("sec_ord", F.lit(0)).alias("sec_ord"), F.col("block_ord").alias("o"), F.concat(F.lit("<p>"), escaped(F.col("text")), F.lit("</p>")).alias("x"))
-    return h.unionByName(b).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sec_ord", "o", "x"))), lambda r: r["x"]), "\n").alias("html"))
+    """(doc_id, html): each document as HTML: headings, blocks of every type with their inline elements, bibliography.
+
+    Paragraphs that show nothing give no element.
+    """
+    t = _inline(F.col("runs"), "<strong>%s</strong>", "<em>%s</em>", "<strong><em>%s</em></strong>", "\\(%s\\)", escaped)
+
+    def grid(rows: str, tag: str, around: str) -> Column:
+        lines = F.transform(rows, lambda row: _tagged("tr", F.array_join(F.transform(row, lambda x: _tagged(tag, escaped(x["text"]))), "")))
+        return F.when(F.size(rows) > 0, _tagged(around, F.array_join(lines, "")))
+
+    items = F.array_join(F.transform("items", lambda x: _tagged("li", escaped(x))), "")
+    caption = F.when(t != "", _tagged("caption", t))
+    kind = F.col("block_type")
+    block = (
+        F.when(kind == "paragraph", F.when(~blank(t), _tagged("p", t)))
+        .when((kind == "list") & F.col("items").isNotNull(), F.when(F.col("ordered"), _tagged("ol", items)).otherwise(_tagged("ul", items)))
+        .when(kind == "table", _tagged("table", F.concat_ws("", caption, grid("headers", "th", "thead"), grid("rows", "td", "tbody"))))
+        .when(kind == "figure", _tagged("figure", F.when(t != "", _tagged("figcaption", t))))
+        .when(kind == "formula", _tagged("div", F.concat(F.lit("$$ "), escaped(F.coalesce("latex", F.lit(""))), F.lit(" $$")), ' class="formula"'))
+        .when(kind == "toc", _tagged("nav", t, ' class="toc"')).otherwise(F.when(~blank(t), _tagged("div", t)))
+    )
+    level = F.least("level", F.lit(6))
+    head = F.concat(F.lit("<h"), level, F.lit(">"), escaped(F.col("text")), F.lit("</h"), level, F.lit(">"))
+    x = _exported(c, head, block, lambda s, n: _tagged("li", escaped(s)), ('<ol class="bibliography">\n', "\n</ol>"))
+    return x.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sec_ord", "o", "id", "x"))), lambda r: r["x"]), "\n").alias("html"))
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"

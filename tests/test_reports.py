@@ -1,7 +1,7 @@
 import json
 import zipfile
 
-from test_rules import corpus, par, sec
+from test_rules import corpus, obj, par, run, sec
 
 from folioscope.operators import bibliography as B
 from folioscope.operators import reports as R
@@ -123,3 +123,22 @@ def test_reports_cover_rules_and_fixers_beyond_layout(spark, monkeypatch):
     monkeypatch.setattr(reports, "from_tables", lambda spark, d: sample(spark))
     log = {r["fixer_code"] for r in reports.fix_log(spark, "").collect()}
     assert log >= {"T.01", "T.02", "T.07", "H.04", "F.01", "L.04"}
+
+
+def test_exports_keep_every_block_inline_element_and_entry(spark):
+    cell = lambda *texts: [(t, None) for t in texts]
+    blocks = [
+        par(1, "a<", run("b", bold=True), run(None, "citation", source_id="ref-2", pages="5"), run(None, "xref", prefix="см. ", target_id="t-1"), run("x^2", "formula")),
+        obj("table", 2, "Cap", headers=[cell("h", "i")], rows=[cell("1|2", "<")]), obj("figure", 3, "Fig"), obj("formula", 4, None, latex="y<1"),
+        obj("list", 5, None, ordered=True, items=["p", "q"]), obj("toc", 6, "Toc"),
+    ]
+    entries = [{"doc_id": 1, "ordinal": k, "entry_id": f"ref-{k}", "fields": {"raw": f"E & {k}"}} for k in (2, 1)]
+    c = corpus(spark, secs=[sec(1, "A"), sec(2, "Список литературы"), sec(3, "Z")], blocks=blocks, entries=entries)
+    lines = [r["line"] for r in to_markdown(c).orderBy("line_no").collect()]
+    assert lines == ["# A", "a<**b**[ref-2, с. 5]см. [→t-1]$x^2$", "**Cap**\n\n| h | i |\n|---|---|\n| 1\\|2 | < |", "![Fig]()", "$$y<1$$", "1. p\n2. q", "Toc", "# Список литературы", "1. E & 1\n2. E & 2", "# Z"]
+    assert to_html(c).first()["html"].split("\n") == [
+        "<h1>A</h1>", "<p>a&lt;<strong>b</strong>[ref-2, с. 5]см. [→t-1]\\(x^2\\)</p>",
+        "<table><caption>Cap</caption><thead><tr><th>h</th><th>i</th></tr></thead><tbody><tr><td>1|2</td><td>&lt;</td></tr></tbody></table>",
+        "<figure><figcaption>Fig</figcaption></figure>", '<div class="formula">$$ y&lt;1 $$</div>', "<ol><li>p</li><li>q</li></ol>", '<nav class="toc">Toc</nav>',
+        "<h1>Список литературы</h1>", '<ol class="bibliography">', "<li>E &amp; 1</li>", "<li>E &amp; 2</li>", "</ol>", "<h1>Z</h1>",
+    ]
