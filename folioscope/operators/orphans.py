@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,12 +86,13 @@ def direct_orphans(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.where("status is not null").select(*edges.columns, "status")
 
 
-def orphan_cascade(edges: list[DataFrame], nodes: list[DataFrame], refs: list[Reference], levels: int = 64) -> DataFrame:
+def orphan_cascade(edges: list[DataFrame], nodes: list[DataFrame], refs: list[Reference], levels: int | None = None) -> DataFrame:
     """All orphan references: *edges* columns plus status and level (0 direct, n inherited over n steps).
 
     *edges* come from :func:`references`, *nodes* from :func:`records`. Each round semi-joins the remaining edges
     with the records orphaned in the round before; a record is reported at the first level that reaches it, once
-    per referring field. The rounds end when none is new, at the latest after *levels*; cycles end by themselves.
+    per referring field. The rounds end when none is new; cycles end by themselves. Where more than *levels* are needed,
+    if given, an error is raised.
     Where nothing refers to the referring records there is no second round. Every round is written to the shared
     folder, which keeps the plans short and survives lost executors.
     """
@@ -102,7 +104,7 @@ def orphan_cascade(edges: list[DataFrame], nodes: list[DataFrame], refs: list[Re
     edge = materialize(edge.withColumn("key", F.col("key").cast("string")), "edges")
     found = materialize(found.withColumn("key", F.col("key").cast("string")), "orphans-0")
     layers, known, frontier = [found], None, found
-    for level in range(1, levels + 1):
+    for level in count(1):
         new = frontier.select("space", "scope", "key").distinct()
         known = new if known is None else known.unionByName(new)
         parents = new.select(F.col("space").alias("target"), "scope", F.col("key").alias("ref"))
@@ -110,6 +112,8 @@ def orphan_cascade(edges: list[DataFrame], nodes: list[DataFrame], refs: list[Re
         layer = materialize(layer.select(*edge.columns, F.lit("inherited").alias("status"), F.lit(level).alias("level")), f"orphans-{level}")
         if layer.isEmpty():
             break
+        if levels is not None and level > levels:
+            raise ValueError(f"orphans are inherited over more than {levels} levels")
         layers.append(layer)
         frontier = layer
     return reduce(DataFrame.unionByName, layers)

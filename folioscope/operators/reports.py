@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import blank, collapse, words
+from folioscope.session import materialize
 from folioscope.sources.corpus import Corpus
 
 SEVERITIES = ["error", "warning", "info"]
@@ -102,16 +103,19 @@ def full_diff(a: DataFrame, b: DataFrame, key: list[str], values: list[str]) ->
     return j.select(*key, status.alias("status"), F.when(status == "changed", F.array_join(changed, ",")).otherwise("").alias("columns")).where("status is not null")
 
 
-def inherited(profiles: DataFrame, key: str, parent: str, columns: list[str], rounds: int = 5) -> DataFrame:
+def inherited(profiles: DataFrame, key: str, parent: str, columns: list[str]) -> DataFrame:
     """Values with what a row leaves open taken from the row it extends, over the whole chain.
 
-    Each round joins every row with the one it points to and then points twice as far, so *rounds* reach chains of
-    2 ** rounds steps. Chains end at a row without parent or whose parent is absent; a circle gives what it holds.
+    Each round joins every row with the one it points to and then points twice as far, until nothing points on or,
+    in a circle, as many steps were taken as there are rows. Every round is written once. Chains end at a row without parent or whose parent is absent; a circle gives what it holds.
     """
     out = profiles.select(key, F.col(parent).alias("up"), *columns)
-    for _ in range(rounds):
+    for _ in range(profiles.count().bit_length()):
         p = out.select(F.col(key).alias("up"), F.col("up").alias("next"), *[F.col(c).alias(f"p_{c}") for c in columns])
         out = out.join(p, "up", "left").select(key, F.col("next").alias("up"), *[F.coalesce(c, f"p_{c}").alias(c) for c in columns])
+        out = materialize(out, "inherited")
+        if out.where("up is not null").isEmpty():
+            break
     return out.select(key, *columns)
 
 

@@ -58,3 +58,14 @@ def test_tables_round_trip(spark, tmp_path):
     assert [(r["text"], r["bold"]) for r in typed_table(rows, "state_id", STATE_NODES[2]).orderBy("place").collect()] == [("т", True), ("5", None)]
     assert typed_table(rows, "state_id", STATE_NODES[0]).first()["disabled_checks"] == ["a"]
     assert tagged_rows(df.where("false"), "state_id", "payload").count() == 0
+
+
+def test_cascade_tells_when_levels_do_not_suffice(spark):
+    import pytest
+
+    refs = [Reference("n", "up", "n")]
+    df = spark.createDataFrame([(1, k, u, at(2), False) for k, u in ("ax", "ba", "cb", "dc")], "doc_id long, k string, up string, loaded_at timestamp_ntz, is_deleted boolean")
+    edges, nodes = [references(df, "doc_id", "k", "loaded_at", refs)], [records(df, "n", "doc_id", "k", "loaded_at", "is_deleted")]
+    assert orphan_cascade(edges, nodes, refs, levels=3).count() == 4
+    with pytest.raises(ValueError):
+        orphan_cascade(edges, nodes, refs, levels=2)

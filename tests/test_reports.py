@@ -142,3 +142,9 @@ def test_exports_keep_every_block_inline_element_and_entry(spark):
         "<figure><figcaption>Fig</figcaption></figure>", '<div class="formula">$$ y&lt;1 $$</div>', "<ol><li>p</li><li>q</li></ol>", '<nav class="toc">Toc</nav>',
         "<h1>Список литературы</h1>", '<ol class="bibliography">', "<li>E &amp; 1</li>", "<li>E &amp; 2</li>", "</ol>", "<h1>Z</h1>",
     ]
+
+
+def test_inheritance_over_long_chains(spark):
+    rows = [("p0", None, "N")] + [(f"p{k}", f"p{k - 1}", None) for k in range(1, 70)]
+    got = R.inherited(spark.createDataFrame(rows, "id string, up string, name string"), "id", "up", ["name"]).collect()
+    assert len(got) == 70 and {r["name"] for r in got} == {"N"}
