@@ -37,7 +37,7 @@ STATE_NODES = (
          {"id": "string", "heading": "string", "is_bibliography": "boolean", "references": "array<string>", "disabled_checks": "array<string>"}),
     Node("block", "b", "blocks", ("run",),
          {"kind": "string", "text": "string", "caption": "string", "latex": "string", "ordered": "boolean", "items": "array<string>",
-          "headers": "array<string>", "rows": "array<array<string>>", "image_path": "string"}),
+          "headers": "array<string>", "rows": "array<array<string>>", "image_path": "string", "numbered": "boolean", "meta": "string"}),
     Node("run", "r", "runs", (),
          {"kind": "string", "text": "string", "bold": "boolean", "source_id": "string", "target_id": "string", "pages": "string",
           "prefix": "string", "latex": "string"}),
@@ -144,13 +144,15 @@ def _batch(b: pa.RecordBatch, at: list[int], rows: list[tuple], key: str) -> pa.
 
 
 def typed_table(rows: DataFrame, key: str, node: Node) -> DataFrame:
-    """The flat table of one tag: key, node_path, parent_path, place and the columns of the node's schema.
+    """The flat table of one tag: key, node_path, parent_path, place, the columns of the node's schema, and rest.
 
-    A value that does not fit its column reads as null.
+    rest holds the keys the schema does not list, as a JSON object; null if there are none. A value that does not fit its column reads as null.
     """
     schema = ", ".join(f"`{c}` {t}" for c, t in node.columns.items())
     own = rows.where(F.col("tag") == node.tag).withColumn("v", F.from_json("payload", schema))
-    return own.select(key, "node_path", "parent_path", "place", *[F.col("v")[c].alias(c) for c in node.columns])
+    others = F.map_filter(F.from_json("payload", "map<string,string>"), lambda k, v: ~k.isin(*node.columns))
+    rest = F.when(F.size(others) > 0, F.to_json(others, {"ignoreNullFields": "false"})).alias("rest")
+    return own.select(key, "node_path", "parent_path", "place", *[F.col("v")[c].alias(c) for c in node.columns], rest)
 
 
 def write_tables(rows: DataFrame, path: str) -> None:

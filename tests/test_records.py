@@ -69,3 +69,12 @@ def test_cascade_tells_when_levels_do_not_suffice(spark):
     assert orphan_cascade(edges, nodes, refs, levels=3).count() == 4
     with pytest.raises(ValueError):
         orphan_cascade(edges, nodes, refs, levels=2)
+
+
+def test_blocks_keep_meta_numbered_and_unlisted_keys(spark):
+    block = {"kind": "figure", "numbered": False, "meta": {"dpi": 79, "runs": [{"text": "n"}]}, "new": {"a": 1}}
+    payload = json.dumps({"sections": [{"blocks": [block, {"kind": "list", "items": ["x"]}]}]})
+    rows = tagged_rows(spark.createDataFrame([(1, payload)], "state_id long, payload string"), "state_id", "payload")
+    a, b = typed_table(rows, "state_id", STATE_NODES[1]).orderBy("place").collect()
+    assert a["numbered"] is False and json.loads(a["meta"]) == block["meta"] and json.loads(json.loads(a["rest"])["new"]) == {"a": 1}
+    assert (b["meta"], b["rest"], b["items"]) == (None, None, ["x"])
