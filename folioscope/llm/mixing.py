@@ -31,14 +31,13 @@ MOST_SOURCES = 100_000
 _ENCODERS: dict[str, object] = {}
 
 
-def _encoder(path: str):  # noqa: ANN202
-    if path not in _ENCODERS:
+def _encoder(name: str, ranks_file: bytes):  # noqa: ANN202
+    if name not in _ENCODERS:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODERS[path] = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[path]
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines())}
+        _ENCODERS[name] = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODERS[name]
 
 
 def source_name(c: Column | str) -> Column:
@@ -49,8 +48,11 @@ def source_name(c: Column | str) -> Column:
 def token_counts(df: DataFrame, text: str, out: str = "tokens", vocabulary: str = VOCABULARY, drop_text: bool = True) -> DataFrame:
     """*df* with the number of tokens of each text, whole; null and empty texts have none.
 
-    *vocabulary* is a file of ranks of a byte-level BPE, readable on every worker. A column called *out* is replaced.
+    *vocabulary* is a file of ranks of a byte-level BPE; the driver reads it and sends it to the workers (a vocabulary
+    has a fixed size of about a megabyte). A column called *out* is replaced.
     """
+    with open(vocabulary, "rb") as f:
+        ranks = df.sparkSession.sparkContext.broadcast(f.read())
     rest = df.drop(out)
     names = [c for c in rest.columns if not (drop_text and c == text)]
     at = rest.columns.index(text)
@@ -58,7 +60,7 @@ def token_counts(df: DataFrame, text: str, out: str = "tokens", vocabulary: str
     schema = T.StructType([*(rest.schema[c] for c in names), T.StructField(out, T.LongType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _encoder(vocabulary)
+        e = _encoder(vocabulary, ranks.value)
         for b in batches:
             n = [len(e.encode_ordinary(t)) if t else 0 for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(n, pa.int64())], names=[*names, out])
@@ -152,10 +154,12 @@ def pivot(rows: Iterator[tuple[object, int, float]], seed: str) -> Iterator[tupl
 def round_copies(df: DataFrame, key: str, group: str, weight: str, copies: str, seed: str = "mix", fan: int = 4096) -> DataFrame:
     """*df* with *copies* rounded to whole numbers within each *group*, keeping the sum of weight times copies.
 
-    Partitions round alone; each hands on at most one row per group. These residuals are gathered, *fan* to a
-    partition, until one partition is left, whose last row per group is decided by chance. A group of any size is
-    spread over all partitions that hold it. Null copies and rows of null group get 0. Each level is written to the
-    shared folder, so that a lost executor cannot change what was decided.
+    Partitions round alone; each hands on at most one row per group. These residuals meet in a reduction tree: on each
+    level the rows of a group are spread over ever fewer parts, at most *fan* residuals to a part, until a group is one
+    part, whose last row is decided by chance. The number of levels depends on how many partitions a group lies in,
+    never on the number of groups. A group of any size is spread over all partitions that hold it. Null copies and
+    rows of null group get 0. Each level is written to the shared folder, so that a lost executor cannot change what
+    was decided.
     """
     schema = T.StructType([*df.drop(copies, "settled").schema.fields, T.StructField(copies, T.DoubleType()), T.StructField("settled", T.BooleanType())])
     rest = df.drop(copies, "settled").columns
@@ -205,17 +209,18 @@ def round_copies(df: DataFrame, key: str, group: str, weight: str, copies: str,
 
         return work
 
-    current, layers, n, last = df.select(*rest, copies), [], 0, False
-    while True:
-        n += 1
-        out = materialize(current.mapInArrow(level(n, last), schema), f"round-{n}")
+    first = materialize(df.select(*rest, copies).mapInArrow(level(1, last=False), schema), "round-1")
+    layers, left, n = [first.where("settled")], first.where("not settled").select(*rest, copies), 1
+    parts = left.groupBy(group).count().agg(F.max("count")).first()[0] or 0  # residuals of the group that has most
+    while parts:
+        parts = -(-parts // max(2, fan))
+        n, last = n + 1, parts == 1
+        salt = F.pmod(F.xxhash64(F.col(key), F.lit(n)), F.lit(parts))
+        out = materialize(left.repartition(F.col(group), salt).mapInArrow(level(n, last), schema), f"round-{n}")
         layers.append(out.where("settled"))
         if last:
             break
         left = out.where("not settled").select(*rest, copies)
-        parts = max(1, -(-left.count() // fan))
-        last = parts == 1
-        current = left.repartition(parts, F.pmod(F.xxhash64(key), F.lit(parts)))
     done = layers[0]
     for x in layers[1:]:
         done = done.unionByName(x)

@@ -41,6 +41,18 @@ def test_round_copies_sums_and_repeats(spark):
     assert {r["copies"] for r in out if r["id"] in (1000, 1001)} == {0}
 
 
+def test_more_groups_than_the_fan_of_the_tree(spark):
+    rows = [(k, f"g{k % 10}", 7 + k % 5, 0.43) for k in range(400)]
+    df = spark.createDataFrame(rows, "id long, g string, w long, copies double").repartition(12)
+    for fan in (2, 4, 4096):
+        out = round_copies(df, "id", "g", "w", "copies", fan=fan).collect()
+        assert sorted(r["id"] for r in out) == list(range(400)) and {r["copies"] for r in out} == {0, 1}
+        for g in {r["g"] for r in out}:
+            mine = [r for r in out if r["g"] == g]
+            assert abs(sum(r["w"] * (r["copies"] - 0.43) for r in mine)) <= 11
+    assert round_copies(df.where("false"), "id", "g", "w", "copies").count() == 0
+
+
 @needs_vocabulary
 def test_tokens_and_mixture(spark):
     docs = [(k, f"word {k} " * (k % 7), [" Lab-A", "lab-a", "b", None][k % 4], "e") for k in range(200)] + [(999, None, "b", "e")]
