@@ -15,12 +15,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.llm.codepoints import Mapper, driver_tables, worker_mapper
 from folioscope.llm.words import SEPARATOR, SINGLE, SKIP, Words
+from folioscope.session import materialize
 
 CATEGORIES = ("abusive", "hateful", "sexual")
 
@@ -37,11 +38,13 @@ FEW = 8
 class TrainRule:
     """How the model is fitted.
 
-    *labels* bounds the judgements used (a sample by hash of the label id), *sentences* the different sentences that
-    serve as examples of none (half of them those most like offending ones, half at random).
+    *labels* bounds the judgements used (a sample by hash of the label id), *chars* the characters of the judged texts
+    (in the order of that hash, whole texts; one longer than that alone is no example), *sentences* the different
+    sentences that serve as examples of none (half of them those most like offending ones, half at random).
     """
 
     labels: int = 20_000
+    chars: int = 64_000_000
     sentences: int = 16_000
     buckets: int = 1 << 18
     width: int = 16
@@ -183,29 +186,29 @@ class Reader:
             h += quoted[start].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         return Bags(h, sent_c[start], texts_of, key, start)
 
-    def grams(self, b: Bags, pick: np.ndarray, buckets: int, most: int = 20) -> tuple[np.ndarray, np.ndarray]:
-        """(word, bucket): the whole word and its character n-grams, for the occurrences *pick*."""
+    def grams(self, b: Bags, pick: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """(word, bucket): the whole word and its character n-grams, for the occurrences *pick*; words of any length."""
         stop = (np.append(b.start[1:], len(b.cps)) if b.stop is None else b.stop)[pick]
         begin = b.start[pick]
-        size = np.minimum(stop - begin, most)
-        grid = np.zeros((len(pick), most + 2), np.uint64)
-        cols = np.arange(most)
-        inside = cols[None, :] < size[:, None]
-        grid[:, 1 : most + 1] = np.where(inside, b.cps[np.minimum(begin[:, None] + cols[None, :], max(len(b.cps) - 1, 0))], 0)
-        grid[:, 0] = 2
-        grid[np.arange(len(pick)), size + 1] = 3
+        size = stop - begin
+        # the words one behind the other, each between a mark for its beginning and one for its end
+        end = np.cumsum(size + 2)
+        flat = np.zeros(int(end[-1]) if len(end) else 0, np.uint64)
+        owner = np.repeat(np.arange(len(pick)), size + 2)
+        letter = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        flat[letter + np.repeat(end - size - 1, size)] = b.cps[letter + np.repeat(begin, size)]
+        flat[end - size - 2] = 2
+        flat[end - 1] = 3
         out_w, out_b = [np.arange(len(pick))], [(b.word[pick] % np.uint64(buckets)).astype(np.int64)]
-        quoted = (b.word[pick] >> np.uint64(63)).astype(np.uint64) * np.uint64(0)  # n-grams are shared in and out of quotes
         with np.errstate(over="ignore"):
             for n in (3, 4, 5):
-                h = np.zeros((len(pick), most + 3 - n), np.uint64)
+                inside = np.flatnonzero(owner[n - 1 :] == owner[: max(len(owner) - n + 1, 0)])
+                h = np.zeros(len(inside), np.uint64)
                 for k in range(n):
-                    h = h * np.uint64(0x100000001B3) + grid[:, k : k + most + 3 - n]
-                h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD) + quoted[:, None] + np.uint64(n)
-                ok = np.arange(most + 3 - n)[None, :] + n <= (size + 2)[:, None]
-                w, c = np.nonzero(ok)
-                out_w.append(w)
-                out_b.append(((h[w, c] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64))
+                    h = h * np.uint64(0x100000001B3) + flat[inside + k]
+                h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD) + np.uint64(n)
+                out_w.append(owner[inside])
+                out_b.append(((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64))
         w, g = np.concatenate(out_w), np.concatenate(out_b)
         order = np.argsort(w, kind="stable")
         return w[order], g[order]
@@ -245,7 +248,8 @@ class Model:
     bias: np.ndarray
     threshold: np.ndarray
     buckets: int
-    f1: np.ndarray  # on held-out documents, per category
+    precision: np.ndarray  # on held-out documents, per category; 0 where there are too few cases
+    recall: np.ndarray
 
 
 def train(texts: list[str], judged: np.ndarray, rule: TrainRule = TrainRule(), reader: Reader | None = None) -> Model:
@@ -260,7 +264,7 @@ def train(texts: list[str], judged: np.ndarray, rule: TrainRule = TrainRule(), r
     held = rng.random(size) < rule.held_out
     classes = len(CATEGORIES) + 1
     if not len(b.word) or size < 10:
-        return Model(np.zeros((rule.buckets, classes), np.float32), np.zeros(classes, np.float32), np.full(3, 2.0), rule.buckets, np.zeros(3))
+        return Model(np.zeros((rule.buckets, classes), np.float32), np.zeros(classes, np.float32), np.full(3, 2.0), rule.buckets, np.zeros(3), np.zeros(3))
     # equal sentences count once, with the texts they stand in
     ps, pb = reader.pairs(b, rule.buckets)
     sents = len(b.text)
@@ -320,13 +324,15 @@ def train(texts: list[str], judged: np.ndarray, rule: TrainRule = TrainRule(), r
     best = np.zeros((size, 3), np.float32)
     for c in range(3):
         np.maximum.at(best[:, c], link_text, p[link_sent, c + 1])
-    threshold, f1 = np.full(3, 0.5), np.zeros(3)
+    threshold, precision, recall = np.full(3, 0.5), np.zeros(3), np.zeros(3)
     for c in range(3):
         if (positive[:, c] & ~held).sum() < 2:
             threshold[c] = 2.0
             continue
-        threshold[c], f1[c] = _cut(best[held, c], positive[held, c])
-    return Model(score, bias, threshold, rule.buckets, f1)
+        threshold[c] = _cut(best[held, c], positive[held, c])
+        hit, true = best[held, c] >= threshold[c], positive[held, c]
+        precision[c], recall[c] = ((hit & true).sum() / max(1, x.sum()) for x in (hit, true))
+    return Model(score, bias, threshold, rule.buckets, precision, recall)
 
 
 def _examples(text, sent, side, believed, positive, clean, size, turn, rule, rng) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # noqa: ANN001
@@ -427,10 +433,10 @@ def _fit(use: np.ndarray, target: np.ndarray, weight: np.ndarray, parts: tuple,
     return score, bias
 
 
-def _cut(score: np.ndarray, true: np.ndarray) -> tuple[float, float]:
+def _cut(score: np.ndarray, true: np.ndarray) -> float:
     """Threshold with the best F1, taken in the middle of the widest range that reaches it; 0.5 without cases."""
     if true.sum() < 2:
-        return 0.5, 0.0
+        return 0.5
     best, at = -1.0, []
     grid = np.linspace(0.1, 0.9, 33)
     for c in grid:
@@ -440,7 +446,7 @@ def _cut(score: np.ndarray, true: np.ndarray) -> tuple[float, float]:
             best, at = f, [c]
         elif f > best - 1e-9:
             at.append(c)
-    return float(np.median(at)), float(best)
+    return float(np.median(at))
 
 
 def apply(model: Model, reader: Reader, texts: list[str | None]) -> np.ndarray:
@@ -462,13 +468,18 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, rule: TrainRule = TrainRul
     """A model from the judgements in *labels* on the texts in *docs*.
 
     Repeated rows count once, rows with a null judgement not at all; raters of one text are averaged. At most
-    rule.labels judgements are used, a sample by hash that is the same on every run. Without any judgement no document
-    is flagged.
+    rule.labels judgements on texts of at most rule.chars characters together are used, a sample by hash that is the
+    same on every run. Without any judgement no document is flagged.
     """
     one = labels.select("label_id", "doc_id", *CATEGORIES).distinct().where(" and ".join(f"{c} is not null" for c in CATEGORIES))
     some = one.orderBy(F.xxhash64("label_id"), "label_id", "doc_id").limit(rule.labels)
-    mean = some.groupBy("doc_id").agg(*[F.avg(c).alias(c) for c in CATEGORIES])
-    pick = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(mean), "doc_id")  # at most rule.labels rows
+    mean = some.groupBy("doc_id").agg(F.min(F.xxhash64("label_id")).alias("turn"), *[F.avg(c).alias(c) for c in CATEGORIES])
+    judged = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(mean), "doc_id")  # at most rule.labels rows
+    judged = materialize(judged.where(F.length("text") <= rule.chars), "judged")
+    so_far = Window.orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)  # over at most rule.labels short rows
+    chosen = judged.select("turn", "doc_id", F.length("text").alias("size")).withColumn("chars", F.sum("size").over(so_far))
+    within = chosen.where(F.col("chars") <= rule.chars).select("doc_id").distinct()
+    pick = judged.join(F.broadcast(within), "doc_id", "left_semi").select("doc_id", "text", *CATEGORIES)
     tables = docs.sparkSession.sparkContext.broadcast(driver_tables())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

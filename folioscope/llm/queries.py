@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.abuse import CATEGORIES, abuse_scores, fit_on_labels
+from folioscope.llm.abuse import CATEGORIES, Model, abuse_scores, fit_on_labels
 from folioscope.llm.leaks import leaking_documents
 from folioscope.llm.mixing import mixture, share_report, shares_of, sized_documents
 from folioscope.llm.percentiles import combine, percentiles, summarize
 from folioscope.llm.same_look import consistent_text, look_alike_pairs
 from folioscope.llm.sentences import paragraph_sentences
-from folioscope.session import table
+from folioscope.session import once, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -83,9 +83,14 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return share_report(*_mixed(spark, d))
 
 
+def _model(spark: SparkSession, d: str) -> Model:
+    """The model fitted to the labels, once for all queries over the same tables."""
+    inputs = [f"{d}/{name}.parquet" for name in ("documents", "doc_labels")]
+    return once(spark, "p8-model", inputs, lambda: fit_on_labels(table(spark, d, "documents"), table(spark, d, "doc_labels")))
+
+
 def _scores(spark: SparkSession, d: str, keep: list[str] | None = None) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return abuse_scores(docs, fit_on_labels(docs, table(spark, d, "doc_labels")), keep=keep)
+    return abuse_scores(table(spark, d, "documents"), _model(spark, d), keep=keep)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -107,9 +112,16 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return by.agg(F.count("*").alias("documents"), *rates)
 
 
+def p8_model(spark: SparkSession, d: str) -> DataFrame:
+    """The threshold of each category, and precision and recall on the judged documents held out when it was fitted."""
+    m = _model(spark, d)
+    rows = [(c, *(float(x[k]) for x in (m.threshold, m.precision, m.recall))) for k, c in enumerate(CATEGORIES)]
+    return spark.createDataFrame(rows, "category string, threshold double, held_out_precision double, held_out_recall double")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p2_percentiles, p2_summaries, p2_combined, p3_found, p3_consistent, p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_scores, p8_rates)
+    for f in (p1_found, p2_percentiles, p2_summaries, p2_combined, p3_found, p3_consistent, p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_scores, p8_rates, p8_model)
 }
 
 _COUNTS = """

@@ -58,6 +58,32 @@ def test_reader_undoes_disguise():
     assert len(reader.bags([None, "", "  "]).word) == 0
 
 
+def test_letters_late_in_long_words_count():
+    reader = Reader(Mapper(driver_tables()))
+
+    def grams(text):
+        b = reader.bags([text])
+        w, g = reader.grams(b, np.arange(len(b.word)), 1 << 18)
+        return [sorted(g[w == k].tolist()) for k in range(len(b.word))]
+
+    long = "bundesausbildungsgesetz"
+    a, b = grams(long + "idiot"), grams(long + "plan")
+    assert len(a[0]) == 1 + 28 + 27 + 26 and len(set(a[0]) - set(b[0])) > 10
+    assert grams("ab") == [sorted(grams("ab cd")[0])] and len(grams("x" + "yz" * 5000)[0]) > 29_000
+    assert reader.grams(reader.bags([""]), np.zeros(0, np.int64), 1 << 18)[0].tolist() == []
+
+
+def test_sample_is_bounded_in_characters(spark):
+    texts, y = corpus(60, 5)
+    docs = spark.createDataFrame([*enumerate(texts), (99, "x" * 10_000)], "doc_id long, text string")
+    lab = spark.createDataFrame([(k, k, "r", *map(int, v)) for k, v in enumerate(y)] + [(99, 99, "r", 1, 0, 0)], "label_id long, doc_id long, rater string, abusive int, hateful int, sexual int")
+    small = fit_on_labels(docs, lab, TrainRule(chars=3000, buckets=1 << 12))
+    whole = fit_on_labels(docs, lab, TrainRule(buckets=1 << 12))
+    assert (small.score != 0).sum() < (whole.score != 0).sum() and small.buckets == 1 << 12
+    none = fit_on_labels(docs, lab, TrainRule(chars=1))
+    assert (none.threshold > 1).all()
+
+
 def test_many_equals_bags():
     reader = Reader(Mapper(driver_tables()))
     texts, _ = corpus(60, 3)
