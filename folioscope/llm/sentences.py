@@ -60,9 +60,10 @@ def step(state: tuple, sym: int) -> tuple[tuple, bool]:
 
     States: ("start",), ("number",), ("body",), ("colon",) after a colon; ("hard",), ("soft",), ("full",) after a
     mark that ends a sentence for sure, perhaps, or in scripts without capitals; ("thai",) after a blank between
-    Thai letters; ("in", depth, origin, marked) inside quotation marks or brackets, origin telling where they
+    Thai letters; ("in", origin, marked) inside the outermost quotation marks or brackets, origin telling where they
     opened ("s"tart of a sentence, after a "c"olon, "m"iddle, "b"racket in the middle), marked that the last
-    character could end a sentence; ("after", origin) behind them, when it was marked.
+    character could end a sentence; ("after", origin) behind them, when it was marked. Marks nested inside others, to
+    any depth, are paired before and reach the transducer as OTHER (opening) and NOP (closing).
     """
     phase = state[0]
     if sym == NOP:
@@ -82,7 +83,7 @@ def step(state: tuple, sym: int) -> tuple[tuple, bool]:
         return (state if phase == "start" else ("thai",)), False
     if sym in (Q_UP, Q_LOW, B_UP, B_LOW):
         origin = {"start": "s", "colon": "c"}.get(phase, "m" if sym in (Q_UP, Q_LOW) else "b")
-        return ("in", 1, origin, False), False
+        return ("in", origin, False), False
     if phase == "start":
         return (("number",) if sym in (DIGIT, ITEM) else ("body",)), False
     if phase == "number" and sym in (DIGIT, ITEM, BODY, ITEM_STOP):
@@ -95,16 +96,12 @@ def step(state: tuple, sym: int) -> tuple[tuple, bool]:
 
 
 def _inside(state: tuple, sym: int) -> tuple:
-    _, depth, origin, marked = state
-    if sym in (Q_UP, Q_LOW, B_UP, B_LOW):
-        return ("in", min(depth + 1, 3), origin, False)
+    _, origin, marked = state
     if sym == CLOSE:
-        if depth > 1:
-            return ("in", depth - 1, origin, marked)
         return ("after", origin) if marked else ("body",)
     if sym == THAI_BLANK:
         return state
-    return ("in", depth, origin, sym in (HARD, ITEM_STOP, FULL, DOTS))
+    return ("in", origin, sym in (HARD, ITEM_STOP, FULL, DOTS))
 
 
 def _decide(state: tuple, sym: int) -> str | tuple:
@@ -269,7 +266,7 @@ class Splitter:
         # neighbours: the next and the previous character that is no blank
         nxt = np.minimum.accumulate(np.where(blank, n, idx)[::-1])[::-1]
         prv = np.maximum.accumulate(np.where(blank, -1, idx))
-        self._quotes(cps, cls, blank, prv)
+        inner = self._quotes(cps, cls)
         sym = table[cls]
         c1 = np.append(cls[1:], C_END)  # class of the next character
         c0 = np.append(C_END, cls[:-1])
@@ -295,6 +292,7 @@ class Splitter:
         thai = thai[~np.isin(cps[after[thai]], (0xE2F, 0xE46))]
         sym[thai] = THAI_BLANK
         self._stops(cps, cls, sym, idx, letter, digit, prv, c0, c1, ca, after, w_start, d_start)
+        sym[inner] = np.where(cls[inner] == C_CLOSE, NOP, OTHER)
         return sym
 
     def _stops(self, cps, cls, sym, idx, letter, digit, prv, c0, c1, ca, after, w_start, d_start) -> None:  # noqa: ANN001
@@ -417,8 +415,11 @@ class Splitter:
         out[lab] = SOFT
         return out
 
-    def _quotes(self, cps: np.ndarray, cls: np.ndarray, blank: np.ndarray, prv: np.ndarray) -> None:
-        """Settle which marks open and close: straight ones by their side, low-high pairs, marks without partner."""
+    def _quotes(self, cps: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """Settle which marks open and close: straight ones by their side, low-high pairs, marks without partner.
+
+        Returns the places of the marks that lie inside others, however deep.
+        """
         ends = np.flatnonzero(cls == C_END)
         if (cps == 0x201E).any():
             pos = np.flatnonzero((cps == 0x201E) | (cps == 0x201C))
@@ -435,7 +436,7 @@ class Splitter:
             cls[straight] = np.where(np.isin(before, (C_BLANK, C_END, C_BOPEN, C_DASH)), C_QOPEN, C_CLOSE)
         marks = np.flatnonzero((cls == C_QOPEN) | (cls == C_BOPEN) | (cls == C_CLOSE))
         if not len(marks):
-            return
+            return marks
         text = np.searchsorted(ends, marks)
         d = np.where(cls[marks] == C_CLOSE, -1, 1)
         depth = np.cumsum(d)
@@ -455,6 +456,17 @@ class Splitter:
                     stack.pop()
             for i in stack:
                 cls[i] = C_OTHER
+        # depth of each mark; a closing mark without partner, seen outside all others, does not count
+        paired = cls[marks] != C_OTHER
+        marks, text, d = marks[paired], text[paired].astype(np.int64), d[paired].astype(np.int64)
+        far = np.int64(2 * len(cls) + 2)  # sums of one text stay below those of the text before
+        total = np.cumsum(d) - text * far
+        before = np.append(0, np.cumsum(d)[:-1]) - text * far
+        floor = np.minimum.accumulate(np.minimum(before, total))
+        new = np.append(True, text[1:] != text[:-1]) if len(text) else np.zeros(0, bool)
+        base = np.repeat(before[new], np.diff(np.append(np.flatnonzero(new), len(text))))
+        depth = np.where(d > 0, before, total) - np.minimum(floor, base)  # around an opening, behind a closing mark
+        return marks[depth > 0]
 
     def _hash_spans(self, cps: np.ndarray, cls: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Hash of the word in each span; zero where the span is empty or longer than any listed word."""

@@ -53,6 +53,40 @@ def test_unpaired_marks_do_not_swallow(splitter):
     assert cut(splitter, "He said “stop. Then he left. The end.") == ["He said “stop.", "Then he left.", "The end."]
 
 
+@pytest.mark.parametrize("depth", [1, 2, 3, 4, 7, 40])
+def test_quotations_nested_to_any_depth(splitter, depth):
+    marks = ["«»", "“”", "()", "[]"]
+    inner = "one. Two."
+    for k in range(depth - 1):
+        a, b = marks[k % 4]
+        inner = f"word {a}{inner}{b} Three. Four."
+    parts = [f"He said «{inner}» and went on.", "Next (a (b. C) d. E) goes on.", "End."]
+    assert cut(splitter, " ".join(parts)) == parts
+
+
+def test_nesting_against_a_stack(splitter):
+    rng = random.Random(8)
+    from folioscope.llm.sentences import C_CLOSE, C_END, C_OTHER
+
+    texts = ["".join(rng.choice("«»()a. ") for _ in range(rng.randrange(0, 30))) for _ in range(300)]
+    joined = "\x00".join(texts) + "\x00"
+    cps = np.array([ord(c) for c in joined])
+    cls = splitter.cls[cps]
+    cls[cps == 0] = C_END
+    inner = set(splitter._quotes(cps, cls).tolist())
+    want, stack = set(), []
+    for i, k in enumerate(cls.tolist()):
+        if k == C_END:
+            stack = []
+        elif joined[i] in "«(" and k != C_OTHER:
+            want |= {i} if stack else set()
+            stack.append(i)
+        elif k == C_CLOSE and stack:
+            stack.pop()
+            want |= {i} if stack else set()
+    assert inner == want
+
+
 def test_prefix_scan_equals_one_run():
     fsm = transducer()
     rng = random.Random(3)
