@@ -28,7 +28,8 @@ COUNTS = ["error_count", "warning_count"]
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Exact percentiles of the counts per profile."""
     whole = summarize(table(spark, d, "submissions"), ["profile_id"], COUNTS, key="id", error=0)
-    return percentiles(whole, ["profile_id"], PERCENTILES).select("profile_id", "metric", "q", "percentile", "n")
+    out = percentiles(whole, ["profile_id"], PERCENTILES)
+    return out.select("profile_id", "metric", "q", F.col("percentile").cast("double").alias("percentile"), "n")
 
 
 def p2_summaries(spark: SparkSession, d: str) -> DataFrame:
@@ -124,15 +125,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (p1_found, p2_percentiles, p2_summaries, p2_combined, p3_found, p3_consistent, p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_scores, p8_rates, p8_model)
 }
 
-_COUNTS = """
-with s as (select distinct id, profile_id, error_count, warning_count from submissions),
-l as (select profile_id, 'error_count' as metric, error_count as v from s where error_count is not null
-      union all select profile_id, 'warning_count', warning_count from s where warning_count is not null),
+_LONG = """
+with s as (select distinct id, profile_id, received_at, error_count, warning_count from submissions),
+l as (select profile_id, strftime(received_at, '%Y-%m-%d') as part, 'error_count' as metric, error_count as v from s where error_count is not null
+      union all select profile_id, strftime(received_at, '%Y-%m-%d'), 'warning_count', warning_count from s where warning_count is not null)"""
+_QS = "(values (0.01), (0.1), (0.25), (0.5), (0.75), (0.9), (0.99)) q(q)"
+_COUNTS = f"""{_LONG},
 r as (select profile_id, metric, v, row_number() over (partition by profile_id, metric order by v) as k,
              count(*) over (partition by profile_id, metric) as n from l)
-select r.profile_id, r.metric, q.q, cast(r.v as double) as percentile, r.n
-from r join (values (0.01), (0.1), (0.25), (0.5), (0.75), (0.9), (0.99)) q(q)
+select r.profile_id, r.metric, cast(q.q as double) as q, cast(r.v as double) as percentile, r.n
+from r join {_QS}
 on r.k = greatest(1, cast(ceil(round(q.q * r.n, 6)) as bigint))
 """
+# the buckets restated: values up to 1e-9 are 0, the others go by the logarithm of their size in steps of half a percent
+_BUCKETS = f"""{_LONG}, b as (select part, profile_id, metric, cast(v as double) as v,
+ case when abs(v) <= 1e-9 then 0.0 else sign(v) * greatest(ceil(ln(abs(cast(v as double)) / 1e-9) / ln(1.005)), 1) end as bucket from l)"""
+_COMBINED = f"""{_BUCKETS},
+c as (select profile_id, metric, bucket, count(*) as m, min(v) as low, max(v) as high from b group by all),
+r as (select *, sum(m) over (partition by profile_id, metric order by bucket) as upto, sum(m) over (partition by profile_id, metric) as n from c)
+select profile_id, metric, cast(q.q as double) as q, low + (high - low) / 2 as percentile, low, high, cast(n as bigint) as n from r join {_QS}
+on greatest(1, cast(ceil(round(q.q * n, 6)) as bigint)) between upto - m + 1 and upto
+"""
 
-SQL: dict[str, str] = {"p2_percentiles": _COUNTS}
+SQL: dict[str, str] = {
+    "p2_percentiles": _COUNTS,
+    "p2_summaries": f"{_BUCKETS} select part, profile_id, metric, cast(bucket as double) as bucket, count(*) as n, min(v) as low, max(v) as high from b group by all",
+    "p2_combined": _COMBINED,
+}

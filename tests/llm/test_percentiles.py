@@ -36,6 +36,25 @@ def test_exact_equals_sorting(spark):
     assert got == want(rows)
 
 
+def test_rounds_discard_until_each_rank_is_found(spark):
+    rows = data()
+    s = summarize(spark.createDataFrame(rows, SCHEMA), ["g"], ["a", "b"], key="id", error=0)
+    for local in (0, 5):
+        got = {(r["g"], r["metric"], r["q"]): r["percentile"] for r in percentiles(s, ["g"], QS, local=local).collect()}
+        assert got == want(rows)
+
+
+def test_whole_numbers_and_decimals_stay_exact(spark):
+    big = 2**53
+    df = spark.createDataFrame([(k, "x", big + k) for k in range(1, 8)], "id long, g string, v long")
+    s = summarize(df, ["g"], ["v"], error=0)
+    for local in (0, 100):
+        assert {r["q"]: r["percentile"] for r in percentiles(s, ["g"], [0.0, 0.5, 1.0], local=local).collect()} == {0.0: big + 1, 0.5: big + 4, 1.0: big + 7}
+    d = df.selectExpr("g", "cast(v as decimal(20,0)) + cast(0.01 as decimal(4,2)) as v")
+    got = [str(r["percentile"]) for r in percentiles(summarize(d, ["g"], ["v"], error=0), ["g"], [0.5], local=0).collect()]
+    assert got == [f"{big + 4}.01"]
+
+
 def test_parts_combine_within_the_error(spark):
     rows = data()
     df = spark.createDataFrame(rows, SCHEMA)
