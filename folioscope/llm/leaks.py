@@ -239,20 +239,19 @@ def in_order(item: np.ndarray, passage: np.ndarray, rule: LeakRule) -> bool:
 
 
 class Searcher:
-    """Index and word splitter of one Python worker."""
+    """Searches texts for the items of one index."""
 
-    def __init__(self, mapper: Mapper, index: Index, rule: LeakRule):
-        self.words, self.ix, self.rule = Words(mapper), index, rule
+    def __init__(self, index: Index, rule: LeakRule):
+        self.ix, self.rule = index, rule
         longest = max((len(x) for x in index.words), default=1)
         wide = max(longest, int(rule.stretch * longest))
         self.passage, self.shift = 2 * max(wide, 64), max(wide, 64)
 
-    def search(self, texts: list[str | None]) -> list[tuple[int, int]]:
-        """(text, item) pairs that leak."""
+    def search(self, h: np.ndarray, off: np.ndarray) -> list[tuple[int, int]]:
+        """(text, item) pairs that leak, from the words of texts as hashes and the offsets of the texts in them."""
         ix = self.ix
         if not ix.ids:
             return []
-        h, off = self.words.split(texts)
         hit, term = term_hits(ix, h)
         text, first, item, distinct = retrieve(ix, hit, term, off, self.passage, self.shift)
         runs = runs_found(ix, hit, term, off, self.rule.run)
@@ -273,7 +272,15 @@ class Searcher:
         return sorted(found)
 
 
-_SEARCHERS: dict[str, Searcher] = {}
+_WORDS: list[Words] = []
+_KEPT: dict[str, Searcher] = {}
+
+
+def _worker_words(tables) -> Words:  # noqa: ANN001
+    m = worker_mapper(tables)
+    if not _WORDS or _WORDS[0].m is not m:
+        _WORDS[:] = [Words(m)]
+    return _WORDS[0]
 
 
 def leaking_documents(
@@ -285,17 +292,19 @@ def leaking_documents(
     item_text: str = "text",
     rule: LeakRule = LeakRule(),
     block_items: int = 20_000,
+    blocks_at_once: int = 32,
 ) -> DataFrame:
     """(<doc_key>, <item_key>): every document that holds a leak of an item, and the item.
 
-    The items go in blocks of *block_items*, whose index (some 10 MB for items of 60 words) is broadcast; every
-    block is searched by all documents, so any number of items is handled. Documents are read whole, in passages
-    that overlap by more than the longest stretch. Null and empty texts and items leak nothing; an item shorter
-    than the rule's run counts by its share of words. Items delivered twice count once; a document stored under two
-    keys is reported for both.
+    The items go in blocks of *block_items*, each with an index of its own (some 10 MB for items of 60 words) that is
+    sent to the executors' disks. One pass over the documents, which are read and cut into words once, searches up to
+    *blocks_at_once* blocks, with one index in memory at a time; so up to 640,000 items cost one pass, and more items
+    further passes. Documents are read whole, in passages that overlap by more than the longest stretch. Null and empty
+    texts and items leak nothing; an item shorter than the rule's run counts by its share of words. Items delivered
+    twice count once; a document stored under two keys is reported for both.
     """
-    spark = docs.sparkSession
-    tables = spark.sparkContext.broadcast(driver_tables())
+    sc = docs.sparkSession.sparkContext
+    tables = sc.broadcast(driver_tables())
     clean = items.select(F.col(item_key).alias("k"), F.col(item_text).cast("string").alias("t")).where("k is not null and t is not null").distinct()
     blocks = max(1, -(-clean.count() // block_items))
     kept = docs.select(F.col(doc_key).alias(doc_key), F.col(text).cast("string").alias("__text")).where("__text is not null")
@@ -303,31 +312,40 @@ def leaking_documents(
     schema = T.StructType([T.StructField(out_key, docs.schema[doc_key].dataType), T.StructField(item_key, items.schema[item_key].dataType)])
     words = Words(Mapper(driver_tables()))
     parts = []
-    for n in range(blocks):
-        mine = clean.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == n).collect()  # bounded by block_items
-        mine.sort(key=lambda r: r["k"])
-        index = spark.sparkContext.broadcast(build_index([r["k"] for r in mine], [r["t"] for r in mine], words, rule))
-        parts.append(kept.mapInArrow(_search(tables, index, rule, schema, uuid.uuid4().hex), schema))
+    for a in range(0, blocks, blocks_at_once):
+        indexes = []
+        for n in range(a, min(blocks, a + blocks_at_once)):
+            mine = clean.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == n).collect()  # some block_items rows
+            mine.sort(key=lambda r: r["k"])
+            indexes.append(sc.broadcast(build_index([r["k"] for r in mine], [r["t"] for r in mine], words, rule)))
+        parts.append(kept.mapInArrow(_search(tables, indexes, rule, schema, uuid.uuid4().hex), schema))
     out = reduce(DataFrame.unionByName, parts)
-    return out.distinct() if blocks > 1 else out
+    return out.distinct() if blocks > 1 else out  # an item with two texts may lie in two blocks
 
 
-def _search(tables, index, rule: LeakRule, schema: T.StructType, token: str):  # noqa: ANN001, ANN202
+def _search(tables, indexes: list, rule: LeakRule, schema: T.StructType, token: str):  # noqa: ANN001, ANN202
     names = schema.names
     kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(schema[names[1]].dataType.simpleString(), None)
 
+    def searcher(n: int) -> Searcher:
+        if len(indexes) == 1:  # a single index stays in memory
+            if token not in _KEPT:
+                _KEPT.clear()
+                _KEPT[token] = Searcher(indexes[0].value, rule)
+            return _KEPT[token]
+        return Searcher(indexes[n].load_from_path(indexes[n]._path), rule)  # noqa: SLF001
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mapper = worker_mapper(tables)
-        if token not in _SEARCHERS:
-            _SEARCHERS.clear()
-            _SEARCHERS[token] = Searcher(mapper, index.value, rule)
-        s = _SEARCHERS[token]
+        w = _worker_words(tables)
         for b in batches:
             for a in range(0, b.num_rows, 2000):
                 c = b.slice(a, 2000)
-                found = s.search(c.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [c.column(0).take(pa.array([t for t, _ in found], pa.int64())), pa.array([s.ix.ids[i] for _, i in found], kind)], names=names
-                )
+                h, off = w.split(c.column(1).to_pylist())
+                for n in range(len(indexes)):
+                    s = searcher(n)
+                    found = s.search(h, off)
+                    yield pa.RecordBatch.from_arrays(
+                        [c.column(0).take(pa.array([t for t, _ in found], pa.int64())), pa.array([s.ix.ids[i] for _, i in found], kind)], names=names
+                    )
 
     return work

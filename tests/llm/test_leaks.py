@@ -60,6 +60,7 @@ def test_against_brute_force(spark):
     want = brute(docs, items, rule)
     assert {tuple(r) for r in leaking_documents(d, i).collect()} == want and len(want) > 10
     assert {tuple(r) for r in leaking_documents(d, i, block_items=7).collect()} == want
+    assert {tuple(r) for r in leaking_documents(d, i, block_items=3, blocks_at_once=2).collect()} == want
 
 
 def test_looks_and_line_layout_make_no_difference(spark):
