@@ -7,14 +7,18 @@ rows are written partitioned by tag, and each tag gets its own schema.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from json.decoder import scanstring
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioscope.session import fresh_path
+
 
 @dataclass(frozen=True)
 class Node:
@@ -48,8 +52,106 @@ def _reject(name: str) -> None:
     raise ValueError(f"{name} is not JSON")
 
 
+# The forms of a JSON number and the blanks between JSON tokens.
+_NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(\.[0-9]+)?([eE][-+]?[0-9]+)?")
+_BLANK = re.compile(r"[ \t\n\r]*")
+_WORDS = {"true": True, "false": False, "null": None}
+
+
+def _scalar(text: str, at: int) -> tuple[object, int]:
+    """The string, number or word that begins at *at*, and where it ends."""
+    if text[at : at + 1] == '"':
+        return scanstring(text, at + 1, True)
+    for word, value in _WORDS.items():
+        if text.startswith(word, at):
+            return value, at + len(word)
+    m = _NUMBER.match(text, at)
+    if not m:
+        raise ValueError(f"no JSON value at {at}")
+    return (float(m[0]) if m[1] or m[2] else int(m[0])), m.end()
+
+
+def _load_deep(text: str):  # noqa: ANN202
+    """What json.loads returns, for nesting of any depth: open containers are kept in a list instead of on the stack."""
+    top: list = []
+    stack: list[list] = [[top, None]]  # container and the key that waits for its value
+    at = _BLANK.match(text).end()
+    while True:
+        # a value is due here
+        ch = text[at : at + 1]
+        if ch in "[{" and ch:
+            value: object = [] if ch == "[" else {}
+            at += 1
+        else:
+            value, at = _scalar(text, at)
+        box, key = stack[-1]
+        if isinstance(box, list):
+            box.append(value)
+        else:
+            box[key] = value
+        first = ch in "[{" and bool(ch)
+        if first:
+            stack.append([value, None])
+        # close what ends here, then go to the next value
+        while True:
+            at = _BLANK.match(text, at).end()
+            if len(stack) == 1:
+                if at != len(text):
+                    raise ValueError(f"more behind the JSON value at {at}")
+                return top[0]
+            box = stack[-1][0]
+            close = "]" if isinstance(box, list) else "}"
+            if text[at : at + 1] == close:
+                stack.pop()
+                at, first = at + 1, False
+                continue
+            if not first:
+                if text[at : at + 1] != ",":
+                    raise ValueError(f"no comma at {at}")
+                at = _BLANK.match(text, at + 1).end()
+            if isinstance(box, dict):
+                if text[at : at + 1] != '"':
+                    raise ValueError(f"no key at {at}")
+                stack[-1][1], at = scanstring(text, at + 1, True)
+                at = _BLANK.match(text, at).end()
+                if text[at : at + 1] != ":":
+                    raise ValueError(f"no colon at {at}")
+                at = _BLANK.match(text, at + 1).end()
+            break
+
+
 def _load(text: str):  # noqa: ANN202
-    return json.loads(text, parse_constant=_reject)
+    try:
+        return json.loads(text, parse_constant=_reject)
+    except RecursionError:
+        return _load_deep(text)
+
+
+def _dump(value) -> str:  # noqa: ANN001
+    """*value* as JSON, for nesting of any depth."""
+    try:
+        return json.dumps(value, ensure_ascii=False)
+    except RecursionError:
+        pass
+    out: list[str] = []
+    todo: list = [value]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, _Mark):
+            out.append(x)
+        elif isinstance(x, dict):
+            parts = [p for k, v in x.items() for p in (_Mark(", "), _Mark(json.dumps(k, ensure_ascii=False) + ": "), v)][1:]
+            todo += [_Mark("}"), *reversed(parts), _Mark("{")]
+        elif isinstance(x, list):
+            parts = [p for v in x for p in (_Mark(", "), v)][1:]
+            todo += [_Mark("]"), *reversed(parts), _Mark("[")]
+        else:
+            out.append(json.dumps(x, ensure_ascii=False))
+    return "".join(out)
+
+
+class _Mark(str):
+    """Text that is written as it stands."""
 
 
 def _opened(value):  # noqa: ANN001, ANN202
@@ -57,7 +159,7 @@ def _opened(value):  # noqa: ANN001, ANN202
     while isinstance(value, str):
         try:
             value = _load(value)
-        except (ValueError, RecursionError):
+        except ValueError:
             return None
     return value
 
@@ -91,7 +193,7 @@ def visit(payload: str | None, nodes: tuple[Node, ...] = STATE_NODES, root: tupl
         kind, obj, path, parent, place = stack.pop()
         inner = {(n.partition(":")[2] or kinds[n.partition(":")[0]].key) for n in kind.below}
         rest = {k: v for k, v in obj.items() if k not in inner}
-        yield kind.tag, path, parent, place, json.dumps(rest, ensure_ascii=False)
+        yield kind.tag, path, parent, place, _dump(rest)
         stack.extend(children(obj, kind.below, path)[::-1])
 
 
@@ -158,3 +260,16 @@ def typed_table(rows: DataFrame, key: str, node: Node) -> DataFrame:
 def write_tables(rows: DataFrame, path: str) -> None:
     """Write tagged rows partitioned by tag, so that each table is read alone."""
     rows.write.mode("overwrite").partitionBy("tag").parquet(path)
+
+
+def flat_tables(rows: DataFrame, key: str, nodes: tuple[Node, ...] = STATE_NODES) -> dict[str, DataFrame]:
+    """The flat table of every tag, from one pass over the records, written partitioned by tag to the shared folder."""
+    path = fresh_path(rows.sparkSession, "tagged")
+    write_tables(rows, path)
+    return read_tables(rows.sparkSession, path, rows.schema, key, nodes)
+
+
+def read_tables(spark: SparkSession, path: str, schema: T.StructType, key: str, nodes: tuple[Node, ...] = STATE_NODES) -> dict[str, DataFrame]:
+    """The flat tables from what :func:`write_tables` wrote; each reads the files of its tag only."""
+    back = spark.read.schema(schema).parquet(path)
+    return {n.tag: typed_table(back, key, n) for n in nodes}

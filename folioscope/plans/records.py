@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.operators.nested import STATE_NODES, tagged_rows, typed_table
+from folioscope.operators.nested import read_tables, tagged_rows, write_tables
 from folioscope.operators.orphans import Reference, orphan_cascade, orphan_report, records, references
-from folioscope.session import table
+from folioscope.session import fresh_path, once, table
 
 RUN_REFS = [Reference("run", "source_id", "entry"), Reference("run", "target_id", "element")]
 ALL_REFS = [
@@ -57,19 +57,31 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _states(spark, d).select("state_id", "node_path", "parent_path", F.col("tag").alias("node_kind"))
 
 
+def _flat(spark: SparkSession, d: str, tag: str) -> DataFrame:
+    """The flat table of one tag; the records are visited once for all of them."""
+    rows = _states(spark, d)
+
+    def write() -> str:
+        write_tables(rows, path := fresh_path(spark, "tagged"))
+        return path
+
+    path = once(spark, "p5-tables", [f"{d}/builder_states.parquet"], write)
+    return read_tables(spark, path, rows.schema, "state_id")[tag]
+
+
 def p5_runs(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of runs, with their columns."""
-    return typed_table(_states(spark, d), "state_id", STATE_NODES[2])
+    return _flat(spark, d, "run")
 
 
 def p5_blocks(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of blocks, with their columns."""
-    return typed_table(_states(spark, d), "state_id", STATE_NODES[1])
+    return _flat(spark, d, "block")
 
 
 def p5_sections(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of sections, with their columns."""
-    return typed_table(_states(spark, d), "state_id", STATE_NODES[0])
+    return _flat(spark, d, "section")
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_cascade, p5_found, p5_runs, p5_blocks, p5_sections)}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import blank, collapse, strip
 from folioscope.operators.bibliography import entry_fields, entry_type
-from folioscope.operators.nested import STATE_NODES, tagged_rows, typed_table
+from folioscope.operators.nested import flat_tables, tagged_rows
 from folioscope.sources.corpus import CELL, RUN, Corpus, make
 
 BIBLIOGRAPHY_HEADINGS = ("список использованных источников", "список литературы", "библиографический список", "список источников")
@@ -37,8 +37,8 @@ def from_states(spark: SparkSession, states: DataFrame, key: str = "state_id", p
     Numbered formulas are counted through. The latex of an inline formula is the text of its run, which no rule reads.
     A target that is the `id` of a section stands for that section.
     """
-    rows = tagged_rows(states, key, payload, order)
-    s, b, r = (typed_table(rows, key, n) for n in STATE_NODES)
+    flat = flat_tables(tagged_rows(states, key, payload, order), key)
+    s, b, r = flat["section"], flat["block"], flat["run"]
     path = F.transform(F.sequence(F.lit(1), F.size(F.split("node_path", "/"))), lambda k: F.array_join(F.slice(F.split("node_path", "/"), 1, k), "/"))
     head = F.array(_run(kind=F.lit("text"), text=F.coalesce("heading", F.lit(""))))
     w = Window.partitionBy(key).orderBy("sort")

@@ -48,6 +48,44 @@ def test_visit_shapes():
     assert len(list(visit(json.dumps(deep)))) == 300
 
 
+def test_records_of_any_depth():
+    n = 5000
+    text = '{"sections": [' + '{"id": "q", "subsections": [' * n + "]}" * n + "]}"
+    rows = list(visit(text))
+    assert len(rows) == n and rows[-1][1].count("/") == n - 1 and rows[0][4] == '{"id": "q"}'
+    assert list(visit(json.dumps(text)))[-1] == rows[-1] and list(visit(text[:-1])) == []
+    deep = '{"meta": ' + "[" * n + '"x", {}' + "]" * n + "}"
+    got = list(visit('{"sections": [' + deep + "]}"))
+    assert [r[4] for r in got] == [deep]
+
+
+def test_iterative_reader_agrees():
+    import random
+
+    from folioscope.operators.nested import _dump, _load_deep
+
+    rng = random.Random(3)
+
+    def value(d):
+        k = rng.randrange(8 if d else 5)
+        return [None, True, rng.randrange(-9, 99), rng.random() * 1e9, "a\"\\\nж𝒳"][k] if k < 5 else [value(d - 1) for _ in range(rng.randrange(4))] if k < 7 else {str(j): value(d - 1) for j in range(rng.randrange(4))}
+
+    for _ in range(300):
+        v = value(5)
+        assert _load_deep(json.dumps(v, indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5)) == v and json.loads(_dump(v)) == v
+    for bad in ("", "{", "[1,]", "[1 2]", '{"a" 1}', '{"a":1,}', "{1:2}", "tru", "NaN", "01", "[1]]", '"a', '["\n"]', "[,1]", "-", "1."):
+        try:
+            json.loads(bad, parse_constant=lambda x: (_ for _ in ()).throw(ValueError(x)))
+            ok = True
+        except ValueError:
+            ok = False
+        try:
+            _load_deep(bad)
+            assert ok, bad
+        except ValueError:
+            assert not ok, bad
+
+
 def test_tables_round_trip(spark, tmp_path):
     payload = json.dumps({"sections": [{"heading": "H", "disabled_checks": ["a"], "blocks": [{"kind": "paragraph", "runs": [{"kind": "text", "text": "т", "bold": True}, {"text": 5}]}]}]})
     df = spark.createDataFrame([(1, payload, 1, "x"), (1, payload, 1, "x"), (2, "{", 1, "x"), (3, None, 1, "x")], "state_id long, payload string, saved_at int, tag string")
