@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.session import materialize
@@ -72,8 +72,8 @@ def references(df: DataFrame, scope: str, key: str, loaded: str, refs: list[Refe
     )
 
 
-def direct_orphans(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges whose target is `missing`, else `deleted`, else `late` (loaded first after the referring record)."""
+def judged_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """*edges* with a status: `missing`, else `deleted`, else `late` (target first loaded after the referring record), else null."""
     n = nodes.select(
         F.col("space").alias("target"), "scope", F.col("key").alias("ref"), F.col("first_loaded").alias("target_loaded"), "deleted"
     )
@@ -82,8 +82,7 @@ def direct_orphans(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         .when(F.col("deleted"), "deleted")
         .when(F.col("target_loaded") > F.col("first_loaded"), "late")
     )
-    found = edges.join(n, ["target", "scope", "ref"], "left").withColumn("status", status)
-    return found.where("status is not null").select(*edges.columns, "status")
+    return edges.join(n, ["target", "scope", "ref"], "left").select(*edges.columns, status.alias("status"))
 
 
 def orphan_cascade(edges: list[DataFrame], nodes: list[DataFrame], refs: list[Reference], levels: int | None = None) -> DataFrame:
@@ -93,30 +92,44 @@ def orphan_cascade(edges: list[DataFrame], nodes: list[DataFrame], refs: list[Re
     with the records orphaned in the round before; a record is reported at the first level that reaches it, once
     per referring field. The rounds end when none is new; cycles end by themselves. Where more than *levels* are needed,
     if given, an error is raised.
-    Where nothing refers to the referring records there is no second round. Every round is written to the shared
-    folder, which keeps the plans short and survives lost executors.
+
+    The rounds go over the edges between spaces that are referred to; records nothing refers to can pass nothing on,
+    so theirs are joined once, when all others are known. Without such a space there is no second round. What a round
+    finds is written to the shared folder, which keeps the plans short and survives lost executors.
     """
-    edge = reduce(DataFrame.unionByName, edges)
-    found = direct_orphans(edge, reduce(DataFrame.unionByName, nodes)).withColumn("level", F.lit(0))
-    below = {r.target for r in refs}
+    judged = judged_edges(reduce(DataFrame.unionByName, edges), reduce(DataFrame.unionByName, nodes))
+    below = [r.target for r in refs]
     if not any(r.space in below for r in refs):
-        return found
-    edge = materialize(edge.withColumn("key", F.col("key").cast("string")), "edges")
-    found = materialize(found.withColumn("key", F.col("key").cast("string")), "orphans-0")
-    layers, known, frontier = [found], None, found
+        return judged.where("status is not null").withColumn("level", F.lit(0))
+    columns = [c for c in judged.columns if c != "status"]
+    judged = materialize(judged.withColumn("key", F.col("key").cast("string")), "edges")
+    passes = F.col("space").isin(*below)
+    record = ["space", "scope", "key"]
+    direct = judged.where("status is not null").withColumn("level", F.lit(0))
+    inner, leaves = (judged.where("status is null").where(x).select(*columns) for x in (passes, ~passes))
+    layers = [direct]
+    frontier = materialize(direct.where(passes).select(*record).distinct(), "orphans-0")
+    reached = [frontier.withColumn("level", F.lit(0))]
+    known = frontier
     for level in count(1):
-        new = frontier.select("space", "scope", "key").distinct()
-        known = new if known is None else known.unionByName(new)
-        parents = new.select(F.col("space").alias("target"), "scope", F.col("key").alias("ref"))
-        layer = edge.join(parents, ["target", "scope", "ref"], "left_semi").join(known, ["space", "scope", "key"], "left_anti")
-        layer = materialize(layer.select(*edge.columns, F.lit("inherited").alias("status"), F.lit(level).alias("level")), f"orphans-{level}")
+        parents = frontier.select(F.col("space").alias("target"), "scope", F.col("key").alias("ref"))
+        layer = inner.join(parents, ["target", "scope", "ref"], "left_semi").join(known, record, "left_anti")
+        layer = materialize(layer.select(*columns, F.lit("inherited").alias("status"), F.lit(level).alias("level")), f"orphans-{level}")
         if layer.isEmpty():
             break
         if levels is not None and level > levels:
             raise ValueError(f"orphans are inherited over more than {levels} levels")
         layers.append(layer)
-        frontier = layer
-    return reduce(DataFrame.unionByName, layers)
+        frontier = layer.select(*record).distinct()
+        known = known.unionByName(frontier)
+        reached.append(frontier.withColumn("level", F.lit(level)))
+    parents = reduce(DataFrame.unionByName, reached).select(F.col("space").alias("target"), "scope", F.col("key").alias("ref"), (F.col("level") + 1).alias("level"))
+    late = leaves.join(parents, ["target", "scope", "ref"]).join(direct.select(*record).distinct(), record, "left_anti")
+    late = late.withColumn("first", F.min("level").over(Window.partitionBy(*record))).where("level = first")
+    late = late.select(*columns, F.lit("inherited").alias("status"), "level")
+    if levels is not None and len(reached) > levels and not late.where(F.col("level") > levels).isEmpty():
+        raise ValueError(f"orphans are inherited over more than {levels} levels")
+    return reduce(DataFrame.unionByName, [*layers, late])
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

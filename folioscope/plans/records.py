@@ -103,4 +103,46 @@ select * from (
   from e left join n on n.space = e.space and n.doc_id = e.doc_id and n.ref = e.ref) where status is not null
 """
 
-SQL = {"p4_found": _P4}
+_P4_CASCADE = """
+with recursive loads as (
+  select 'run' as space, doc_id as scope, cast(run_id as varchar) as key, 'source_id' as field, 'entry' as target, trim(any_value(source_id)) as ref, min(loaded_at) as t from runs group by run_id, doc_id
+  union all select 'run', doc_id, cast(run_id as varchar), 'target_id', 'element', trim(any_value(target_id)), min(loaded_at) from runs group by run_id, doc_id
+  union all select 'run', doc_id, cast(run_id as varchar), 'block_id', 'element', trim(any_value(block_id)), min(loaded_at) from runs group by run_id, doc_id
+  union all select 'element', doc_id, block_id, 'container_id', 'element', trim(arg_min(container_id, loaded_at)), min(loaded_at) from blocks group by block_id, doc_id
+  union all select 'element', doc_id, sec_id, 'parent_id', 'element', trim(arg_min(parent_id, loaded_at)), min(loaded_at) from sections group by sec_id, doc_id),
+edge as (select * from loads where ref <> ''),
+el as (select doc_id, block_id as ref, loaded_at, is_deleted from blocks union all select doc_id, sec_id, loaded_at, is_deleted from sections),
+node as (select 'entry' as target, doc_id as scope, entry_id as ref, min(loaded_at) as nt, arg_max(is_deleted, loaded_at) as gone from bibliography group by doc_id, entry_id
+  union all select 'element', doc_id, ref, min(loaded_at), arg_max(is_deleted, loaded_at) from el group by doc_id, ref),
+direct as (select * from (select e.*, case when n.ref is null then 'missing' when n.gone then 'deleted' when n.nt > e.t then 'late' end as status
+  from edge e left join node n on n.target = e.target and n.scope = e.scope and n.ref = e.ref) where status is not null),
+reach as (select distinct space, scope, key, 0 as level from direct
+  union select e.space, e.scope, e.key, r.level + 1 from edge e join reach r on e.target = r.space and e.scope = r.scope and e.ref = r.key where r.level < 60),
+lowest as (select space, scope, key, min(level) as level from reach group by all),
+inherited as (select e.*, 'inherited' as status, mine.level from edge e join lowest mine on mine.space = e.space and mine.scope = e.scope and mine.key = e.key
+  join lowest up on up.space = e.target and up.scope = e.scope and up.key = e.ref where mine.level > 0 and up.level = mine.level - 1)
+select space, field as ref_field, strftime(t, '%Y-%m') as period, status, level, count(*) as orphans
+from (select space, field, t, status, 0 as level from direct union all select space, field, t, status, level from inherited) group by all
+"""
+
+_P5 = """
+with recursive one as (select state_id, arg_max(payload, (saved_at, payload)) as p from builder_states where payload is not null group by state_id),
+w as (
+  select state_id, 'state' as role, '' as path, '' as parent, '' as kind, try_cast(p as json) as v from one
+  union all
+  select n.state_id, n.role, n.path, n.parent, n.kind, n.v from (
+    select w.state_id, w.role, w.path, w.parent, w.kind, try_cast((w.v ->> '$') as json) as v from w where json_type(w.v) = 'VARCHAR' and w.role <> 'node'
+    union all
+    select w.state_id, 'list', w.path, '', c.kind, json_extract(w.v, '$.' || c.field)
+    from w join (values ('state', '', 'section', 'sections'), ('node', 'section', 'section', 'subsections'), ('node', 'section', 'block', 'blocks'), ('node', 'block', 'run', 'runs')) c(role, of, kind, field)
+      on c.role = w.role and c.of = w.kind where json_type(w.v) = 'OBJECT'
+    union all
+    select state_id, 'node', case when path = '' then '' else path || '/' end || left(kind, 1) || (i - 1), path, kind, x from (
+      select state_id, path, kind, unnest(a) as x, generate_subscripts(a, 1) as i from (
+        select w.state_id, w.path, w.kind, case when json_type(w.v) = 'OBJECT' then [w.v] else json_extract(w.v, '$[*]') end as a
+        from w where w.role = 'list' and json_type(w.v) in ('OBJECT', 'ARRAY'))) where json_type(x) = 'OBJECT'
+  ) n)
+select state_id, path as node_path, parent as parent_path, kind as node_kind from w where role = 'node'
+"""
+
+SQL = {"p4_found": _P4, "p4_cascade": _P4_CASCADE, "p5_found": _P5}
