@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import LEFT, RIGHT
@@ -10,35 +10,42 @@ from folioscope.operators.rules import _is
 from folioscope.sources.corpus import Corpus
 
 
+# What names the kind of a source; the first kind named counts, a book is the rest.
+KINDS = [
+    ("web", r"(?i)https?://"),
+    ("standard", rf"{LEFT}ГОСТ{RIGHT}"),
+    ("thesis", rf"(?iu){LEFT}(?:дис\.|диссертация{RIGHT}|автореф\.)"),
+    ("conference", rf"(?iu){LEFT}(?:конференция{RIGHT}|материалы{RIGHT}|сб\.\s*ст\.)"),
+    ("law", rf"(?iu){LEFT}(?:закон{RIGHT}|федер\.\s*закон{RIGHT}|постановление{RIGHT})"),
+    ("article", rf"(?:^|\s)//\s|{LEFT}Журнал{RIGHT}|журн\.|{LEFT}No\.|№"),
+]
+# Where the fields of a description stand (pattern and group), in the order they are tried.
+FIELDS = [
+    ("author", r"^(?:[А-ЯЁ][а-яё]+\s[А-ЯЁ]\.\s?[А-ЯЁ]\.|[A-Z][a-z]+,?\s[A-Z]\.\s?[A-Z]\.)", 0),
+    ("year", rf"{LEFT}(?:19|20)\d{{2}}{RIGHT}", 0),
+    ("url", r"https?://\S+", 0),
+    ("doi", r"10\.\d{4,9}/[-._;()/:A-Za-z0-9]+", 0),
+    ("access_date", r"(?iu)дата\s+обращения:\s*(\d{1,2}\.\d{1,2}\.\d{4})", 1),
+    ("place", r"—\s*([А-ЯЁ][а-яё]+(?:[ \-][А-ЯЁ][а-яё]+)?)\s*:", 1),
+]
+# Marks of the surrounding sentence at the end of a link.
+CLOSING = ").,;"
+
+
 def entry_type(raw: Column) -> Column:
-    """The kind of source a description names: web, standard, thesis, conference, law, article or book, in this order."""
-    return (
-        F.when(raw.rlike("(?i)https?://"), "web")
-        .when(raw.rlike(rf"{LEFT}ГОСТ{RIGHT}"), "standard")
-        .when(raw.rlike(rf"(?iu){LEFT}дис\.|{LEFT}диссертация{RIGHT}|{LEFT}автореф\."), "thesis")
-        .when(raw.rlike(rf"(?iu){LEFT}конференция{RIGHT}|{LEFT}материалы{RIGHT}|{LEFT}сб\.\s*ст\."), "conference")
-        .when(raw.rlike(rf"(?iu){LEFT}закон{RIGHT}|{LEFT}федер\.\s*закон{RIGHT}|{LEFT}постановление{RIGHT}"), "law")
-        .when(raw.rlike(rf"(?:^|\s)//\s|{LEFT}Журнал{RIGHT}|журн\.|{LEFT}No\.|№"), "article")
-        .otherwise("book")
-    )
+    """The kind of source a description names: web, standard, thesis, conference, law, article or book."""
+    named = F.filter(F.array(*[F.when(raw.rlike(pattern), kind) for kind, pattern in KINDS]), lambda k: k.isNotNull())
+    return F.coalesce(F.try_element_at(named, F.lit(1)), F.lit("book"))
 
 
 def entry_fields(raw: Column) -> Column:
-    """Fields found in a description, as a map without the absent ones."""
-
-    def get(pattern: str, group: int = 0) -> Column:
-        return F.nullif(F.regexp_extract(raw, pattern, group), F.lit(""))
-
-    found = {
-        "author": F.coalesce(get(r"^[А-ЯЁ][а-яё]+\s[А-ЯЁ]\.\s?[А-ЯЁ]\."), get(r"^[A-Z][a-z]+,?\s[A-Z]\.\s?[A-Z]\.")),
-        "year": get(rf"{LEFT}(?:19|20)\d{{2}}{RIGHT}"),
-        "url": get(r"https?://\S+"),
-        "doi": get(r"10\.\d{4,9}/[-._;()/:A-Za-z0-9]+"),
-        "access_date": get(r"(?iu)дата\s+обращения:\s*(\d{1,2}\.\d{1,2}\.\d{4})", 1),
-        "place": get(r"—\s*([А-ЯЁ][а-яё]+(?:[ \-][А-ЯЁ][а-яё]+)?)\s*:", 1),
-        "language": F.when(raw.rlike("^[А-ЯЁа-яё]"), "ru").when(raw.rlike("^[A-Za-z]"), "en"),
-    }
-    pairs = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in found.items()]), lambda x: x["v"].isNotNull())
+    """Fields found in a description, as a map without the absent ones; links end before marks of the sentence."""
+    found = []
+    for name, pattern, group in FIELDS:
+        value = F.regexp_extract(raw, pattern, group)
+        found.append((name, F.rtrim(value, F.lit(CLOSING)) if name in ("url", "doi") else value))
+    found.append(("language", F.when(raw.rlike("^[А-ЯЁа-яё]"), "ru").when(raw.rlike("^[A-Za-z]"), "en")))
+    pairs = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in found]), lambda x: F.coalesce(x["v"], F.lit("")) != "")
     return F.map_from_entries(pairs)
 
 
@@ -63,8 +70,6 @@ def missing_sources(c: Corpus, pattern: str = STANDARD) -> DataFrame:
     e = c.relation("entries")
     have = e.select("doc_id", F.explode(F.concat(F.regexp_extract_all(raw, F.lit(pattern), F.lit(0)), F.transform(F.regexp_extract_all(raw, F.lit(LAW), F.lit(1)), lambda x: F.concat(x, F.lit("-ФЗ"))))).alias("source"))
     last = e.groupBy("doc_id").agg(F.max("ordinal").alias("last"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("doc_id").orderBy("at", "source")
     new = first.join(have, ["doc_id", "source"], "left_anti").withColumn("k", F.row_number().over(w)).join(last, "doc_id", "left")
     return new.select("doc_id", "source", (F.coalesce("last", F.lit(0)) + F.col("k")).alias("ordinal"))

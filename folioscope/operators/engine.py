@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,8 @@ class Profile:
 
 
 RULES: dict[str, Rule] = {}
+#: Registered codes that find nothing by design; they cost a run of several rules nothing.
+EMPTY: set[str] = set()
 
 
 def register(rule: Rule) -> Rule:
@@ -116,20 +120,51 @@ def validate(c: Corpus, profile: Profile | None = None, codes: list[str] | None
     section that disables the check, or all checks ("*"), itself or in a section above it, are left out.
     """
     profile = profile or Profile()
+    frames = [make() for make in _parts(c, profile, codes)]
+    if not frames:
+        return c.docs.sparkSession.createDataFrame([], f"doc_id {c.docs.schema['doc_id'].dataType.simpleString()}, {VIOLATION}")
+    return _settled(reduce(DataFrame.unionByName, frames), c, profile, suppress)
+
+
+def validate_in_parts(c: Corpus, profile: Profile | None = None, suppress: bool = True, at_once: int = 8) -> DataFrame:
+    """What validate finds with all enabled rules, each relation and each corpus rule as a job of its own, written once.
+
+    *at_once* jobs are planned and run beside each other, which keeps plans small and the cluster busy. *c* should be
+    written (Corpus.written), so that the parts share what is derived.
+    """
+    profile = profile or Profile()
+    parts = _parts(c, profile, None)
+    if not parts:
+        return validate(c, profile, ["none"], suppress)
+    with ThreadPoolExecutor(at_once) as pool:
+        found = list(pool.map(lambda make: materialize(make(), "found"), parts))
+    return _settled(reduce(DataFrame.unionByName, found), c, profile, suppress)
+
+
+def _parts(c: Corpus, profile: Profile, codes: list[str] | None) -> list[Callable[[], DataFrame]]:
+    """What makes the findings (COLUMNS) of each relation's local rules and of each corpus rule."""
     codes = [x for x in (codes or runnable(profile)) if x in RULES]
-    frames = []
     by: dict[str, list[Rule]] = {}
-    for r in (RULES[x] for x in codes):
+    parts: list[Callable[[], DataFrame]] = []
+    for r in (RULES[x] for x in codes if x not in EMPTY or len(codes) == 1):
         if r.local:
             by.setdefault(r.relation, []).append(r)
         else:
-            f = r.whole(c, profile.of(r.code)).withColumn("check_code", F.lit(r.code)).withColumn("detail", F.col("detail").cast("string"))
-            frames.append((f if "sec" in f.columns else f.withColumn("sec", F.lit(None).cast("string"))).select(*COLUMNS))
-    for name, rules in by.items():
-        frames.append(_scan(c.relation(name), rules, profile))
-    if not frames:
-        return c.docs.sparkSession.createDataFrame([], f"doc_id {c.docs.schema['doc_id'].dataType.simpleString()}, {VIOLATION}")
-    found = reduce(DataFrame.unionByName, frames)
+            parts.append(partial(_whole, c, r, profile))
+    return [*(partial(_scan_of, c, name, rules, profile) for name, rules in by.items()), *parts]
+
+
+def _scan_of(c: Corpus, name: str, rules: list[Rule], profile: Profile) -> DataFrame:
+    return _scan(c.relation(name), rules, profile)
+
+
+def _whole(c: Corpus, r: Rule, profile: Profile) -> DataFrame:
+    f = r.whole(c, profile.of(r.code)).withColumns({"check_code": F.lit(r.code), "detail": F.col("detail").cast("string")})
+    return (f if "sec" in f.columns else f.withColumn("sec", F.lit(None).cast("string"))).select(*COLUMNS)
+
+
+def _settled(found: DataFrame, c: Corpus, profile: Profile, suppress: bool) -> DataFrame:
+    """Severities as the profile wants them, without what sections disable."""
     if profile.severity:
         names = F.create_map(*[F.lit(x) for kv in profile.severity.items() for x in kv])
         found = found.withColumn("severity", F.coalesce(names[F.col("check_code")], "severity"))
@@ -138,27 +173,24 @@ def validate(c: Corpus, profile: Profile | None = None, codes: list[str] | None
     return found.drop("sec")
 
 
-def validate_in_parts(c: Corpus, profile: Profile | None = None, suppress: bool = True, size: int = 6) -> DataFrame:
-    """What validate finds with all enabled rules, *size* corpus rules at a time, each part written once.
+def _coded(items: Column, code: str) -> Column:
+    return F.transform(items, lambda x: F.struct(F.lit(code).alias("check_code"), x["severity"].alias("severity"), x["location"].alias("location"), x["detail"].alias("detail")))
 
-    One plan of all rules needs more of the driver than the rules themselves do; the parts bound it.
-    """
-    codes = runnable(profile or Profile())
-    local_, whole_ = ([x for x in codes if bool(RULES[x].local) is kind] for kind in (True, False))
-    parts = [p for p in (local_, *(whole_[k : k + size] for k in range(0, len(whole_), size))) if p]
-    found = [materialize(validate(c, profile, part, suppress), "found") for part in parts]
-    return reduce(DataFrame.unionByName, found) if found else validate(c, profile, ["none"], suppress)
 
+_FINDINGS: dict[tuple, Column] = {}
 
-def _coded(items: Column, code: str) -> Column:
-    return F.transform(items, lambda x: F.struct(F.lit(code).alias("check_code"), x["severity"].alias("severity"), x["location"].alias("location"), x["detail"].alias("detail")))
+
+def _findings(r: Rule, p: dict) -> Column:
+    """The column of findings of a row-local rule; it depends on rule and parameters only and is built once."""
+    key = (id(SparkContext._gateway), r, repr(sorted(p.items())))  # noqa: SLF001
+    if key not in _FINDINGS:
+        _FINDINGS[key] = _coded(r.local(p), r.code)
+    return _FINDINGS[key]
 
 
 def _scan(df: DataFrame, rules: list[Rule], profile: Profile) -> DataFrame:
-    sec = {"heads": "sec_id", "blocks": "container_id"}.get(rules[0].relation)
-    parts = []
-    for r in rules:
-        parts.append(_coded(r.local(profile.of(r.code)), r.code))
+    sec = next((x for x in ("sec", "container_id", "sec_id") if x in df.columns), None)  # the section a row lies in
+    parts = [_findings(r, profile.of(r.code)) for r in rules]
     found = F.flatten(F.array(*parts)) if len(parts) > 1 else parts[0]
     where = F.col(sec) if sec else F.lit(None).cast("string")
     return df.select("doc_id", where.alias("sec"), F.inline(found)).select(*COLUMNS)
@@ -166,7 +198,7 @@ def _scan(df: DataFrame, rules: list[Rule], profile: Profile) -> DataFrame:
 
 def suppressed(found: DataFrame, heads: DataFrame) -> DataFrame:
     """*found* without what a section disables; both joins are on keys, whatever the number of sections."""
-    off = heads.select("doc_id", F.col("sec_id").alias("up"), F.explode("disabled_checks").alias("code"))
+    off = heads.where(F.size("disabled_checks") > 0).select("doc_id", F.col("sec_id").alias("up"), F.explode("disabled_checks").alias("code"))
     inside = heads.select("doc_id", "sec_id", F.explode(F.array_union(F.coalesce("path", F.array().cast("array<string>")), F.array("sec_id"))).alias("up"))
     quiet = inside.join(off, ["doc_id", "up"]).select("doc_id", F.col("sec_id").alias("sec"), "code").distinct()
     every = quiet.where("code = '*'").select("doc_id", "sec").distinct()

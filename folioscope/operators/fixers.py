@@ -1,7 +1,7 @@
 """Rewrites that repair what rules find, with a log of what changed.
 
-A fixer maps a frame of the corpus to the same frame. The log is the difference between before and after, taken in
-the same projection, so fixing twice logs nothing the second time. Fixers run in order; later ones see what earlier
+A fixer gives new values for columns of a frame of the corpus. The log is the difference between before and after,
+taken in the same pass, so fixing twice logs nothing the second time. Fixers run in order; later ones see what earlier
 ones wrote.
 """
 
@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.functions.text import RIGHT, blank, collapse, strip, text_of
 from folioscope.operators import rules as R
@@ -24,65 +25,86 @@ from folioscope.sources.corpus import Corpus
 
 @dataclass(frozen=True)
 class Fixer:
-    """*columns* gives new values for columns of *frame*; *whole* rewrites the frame when columns are not enough."""
+    """*columns* gives new values for columns of *frame*, *gone* the rows that are dropped.
+
+    *prepare* adds to the frame what the new values need beyond the row.
+    """
 
     code: str
     frame: str
     columns: Callable[[dict], dict[str, Column]] | None = None
-    whole: Callable[[DataFrame, dict], DataFrame] | None = None
+    gone: Callable[[dict], Column] | None = None
+    prepare: Callable[[DataFrame], DataFrame] | None = None
 
 
 FIXERS: dict[str, Fixer] = {}
 KEYS = {"docs": "doc_id", "pages": "ps_id", "secs": "sec_id", "blocks": "block_id"}
 
 
-def columns(code: str, frame: str):  # noqa: ANN201
-    def add(fn):  # noqa: ANN001, ANN202
-        if code in FIXERS:
-            raise ValueError(f"{code} is registered already")
-        FIXERS[code] = Fixer(code, frame, columns=fn)
-        return fn
+def _add(f: Fixer) -> None:
+    if f.code in FIXERS:
+        raise ValueError(f"{f.code} is registered already")
+    FIXERS[f.code] = f
+
 
-    return add
+def columns(code: str, frame: str, prepare: Callable[[DataFrame], DataFrame] | None = None):  # noqa: ANN201
+    return lambda fn: _add(Fixer(code, frame, columns=fn, prepare=prepare)) or fn
 
 
-def whole(code: str, frame: str):  # noqa: ANN201
-    def add(fn):  # noqa: ANN001, ANN202
-        FIXERS[code] = Fixer(code, frame, whole=fn)
-        return fn
+def gone(code: str, frame: str, prepare: Callable[[DataFrame], DataFrame] | None = None):  # noqa: ANN201
+    return lambda fn: _add(Fixer(code, frame, gone=fn, prepare=prepare)) or fn
 
-    return add
+
+def registered_fixers() -> list[str]:
+    """The codes that can be fixed, sorted."""
+    return sorted(FIXERS)
 
 
 def fix(c: Corpus, profile: Profile | None = None, codes: list[str] | None = None) -> tuple[Corpus, DataFrame]:
     """The repaired corpus and the log (doc_id, fixer_code, location).
 
-    *codes* runs exactly those, even if the profile disables them; unknown codes are skipped.
+    *codes* runs exactly those, even if the profile disables them; unknown codes are skipped. All fixers of a frame are
+    one pass over it: each step adds the new values and a flag whether they differ, the frame is written once, and the
+    log is read from the flags.
     """
     profile = profile or Profile()
     names = [x for x in (codes if codes is not None else sorted(FIXERS)) if x in FIXERS and (codes is not None or x not in profile.disabled)]
+    by: dict[str, list[Fixer]] = {}
+    for x in names:
+        by.setdefault(FIXERS[x].frame, []).append(FIXERS[x])
     logs = []
-    for code in names:
-        f = FIXERS[code]
-        df = getattr(c, f.frame)
-        p = profile.of(code)
-        if f.columns:
-            new = f.columns(p)
-            # written once: the log and the next fixer read it, and chained rewrites of nested columns stay small plans
-            after = materialize(df.withColumns({f"__{k}": v for k, v in new.items()}), f"fix-{code}")
-            moved = reduce(lambda a, b: a | b, [~F.col(k).eqNullSafe(F.col(f"__{k}")) for k in new if k != "margins_mm"] + [F.to_json(k) != F.to_json(f"__{k}") for k in new if k == "margins_mm"])
-            logs.append(after.where(moved).select("doc_id", F.lit(code).alias("fixer_code"), F.col(KEYS[f.frame]).cast("string").alias("location")))
-            df = after.select(*[F.col(f"__{k}").alias(k) if k in new else F.col(k) for k in df.columns])
-        else:
-            after = materialize(f.whole(df, p), f"fix-{code}")
-            gone = df.join(after.select("doc_id", KEYS[f.frame]), ["doc_id", KEYS[f.frame]], "left_anti")
-            logs.append(gone.select("doc_id", F.lit(code).alias("fixer_code"), F.col(KEYS[f.frame]).cast("string").alias("location")))
-            df = after
-        c = replace(c, **{f.frame: df}, made={})
+    for frame, fixers in by.items():
+        before = getattr(c, frame)
+        df = before.withColumns({"__fixed": F.array().cast("array<string>"), "__gone": F.lit(False)})
+        for f in fixers:
+            df = _step(df, f, profile.of(f.code))
+        after = materialize(df.select(*before.columns, "__fixed", "__gone"), f"fixed-{frame}")
+        logs.append(after.select("doc_id", F.explode("__fixed").alias("fixer_code"), F.col(KEYS[frame]).cast("string").alias("location")))
+        c = replace(c, **{frame: after.where("not __gone").select(*before.columns)}, made={})
     empty = c.docs.where("false").select("doc_id", F.lit("").alias("fixer_code"), F.lit("").alias("location"))
     return c, reduce(DataFrame.unionByName, logs, empty)
 
 
+def _step(df: DataFrame, f: Fixer, p: dict) -> DataFrame:
+    """*df* after one fixer, whose code joins __fixed where it changed something; rows already dropped stay as they are."""
+    if f.prepare:
+        df = f.prepare(df)
+    if f.gone:
+        drop = ~F.col("__gone") & F.coalesce(f.gone(p), F.lit(False))
+        df = df.withColumn("__now", drop)
+        return df.withColumns({"__fixed": F.when(F.col("__now"), F.array_append("__fixed", F.lit(f.code))).otherwise(F.col("__fixed")), "__gone": F.col("__gone") | F.col("__now")}).drop("__now")
+    new = f.columns(p)
+    kinds = {k: df.schema[k].dataType for k in new}
+    df = df.withColumns({f"__new_{k}": v.cast(kinds[k]) for k, v in new.items()})
+
+    def shape(k: str) -> Column:  # maps cannot be compared
+        return F.to_json(k) if isinstance(kinds[k.removeprefix("__new_")], T.MapType) else F.col(k)
+
+    moved = reduce(lambda a, b: a | b, [~shape(k).eqNullSafe(shape(f"__new_{k}")) for k in new])
+    df = df.withColumn("__fixed", F.when(moved & ~F.col("__gone"), F.array_append("__fixed", F.lit(f.code))).otherwise(F.col("__fixed")))
+    return df.withColumns({k: F.col(f"__new_{k}") for k in new}).drop(*[f"__new_{k}" for k in new])
+
+
 def _set(code: str, frame: str, column: str, wrong: Callable[[dict], Column], value: Callable[[dict], object]) -> None:
     @columns(code, frame)
     def _f(p: dict) -> dict[str, Column]:
@@ -204,36 +226,48 @@ def _h03(p: dict) -> dict[str, Column]:
 
 @columns("H.08", "secs")
 def _h08(p: dict) -> dict[str, Column]:
-    return {"heading": _edit_run("heading", F.size("heading") - 1, lambda t: F.regexp_replace(t, r"(?U)(\.\.\.|\.|…)(\s*)$", "$2"))}
+    last = F.array_max(F.transform("heading", lambda r, i: F.when((r["kind"] == "text") & (F.coalesce(r["text"], F.lit("")) != ""), i)))
+    return {"heading": _edit_run("heading", last, lambda t: F.regexp_replace(t, r"(?U)(\.\.\.|\.|…)(\s*)$", "$2"))}
 
 
-@columns("H.04", "secs")
-def _h04(p: dict) -> dict[str, Column]:
-    """Number headings 1, 1.1, 1.1.1 in order; structural ones lose their number and what is below them counts on.
+def _plain() -> Column:
+    return F.array_join(F.transform(F.filter("heading", lambda r: r["kind"] == "text"), lambda r: F.coalesce(r["text"], F.lit(""))), "")
 
-    The number of a section counts the numbered siblings up to it; the levels above come from running counts, which
-    restart whenever a higher level begins.
+
+def _bare() -> Column:
+    return F.regexp_replace(_plain(), r"(?iu)^(?:(?:глава|раздел|часть)\s+)?\d+(?:\.\d+)*\.?\s+", "")
+
+
+def _structural() -> Column:
+    n = F.regexp_replace(collapse(_bare()), r"\.+$", "")
+    return n.isin(*R.STRUCTURAL) | n.startswith("приложение")
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """*df* with __number: 1, 1.1, 1.1.1 ... by the places among the numbered siblings, at any depth; null below structural sections.
+
+    The places of a section and its ancestors are joined by the path, so no level needs a pass of its own.
     """
-    plain = F.array_join(F.transform(F.filter("heading", lambda r: r["kind"] == "text"), lambda r: F.coalesce(r["text"], F.lit(""))), "")
-    bare = F.regexp_replace(plain, r"(?iu)^(?:(?:глава|раздел|часть)\s+)?\d+(?:\.\d+)*\.?\s+", "")
-    n = F.regexp_replace(collapse(bare), r"\.+$", "")
-    structural = n.isin(*R.STRUCTURAL) | n.startswith("приложение")
-    order = ["sec_ord", "sec_id"]
-    doc = Window.partitionBy("doc_id").orderBy(*order)
-    at, above = [], []
-    for k in range(1, 5):
-        own = F.when((F.col("level") == k) & ~structural, 1).otherwise(0)
-        # a count restarts where a section of a higher level begins
-        starts = [F.sum(F.when(F.col("level") < k, 1).otherwise(0)).over(doc)] if k > 1 else []
-        w = Window.partitionBy("doc_id", *starts).orderBy(*order)
-        at.append(F.sum(own).over(w).cast("string"))
-        above.append(F.when(F.col("level") == k, F.concat_ws(".", *at)))
-    # a section below a structural heading keeps its text: it has no numbered parent
-    hidden = F.last(F.when(F.col("level") == 1, structural), ignorenulls=True).over(doc)
-    number = F.coalesce(*above)
-    text = F.when(structural | F.coalesce(hidden, F.lit(False)), bare).otherwise(F.concat(number, F.lit(" "), bare))
+    place = F.row_number().over(Window.partitionBy("doc_id", "parent_id", "__s").orderBy("sec_ord", "sec_id"))
+    own = df.where("not __gone").select("doc_id", "sec_id", "parent_id", "sec_ord", "path", _structural().alias("__s")).withColumn("place", place)
+    path = F.when(F.size(F.coalesce("path", F.array())) > 0, F.col("path")).otherwise(F.array("sec_id"))
+    up = own.select("doc_id", "sec_id", F.posexplode(path).alias("at", "up"))
+    ranks = own.select("doc_id", F.col("sec_id").alias("up"), "place", "__s")
+    per = up.join(ranks, ["doc_id", "up"]).groupBy("doc_id", "sec_id").agg(
+        F.sort_array(F.collect_list(F.struct("at", "place"))).alias("r"), F.max(F.when(F.col("up") != F.col("sec_id"), F.col("__s"))).alias("inside")
+    )
+    number = F.array_join(F.transform("r", lambda x: x["place"].cast("string")), ".")
+    per = per.select("doc_id", "sec_id", F.when(~F.coalesce("inside", F.lit(False)), number).alias("__number"))
+    return df.drop("__number").join(per, ["doc_id", "sec_id"], "left")
+
+
+@columns("H.04", "secs", prepare=_numbered)
+def _h04(p: dict) -> dict[str, Column]:
+    """Number headings 1, 1.1, 1.1.1 in order; structural ones lose their number, and what is below them stays as it is."""
+    plain, bare = _plain(), _bare()
+    text = F.when(_structural(), bare).otherwise(F.concat("__number", F.lit(" "), bare))
     one = F.transform(F.slice("heading", 1, 1), lambda r: r.withField("text", text))
-    return {"heading": F.when((F.trim(bare) != "") & (text != plain), one).otherwise(F.col("heading"))}
+    return {"heading": F.when(F.col("__number").isNotNull() & (F.trim(bare) != "") & (text != plain), one).otherwise(F.col("heading"))}
 
 
 # paragraphs
@@ -272,15 +306,18 @@ _set("T.05", "blocks", "alignment", lambda p: _body() & (F.col("alignment") != "
 _set("T.06", "docs", "auto_hyphenation", lambda p: F.col("auto_hyphenation"), lambda p: False)
 
 
-@whole("T.07", "blocks")
-def _t07(df: DataFrame, p: dict) -> DataFrame:
-    """Drop surplus empty paragraphs; any other block in the container ends a run of them."""
-    empty = _type() & blank(_runs_text())
+def _islands(df: DataFrame) -> DataFrame:
+    """*df* with __k: the place of an empty paragraph in its run; any other block in the container ends a run of them."""
     w = Window.partitionBy("doc_id", "container_id").orderBy("block_ord", "block_id")
-    d = df.withColumn("__e", empty).withColumn("__g", F.sum(F.when(F.col("__e"), 0).otherwise(1)).over(w))
+    d = df.withColumn("__e", _type() & blank(_runs_text())).withColumn("__g", F.sum(F.when(F.col("__e"), 0).otherwise(1)).over(w))
     v = Window.partitionBy("doc_id", "container_id", "__g", "__e").orderBy("block_ord", "block_id")
-    d = d.withColumn("__k", F.row_number().over(v))
-    return d.where(~F.col("__e") | (F.col("__k") <= int(p.get("max_consecutive_empty", 1)))).select(*df.columns)
+    return d.withColumn("__k", F.when(F.col("__e"), F.row_number().over(v))).drop("__e", "__g")
+
+
+@gone("T.07", "blocks", prepare=_islands)
+def _t07(p: dict) -> Column:
+    """Surplus empty paragraphs."""
+    return F.col("__k") > int(p.get("max_consecutive_empty", 1))
 
 
 @columns("T.08", "blocks")

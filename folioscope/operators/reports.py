@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import blank, collapse, words
-from folioscope.session import materialize
+from folioscope.session import exists, materialize
 from folioscope.sources.corpus import Corpus
 
 SEVERITIES = ["error", "warning", "info"]
@@ -16,6 +16,10 @@ def _count(kind: str) -> Column:
     return F.coalesce(F.count_if(F.col("block_type") == kind), F.lit(0))
 
 
+def _has(kind: str) -> Column:
+    return F.exists("runs", lambda r: r["kind"] == kind)
+
+
 def _block_counters() -> list[Column]:
     par = F.col("block_type") == "paragraph"
     some = par & ~blank("text")
@@ -23,16 +27,21 @@ def _block_counters() -> list[Column]:
         _count("paragraph").alias("paragraphs"),
         F.count_if(some).alias("nonempty_paragraphs"),
         *[_count(k).alias(f"{k}s") for k in ("figure", "table", "formula", "list")],
+        F.sum(F.when(F.col("block_type") == "list", F.coalesce(F.size("items"), F.lit(0))).otherwise(0)).alias("list_items"),
         F.sum(F.when(par, words("text")).otherwise(0)).alias("words"),
         F.sum(F.when(some, F.length("text")).otherwise(0)).alias("chars"),
+        *[F.count_if(par & F.coalesce(_has(k), F.lit(False))).alias(f"paragraphs_with_{n}") for k, n in (("formula", "formula"), ("xref", "xref"), ("citation", "citation"))],
     ]
 
 
-_COUNTERS = ["paragraphs", "nonempty_paragraphs", "figures", "tables", "formulas", "lists", "words", "chars"]
+_COUNTERS = [
+    "paragraphs", "nonempty_paragraphs", "figures", "tables", "formulas", "lists", "list_items", "words", "chars",
+    "paragraphs_with_formula", "paragraphs_with_xref", "paragraphs_with_citation",
+]
 
 
 def document_stats(c: Corpus) -> DataFrame:
-    """Counters of every document: words and characters of paragraphs, blocks by kind, sections by level, entries.
+    """Counters of every document: words and characters of paragraphs, blocks by kind, sections by level, entries, pages.
 
     Words are counted between white space; characters only in paragraphs that show something. Documents without
     content have zeros.
@@ -40,18 +49,22 @@ def document_stats(c: Corpus) -> DataFrame:
     b = c.relation("blocks").groupBy("doc_id").agg(*_block_counters())
     s = c.relation("heads").groupBy("doc_id").agg(F.count("*").alias("sections"), *[F.count_if(F.col("level") == k).alias(f"sections_{k}") for k in (1, 2, 3)])
     e = c.relation("entries").groupBy("doc_id").agg(F.count("*").alias("entries"))
-    out = c.docs.select("doc_id").join(b, "doc_id", "left").join(s, "doc_id", "left").join(e, "doc_id", "left")
+    g = c.pages.groupBy("doc_id").agg(F.count("*").alias("page_sections"))
+    out = c.docs.select("doc_id").join(b, "doc_id", "left").join(s, "doc_id", "left").join(e, "doc_id", "left").join(g, "doc_id", "left")
     out = out.withColumns({n: F.coalesce(n, F.lit(0)) for n in out.columns if n != "doc_id"})
     mean = F.coalesce(F.round(F.try_divide("words", "nonempty_paragraphs"), 1), F.lit(0.0))
     return out.withColumn("words_per_paragraph", mean)
 
 
 def section_stats(c: Corpus) -> DataFrame:
-    """The block counters per top-level section, in order; blocks outside sections come under a null section."""
-    h = c.relation("heads").select("doc_id", F.col("sec_id").alias("container_id"), F.coalesce(F.try_element_at("path", F.lit(1)), "sec_id").alias("top"))
+    """The block counters per top-level section, also of those that hold nothing; blocks outside sections come under a null section."""
+    heads = c.relation("heads")
+    h = heads.select("doc_id", F.col("sec_id").alias("container_id"), F.coalesce(F.try_element_at("path", F.lit(1)), "sec_id").alias("top"))
     b = c.relation("blocks").join(h, ["doc_id", "container_id"], "left").groupBy("doc_id", "top").agg(*_block_counters())
-    tops = c.relation("heads").select("doc_id", F.col("sec_id").alias("top"), F.col("text").alias("heading"), "sec_ord")
-    return b.join(tops, ["doc_id", "top"], "left").select("doc_id", F.col("top").alias("sec_id"), "heading", "sec_ord", *_COUNTERS)
+    tops = heads.where("level = 1").select("doc_id", F.col("sec_id").alias("top"))
+    named = heads.select("doc_id", F.col("sec_id").alias("top"), F.col("text").alias("heading"), "sec_ord")
+    out = b.join(tops, ["doc_id", "top"], "full_outer").join(named, ["doc_id", "top"], "left")
+    return out.select("doc_id", F.col("top").alias("sec_id"), "heading", "sec_ord", *[F.coalesce(x, F.lit(0)).alias(x) for x in _COUNTERS])
 
 
 def entry_types(c: Corpus) -> DataFrame:
@@ -86,11 +99,16 @@ def filtered(v: DataFrame, severities: list[str] | None = None, categories: list
 
 
 def violation_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """What was fixed (only in *a*) and introduced (only in *b*), by document, code, location and normalized detail."""
+    """What was fixed (only in *a*) and introduced (only in *b*), by document, code, location and normalized detail.
+
+    One aggregation of both sides; a violation found several times on a side counts once.
+    """
     key = ["doc_id", "check_code", "location", "print"]
-    x, y = (d.withColumn("print", F.coalesce(collapse("detail"), F.lit(""))).groupBy(*key).agg(F.max("severity").alias("severity")) for d in (a, b))
-    fixed = x.join(y, key, "left_anti").withColumn("change", F.lit("fixed"))
-    return fixed.unionByName(y.join(x, key, "left_anti").withColumn("change", F.lit("introduced")))
+    both = a.withColumn("in_b", F.lit(False)).unionByName(b.withColumn("in_b", F.lit(True)))
+    per = both.withColumn("print", F.coalesce(collapse("detail"), F.lit(""))).groupBy(*key).agg(
+        F.max("severity").alias("severity"), F.bool_or("in_b").alias("b"), F.bool_and("in_b").alias("only_b")
+    )
+    return per.where("only_b or not b").select(*key, "severity", F.when(F.col("only_b"), "introduced").otherwise("fixed").alias("change"))
 
 
 def full_diff(a: DataFrame, b: DataFrame, key: list[str], values: list[str]) -> DataFrame:
@@ -139,9 +157,33 @@ def changed_versions(states: DataFrame, by: str = "doc_id", at: str = "saved_at"
 
 
 def record(submissions: DataFrame, violations: DataFrame, path: str) -> None:
-    """Append submissions and their violations to the history below *path*, partitioned by month and category."""
-    submissions.withColumn("month", F.date_format("created_at", "yyyy-MM")).write.mode("append").partitionBy("month").parquet(f"{path}/submissions")
-    violations.withColumn("category", category()).write.mode("append").partitionBy("category").parquet(f"{path}/violations")
+    """Record submissions and their violations (both with a submission_id) in the history below *path*.
+
+    Rows are kept by month (null for none); a month that gets rows is read, joined with them and replaced, so recording
+    the same submissions again changes nothing. A submission recorded again replaces its former self.
+    """
+    new = submissions.withColumn("month", F.date_format("created_at", "yyyy-MM"))
+    found = violations.join(new.select("submission_id", "month").distinct(), "submission_id")
+    for name, rows, part in (("submissions", new, "month"), ("violations", found, "month")):
+        _replace(rows, f"{path}/{name}", part, "submission_id")
+
+
+def _replace(rows: DataFrame, path: str, part: str, key: str) -> None:
+    """Rewrite the partitions of *path* that *rows* fall into: what was there under other keys, and *rows*."""
+    spark = rows.sparkSession
+    rows = materialize(rows, "recorded")
+    if exists(spark, path):
+        old = spark.read.schema(rows.schema).parquet(path)
+        touched = rows.select(F.col(part).alias("p")).distinct()
+        kept = old.join(F.broadcast(touched), F.col(part).eqNullSafe(F.col("p")), "left_semi").join(rows.select(key).distinct(), key, "left_anti")  # months
+        rows = materialize(kept.unionByName(rows), "recorded")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+
+
+def get_submission(spark: SparkSession, path: str, submission_id: object) -> tuple[DataFrame, DataFrame]:
+    """The submission of that id and its violations, from the history below *path*."""
+    own = F.col("submission_id") == F.lit(submission_id)
+    return tuple(spark.read.parquet(f"{path}/{name}").where(own) for name in ("submissions", "violations"))
 
 
 def without(rows: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:

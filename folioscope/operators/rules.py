@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import LEFT, RIGHT, W, blank, collapse, count, find_all, rstrip, strip, words
-from folioscope.operators.engine import local, located, many, one, register, Rule, whole
-from folioscope.sources.corpus import Corpus
+from folioscope.operators.engine import EMPTY, Rule, local, located, many, one, register, whole
+from folioscope.sources.corpus import Corpus, derived
 
 # Fixed values of the base profile.
 BODY_FONT, BODY_SIZE, CAPTION_SIZE, NOTE_SIZE = "Times New Roman", 14, 12, 10
@@ -42,24 +42,31 @@ TEMPLATE = ["title", "frontmatter", "frontmatter", "main", "appendix"]
 APPENDIX_LETTERS = "АБВГДЕЖИКЛМНПРСТУФХЦШЩЭЮЯ"
 FORBIDDEN_LETTERS = list("ЁЗЙОЧЬЪЫ")
 TEXT_UNITS = ["г", "кг", "мг", "т", "м", "см", "мм", "км", "л", "мл", "ч", "мин", "с", "°C", "%", "шт", "руб", "год", "лет"]
-SI_UNITS = """
-мм см дм м км нм мкм mm cm m km мкг мг г кг т g kg t мс мкс нс с мин ч сут ms s min h м² м³ см² см³ л мл
-В мВ кВ А мА Ом Ω Вт кВт МВт V mV kV A mA W kW MW °C °F K °К Па кПа МПа ГПа бар атм Pa kPa MPa bar atm
-Гц кГц МГц ГГц Hz kHz MHz GHz бит Б кБ МБ ГБ ТБ bit B KB MB GB TB % ‰ ppm ° рад град
-""".split()
+SI_UNITS = [
+    "мм", "см", "дм", "м", "км", "нм", "мкм", "mm", "cm", "m", "km", "мкг", "мг", "г", "кг", "т", "g", "kg", "t",
+    "мс", "мкс", "нс", "с", "мин", "ч", "сут", "ms", "s", "min", "h", "м²", "м³", "см²", "см³", "л", "мл", "В", "мВ",
+    "кВ", "А", "мА", "Ом", "Ω", "Вт", "кВт", "МВт", "V", "mV", "kV", "A", "mA", "W", "kW", "MW", "°C", "°F", "K",
+    "°К", "Па", "кПа", "МПа", "ГПа", "бар", "атм", "Pa", "kPa", "MPa", "bar", "atm", "Гц", "кГц", "МГц", "ГГц", "Hz",
+    "kHz", "MHz", "GHz", "бит", "Б", "кБ", "МБ", "ГБ", "ТБ", "bit", "B", "KB", "MB", "GB", "TB", "%", "‰", "ppm", "°",
+    "рад", "град",
+]
 KNOWN_ABBREVIATIONS = ["ГОСТ", "ВКР", "НИР", "ЕСКД", "FAQ", "URL", "DOI", "PDF", "XML"]
-FIRST_PERSON = "я меня мне мной мною мой моего моему моим моё моя моей моих моими".split()
+FIRST_PERSON = [
+    "я", "меня", "мне", "мной", "мною", "мой", "моего", "моему", "моим", "моё", "моя", "моей", "моих", "моими",
+]
 COLLOQUIAL = ["короче", "ну в общем", "то есть так сказать", "как бы", "типа того"]
 BUREAUCRATIC = [
     "является", "являются", "осуществляется", "осуществляются", "производится", "производятся",
     r"представляет\s+собой", r"представляют\s+собой", r"в\s+качестве", "осуществить",
 ]
-STOP_WORDS = """
-быть была было были будет будут этот эта это эти того тому тем тех который которая которое которые которого также
-более менее может могут могла после перед между через около если когда пока затем потом однако поэтому поскольку часть часто
-""".split()
+STOP_WORDS = [
+    "быть", "была", "было", "были", "будет", "будут", "этот", "эта", "это", "эти", "того", "тому", "тем", "тех",
+    "который", "которая", "которое", "которые", "которого", "также", "более", "менее", "может", "могут", "могла",
+    "после", "перед", "между", "через", "около", "если", "когда", "пока", "затем", "потом", "однако", "поэтому",
+    "поскольку", "часть", "часто",
+]
 SUSPICIOUS = ["wikipedia.org", "ru.wikipedia.org", "studopedia.ru", "studwood.net", "studfile.net"]
-BULLETS = list("•-–—*◦▪●○")
+BULLETS = ["•", "-", "–", "—", "*", "·", "◦", "○", "▪", "■", "►", "→"]
 ALLOWED_BULLETS = ["•", "-", "–"]
 REQUIRED_FIELDS = {"book": ["author", "year", "place"], "article": ["author", "year"], "web": ["url", "access_date"], "standard": ["year"]}
 WEB_MARKERS = ["URL:", "(дата обращения:"]
@@ -77,6 +84,7 @@ def _none(p: dict) -> Column:
 
 for _code in EMPTY_CODES:
     register(Rule(_code, "docs", local=_none))
+EMPTY.update(EMPTY_CODES)
 
 
 def _is(kind: str) -> Column:
@@ -97,15 +105,7 @@ def _style() -> Column:
 
 def category() -> Column:
     """caption, footnote, header_footer, heading, placeholder or body, by the style and the text of a paragraph."""
-    s = _style()
-    return (
-        F.when(s.startswith("caption") | s.startswith("название"), "caption")
-        .when(s == "footnote text", "footnote")
-        .when(s.isin("header", "footer"), "header_footer")
-        .when(s.startswith("heading"), "heading")
-        .when(strip("text").startswith("[Рисунок:") | strip("text").startswith("[Таблица:"), "placeholder")
-        .otherwise("body")
-    )
+    return F.col("category")
 
 
 def _text_runs() -> Column:
@@ -225,17 +225,32 @@ def _t06(p: dict) -> Column:
     return one(F.col("auto_hyphenation") == F.lit(True), "error", F.lit("document"))
 
 
-@whole("T.07")
-def _t07(c: Corpus, p: dict) -> DataFrame:
-    """Islands of empty paragraphs within one container; other blocks do not break them."""
-    par = c.relation("blocks").where(_is("paragraph")).select("doc_id", "container_id", "block_ord", "block_id", blank("text").alias("empty"))
-    w = Window.partitionBy("doc_id", "container_id").orderBy("block_ord", "block_id")
-    v = Window.partitionBy("doc_id", "container_id", "empty").orderBy("block_ord", "block_id")
-    island = par.withColumn("island", F.row_number().over(w) - F.row_number().over(v)).where("empty")
-    runs = island.groupBy("doc_id", "container_id", "island").agg(F.count("*").alias("n"), F.min_by("block_id", F.struct("block_ord", "block_id")).alias("first"))
-    return runs.where(F.col("n") > int(p.get("max_consecutive_empty", 1))).select(
-        "doc_id", F.lit("warning").alias("severity"), located("paragraph", "first").alias("location"), F.col("n").alias("detail"), F.col("container_id").alias("sec")
-    )
+EXPLAINS = rf"(?iu)^\s*(?:где|здесь){RIGHT}"
+
+
+@derived("lines")
+def _lines(c: Corpus) -> DataFrame:
+    """Blocks without their content, in order: whether one of the next three explains a formula, and islands of empty paragraphs.
+
+    Islands lie within one container; blocks other than paragraphs do not break them. *island_n* is the size of the
+    island, *island_k* the place in it.
+    """
+    par = _is("paragraph")
+    tells = par & F.col("text").rlike(EXPLAINS)
+    b = c.relation("blocks").select("doc_id", "block_id", "block_ord", "container_id", "block_type", "number", par.alias("par"), (par & blank("text")).alias("empty"), tells.cast("int").alias("tells"))
+    order = ["block_ord", "block_id"]
+    box = Window.partitionBy("doc_id", "container_id", "par").orderBy(*order)
+    alike = Window.partitionBy("doc_id", "container_id", "par", "empty").orderBy(*order)
+    one_ = Window.partitionBy("doc_id", "container_id", "par", "empty", "island")
+    next_ = Window.partitionBy("doc_id").orderBy(*order).rowsBetween(1, 3)
+    b = b.withColumn("told", F.coalesce(F.max("tells").over(next_), F.lit(0))).withColumn("island", F.row_number().over(box) - F.row_number().over(alike))
+    return b.withColumns({"island_n": F.count("*").over(one_), "island_k": F.row_number().over(one_.orderBy(*order))})
+
+
+@local("T.07", "lines")
+def _t07(p: dict) -> Column:
+    """Islands of empty paragraphs within one container, told at their first."""
+    return one(F.col("empty") & (F.col("island_k") == 1) & (F.col("island_n") > int(p.get("max_consecutive_empty", 1))), "warning", _par(), F.col("island_n"))
 
 
 @local("T.08", "blocks")
@@ -313,23 +328,42 @@ def _names(headings: list[str]) -> list[tuple[str, str]]:
     return [(h, " ".join(n.lower().split())) for h in headings for n in (h, *HEADING_ALIASES.get(h, []))]
 
 
-@whole("S.01")
-def _s01(c: Corpus, p: dict) -> DataFrame:
-    spark = c.docs.sparkSession
+@derived("docs_x")
+def _docs_x(c: Corpus) -> DataFrame:
+    """Documents with what their headings, blocks and entries add up to."""
+    norm = collapse("text")
+    h = c.relation("heads").groupBy("doc_id").agg(F.collect_set(F.when(F.col("level") == 1, norm)).alias("norms"))
+    b = c.relation("blocks").groupBy("doc_id").agg(F.sum(block_words()).alias("words"), F.count_if(_is("figure")).alias("figures"), F.count_if(_is("table")).alias("tables"))
+    lang = entry_language()
+    e = c.relation("entries").groupBy("doc_id").agg(
+        F.count("*").alias("entries"), F.collect_list(_year()).alias("years"), F.avg(F.when(lang.isin("ru", "en"), (lang == "en").cast("double"))).alias("foreign")
+    )
+    out = c.docs.select("doc_id").join(h, "doc_id", "left").join(b, "doc_id", "left").join(e, "doc_id", "left")
+    zero = {n: F.coalesce(n, F.lit(0)) for n in ("words", "figures", "tables", "entries")}
+    return out.withColumns(zero | {"norms": F.coalesce("norms", F.array().cast("array<string>"))})
+
+
+@local("S.01", "docs_x")
+def _s01(p: dict) -> Column:
     want = p.get("required_headings", REQUIRED_HEADINGS)
-    names = spark.createDataFrame(_names(want), "wanted string, norm string")
-    have = _top(c).join(F.broadcast(names), "norm").select("doc_id", "wanted").distinct()  # the profile's list
-    need = c.docs.select("doc_id", F.explode(F.array(*[F.lit(h) for h in want])).alias("wanted"))
-    return need.join(have, ["doc_id", "wanted"], "left_anti").select("doc_id", F.lit("error").alias("severity"), F.lit("document").alias("location"), F.col("wanted").alias("detail"))
+    gone = [F.when(~F.arrays_overlap("norms", F.array(*[F.lit(n) for k, n in _names([h]) if k == h])), h) for h in want]
+    return many(F.array_compact(F.array(*gone)) if gone else F.array().cast("array<string>"), "error", F.lit("document"))
 
 
 def longest_increasing(seq: list[int]) -> set[int]:
-    """Positions of the longest increasing subsequence; of several, the one whose end was reached first."""
-    best, prev = [], []
+    """Positions of the longest increasing subsequence; of several, the one whose end was reached first.
+
+    Costs the length of *seq* times the number of different values in it.
+    """
+    best: list[int] = []
+    prev: list[int | None] = []
+    top: dict[int, int] = {}  # per value the first position where the longest subsequence that ends with it ends
     for i, x in enumerate(seq):
-        k = max((j for j in range(i) if seq[j] < x), key=lambda j: (best[j], -j), default=None)
+        k = max((j for v, j in top.items() if v < x), key=lambda j: (best[j], -j), default=None)
         best.append(1 + (best[k] if k is not None else 0))
         prev.append(k)
+        if x not in top or best[i] > best[top[x]]:
+            top[x] = i
     if not seq:
         return set()
     at: int | None = max(range(len(seq)), key=lambda j: (best[j], -j))
@@ -344,17 +378,21 @@ def longest_increasing(seq: list[int]) -> set[int]:
 def _s02(c: Corpus, p: dict) -> DataFrame:
     order = [" ".join(h.lower().split()) for h in p.get("expected_order", EXPECTED_ORDER)]
     rank = {n: k for h, n in _names(p.get("expected_order", EXPECTED_ORDER)) for k in [order.index(" ".join(h.lower().split()))]}
-    names = c.docs.sparkSession.createDataFrame([(n, k) for n, k in rank.items()], "norm string, k int")
-    heads = _top(c).join(F.broadcast(names), "norm").select("doc_id", "sec_ord", "sec_id", "text", "k")
+    if not rank:
+        return c.docs.where("false").select("doc_id", F.lit("error").alias("severity"), F.lit("").alias("location"), F.lit("").alias("detail"))
+    named = F.create_map(*[F.lit(x) for kv in rank.items() for x in kv])
+    heads = _top(c).where(F.col("norm").isin(*rank)).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("sec_ord", "sec_id", "text", named[F.col("norm")].alias("k")))).alias("s"))
     kind = heads.schema["doc_id"].dataType.simpleString()
 
-    def per(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["sec_ord", "sec_id"], kind="stable")
-        keep = longest_increasing(pdf["k"].tolist())
-        out = pdf[[k not in keep for k in range(len(pdf))]]
-        return pd.DataFrame({"doc_id": out["doc_id"], "sec": out["sec_id"], "detail": out["text"]})
+    def check(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            rows = []
+            for doc, s in zip(b["doc_id"], b["s"]):
+                keep = longest_increasing([x["k"] for x in s])
+                rows += [(doc, x["sec_id"], x["text"]) for k, x in enumerate(s) if k not in keep]
+            yield pd.DataFrame(rows, columns=["doc_id", "sec", "detail"])
 
-    found = heads.groupBy("doc_id").applyInPandas(per, f"doc_id {kind}, sec string, detail string")
+    found = heads.where(F.size("s") > 1).mapInPandas(check, f"doc_id {kind}, sec string, detail string")
     return found.select("doc_id", F.lit("error").alias("severity"), _sec("sec").alias("location"), "detail", "sec")
 
 
@@ -367,12 +405,16 @@ def _s03(p: dict) -> Column:
     return one((F.col("level") == 1) & ~free, "warning", _sec(), F.col("text"))
 
 
+def _below(c: Corpus) -> DataFrame:
+    """(doc_id, root, sec_id) of every section and all sections below it."""
+    return c.relation("heads").select("doc_id", "sec_id", F.explode(F.array_union(F.coalesce("path", F.array().cast("array<string>")), F.array("sec_id"))).alias("root"))
+
+
 def _subtree(c: Corpus, headings: list[str]) -> DataFrame:
     """(doc_id, root, sec_id) of the first level-1 section with one of the headings and all sections below it."""
     w = Window.partitionBy("doc_id").orderBy("sec_ord", "sec_id")
     root = _top(c).where(F.col("norm").isin(*headings)).withColumn("k", F.row_number().over(w)).where("k = 1").select("doc_id", F.col("sec_id").alias("root"))
-    below = c.relation("heads").select("doc_id", "sec_id", F.explode(F.array_union(F.coalesce("path", F.array().cast("array<string>")), F.array("sec_id"))).alias("root"))
-    return root.join(below, ["doc_id", "root"])
+    return root.join(_below(c), ["doc_id", "root"])
 
 
 @whole("S.04")
@@ -387,38 +429,55 @@ def _s04(c: Corpus, p: dict) -> DataFrame:
     return flags.select("doc_id", F.lit("warning").alias("severity"), _sec("root").alias("location"), F.explode(gone).alias("detail"), F.col("root").alias("sec"))
 
 
-@whole("S.05")
-def _s05(c: Corpus, p: dict) -> DataFrame:
-    tree = _subtree(c, ["заключение"])
-    par = c.relation("blocks").where(_is("paragraph") & ~blank("text")).select("doc_id", F.col("container_id").alias("sec_id"), F.lit(1).alias("one"))
-    n = tree.join(par, ["doc_id", "sec_id"], "left").groupBy("doc_id", "root").agg(F.coalesce(F.sum("one"), F.lit(0)).alias("n"))
-    return n.where(F.col("n") < int(p.get("min_paragraphs", 3))).select("doc_id", F.lit("warning").alias("severity"), _sec("root").alias("location"), F.col("n").alias("detail"), F.col("root").alias("sec"))
+@derived("parts")
+def _parts(c: Corpus) -> DataFrame:
+    """Introduction and conclusion: the first level-1 section so headed, with words and paragraphs of its whole subtree."""
+    w = Window.partitionBy("doc_id", "norm").orderBy("sec_ord", "sec_id")
+    root = _top(c).where(F.col("norm").isin("введение", "заключение")).withColumn("k", F.row_number().over(w)).where("k = 1").select("doc_id", F.col("sec_id").alias("root"), "norm")
+    per = c.relation("blocks").groupBy("doc_id", F.col("container_id").alias("sec_id")).agg(F.count_if(_is("paragraph") & ~blank("text")).alias("n"), F.sum(block_words()).alias("w"))
+    tree = root.join(_below(c), ["doc_id", "root"]).join(per, ["doc_id", "sec_id"], "left")
+    return tree.groupBy("doc_id", "root", "norm").agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(y) for x, y in (("n", "paragraphs"), ("w", "words"))]).withColumnRenamed("root", "sec")
 
 
-def _first_par(c: Corpus) -> DataFrame:
-    """The first paragraph among the direct children of each section."""
-    par = c.relation("blocks").where(_is("paragraph"))
-    return par.groupBy("doc_id", F.col("container_id").alias("sec_id")).agg(
-        F.min_by(F.struct("page_break_before", "style_name", "runs", "text"), F.struct("block_ord", "block_id")).alias("par")
-    )
+@local("S.05", "parts")
+def _s05(p: dict) -> Column:
+    return one((F.col("norm") == "заключение") & (F.col("paragraphs") < int(p.get("min_paragraphs", 3))), "warning", _sec("sec"), F.col("paragraphs"))
 
 
-@whole("S.06")
-def _s06(c: Corpus, p: dict) -> DataFrame:
-    w = Window.partitionBy("doc_id").orderBy("sec_ord", "sec_id")
-    secs = c.relation("heads").where(F.col("level") == int(p.get("required_for_level", 1))).withColumn("k", F.row_number().over(w)).where("k > 1")
-    hit = secs.join(_first_par(c), ["doc_id", "sec_id"]).where(F.col("par.page_break_before") == F.lit(False))
-    return hit.select("doc_id", F.lit("error").alias("severity"), _sec().alias("location"), F.col("text").alias("detail"), F.col("sec_id").alias("sec"))
-
-
-@whole("S.07")
-def _s07(c: Corpus, p: dict) -> DataFrame:
-    kids = c.relation("blocks").where(_is("table") | _is("figure") | (_is("paragraph") & ~blank("text"))).select("doc_id", F.col("container_id").alias("sec_id"))
-    subs = c.relation("heads").where("parent_id is not null").select("doc_id", F.col("parent_id").alias("sec_id"))
-    tops = _top(c).where(~F.col("norm").isin(*TECHNICAL))
-    return tops.join(kids.unionByName(subs), ["doc_id", "sec_id"], "left_anti").select(
-        "doc_id", F.lit("warning").alias("severity"), _sec().alias("location"), F.col("text").alias("detail"), F.col("sec_id").alias("sec")
+@derived("heads_x")
+def _heads_x(c: Corpus) -> DataFrame:
+    """Headings with their place among those of their level, the level before, and what lies directly below them.
+
+    *par* is the first paragraph, *empty* whether the first block is an empty paragraph, *shown* the number of blocks
+    that show something, *subs* that of subsections; all null or 0 where there is none.
+    """
+    place = F.struct("block_ord", "block_id")
+    bold = F.coalesce(F.exists("runs", lambda r: r["bold"] == F.lit(True)), F.lit(False))
+    par = F.struct("page_break_before", "style_name", bold.alias("bold"), "text")
+    kids = c.relation("blocks").groupBy("doc_id", F.col("container_id").alias("sec_id")).agg(
+        F.min_by(par, F.when(_is("paragraph"), place)).alias("par"),
+        F.count_if(_is("paragraph")).alias("pars"),
+        F.min_by(_is("paragraph") & blank("text"), place).alias("empty"),
+        F.count_if(_is("table") | _is("figure") | (_is("paragraph") & ~blank("text"))).alias("shown"),
     )
+    heads = c.relation("heads")
+    subs = heads.where("parent_id is not null").groupBy("doc_id", F.col("parent_id").alias("sec_id")).agg(F.count("*").alias("subs"))
+    w = Window.partitionBy("doc_id").orderBy("sec_ord", "sec_id")
+    v = Window.partitionBy("doc_id", "level").orderBy("sec_ord", "sec_id")
+    h = heads.select("doc_id", "sec_id", "level", "text", F.lag("level").over(w).alias("before"), F.row_number().over(v).alias("nth"))
+    out = h.join(kids, ["doc_id", "sec_id"], "left").join(subs, ["doc_id", "sec_id"], "left")
+    return out.withColumns({n: F.coalesce(n, F.lit(0)) for n in ("pars", "shown", "subs")})
+
+
+@local("S.06", "heads_x")
+def _s06(p: dict) -> Column:
+    own = (F.col("level") == int(p.get("required_for_level", 1))) & (F.col("nth") > 1)
+    return one(own & (F.col("par.page_break_before") == F.lit(False)), "error", _sec(), F.col("text"))
+
+
+@local("S.07", "heads_x")
+def _s07(p: dict) -> Column:
+    return one((F.col("level") == 1) & ~collapse("text").isin(*TECHNICAL) & (F.col("shown") == 0) & (F.col("subs") == 0), "warning", _sec(), F.col("text"))
 
 
 # --- H: headings ---------------------------------------------------------------------------------------------------
@@ -478,21 +537,16 @@ def _h04(c: Corpus, p: dict) -> DataFrame:
     return hit.select("doc_id", F.when(mixed, "warning").otherwise("error").alias("severity"), located("section", sec).alias("location"), detail.alias("detail"), sec.alias("sec"))
 
 
-@whole("H.05")
-def _h05(c: Corpus, p: dict) -> DataFrame:
-    w = Window.partitionBy("doc_id").orderBy("sec_ord", "sec_id")
-    h = c.relation("heads").withColumn("before", F.lag("level").over(w)).where("level > before + 1")
-    return h.select("doc_id", F.lit("error").alias("severity"), _sec().alias("location"), F.concat_ws(",", "before", "level").alias("detail"), F.col("sec_id").alias("sec"))
+@local("H.05", "heads_x")
+def _h05(p: dict) -> Column:
+    return one(F.col("level") > F.col("before") + 1, "error", _sec(), F.concat_ws(",", "before", "level"))
 
 
-@whole("H.06")
-def _h06(c: Corpus, p: dict) -> DataFrame:
+@local("H.06", "heads_x")
+def _h06(p: dict) -> Column:
     """Headings with nothing under them, or with an empty paragraph first."""
-    kids = c.relation("blocks").select("doc_id", F.col("container_id").alias("sec_id"), F.struct(F.lit(0).alias("sub"), F.col("block_ord").alias("o"), F.col("block_id").alias("i")).alias("place"), (_is("paragraph") & blank("text")).alias("empty"))
-    subs = c.relation("heads").where("parent_id is not null").select("doc_id", F.col("parent_id").alias("sec_id"), F.struct(F.lit(1).alias("sub"), F.col("sec_ord").alias("o"), F.col("sec_id").alias("i")).alias("place"), F.lit(False).alias("empty"))
-    first = kids.unionByName(subs).groupBy("doc_id", "sec_id").agg(F.min_by("empty", "place").alias("empty"))
-    h = c.relation("heads").where(~blank("text")).join(first, ["doc_id", "sec_id"], "left").where(F.coalesce("empty", F.lit(True)))
-    return h.select("doc_id", F.lit("warning").alias("severity"), _sec().alias("location"), F.when(F.col("empty").isNull(), "nothing").otherwise("empty").alias("detail"), F.col("sec_id").alias("sec"))
+    nothing = F.col("empty").isNull() & (F.col("subs") == 0)
+    return one(~blank("text") & (nothing | F.coalesce("empty", F.lit(False))), "warning", _sec(), F.when(nothing, "nothing").otherwise("empty"))
 
 
 @local("H.08", "heads")
@@ -557,34 +611,33 @@ def _i04(p: dict) -> Column:
     return F.when(_is("figure"), many(wrong, "warning", located("figure", "block_id"))).otherwise(_none(p))
 
 
-def numbered(c: Corpus, kind: str) -> DataFrame:
-    """(doc_id, block_id, block_ord, num, sec) of the figures, tables or formulas that bear a number."""
-    if kind == "formula":
-        num = F.nullif(F.regexp_extract("number", r"(\d+)", 1), F.lit(""))
-    else:
-        num = F.nullif(F.regexp_extract(strip("text"), FIGURE_NUMBER if kind == "figure" else TABLE_NUMBER, 1), F.lit(""))
-    b = c.relation("blocks").where(_is(kind)).withColumn("num", num.try_cast("int"))
-    return b.where("num is not null").select("doc_id", "block_id", "block_ord", "num", F.col("container_id").alias("sec"))
+@derived("objects")
+def _objects(c: Corpus) -> DataFrame:
+    """Figures, tables and formulas that bear a number, in order within their kind.
+
+    *nth* counts equal numbers, *first_id* is the first of them; *expected* is one more than the last new number (the first
+    should be 1; a duplicate does not move the count, after a break it goes on from the number found).
+    """
+    caption = strip("text")
+    num = F.when(_is("figure"), F.regexp_extract(caption, FIGURE_NUMBER, 1)).when(_is("table"), F.regexp_extract(caption, TABLE_NUMBER, 1)).otherwise(F.regexp_extract(F.coalesce("number", F.lit("")), r"(\d+)", 1))
+    b = c.relation("blocks").where(F.col("block_type").isin("figure", "table", "formula"))
+    b = b.select("doc_id", F.col("block_type").alias("kind"), "block_id", "block_ord", F.col("container_id").alias("sec"), F.nullif(num, F.lit("")).try_cast("int").alias("num")).where("num is not null")
+    return number_breaks(b, ["doc_id", "kind"], ["block_ord", "block_id"], "num", "block_id")
 
 
 def number_breaks(items: DataFrame, partition: list[str], order: list[str], num: str, key: str) -> DataFrame:
-    """Rows whose number was seen before (duplicate), or is not one more than the last new number (break).
-
-    The first number should be 1; a duplicate does not move the count, after a break it goes on from the number found.
-    """
+    """*items* with nth, first_id and expected, as explained at the relation objects."""
     w = Window.partitionBy(*partition, num).orderBy(*order)
-    seen = items.withColumns({"nth": F.row_number().over(w), "first_key": F.first(key).over(w)})
+    seen = items.withColumns({"nth": F.row_number().over(w), "first_id": F.first(key).over(w)})
     v = Window.partitionBy(*partition, F.col("nth") == 1).orderBy(*order)
-    seen = seen.withColumn("expected", F.coalesce(F.lag(num).over(v), F.lit(0)) + 1)
-    dup = F.col("nth") > 1
-    return seen.where(dup | (F.col(num) != F.col("expected"))).withColumn("problem", F.when(dup, "duplicate").otherwise("break"))
+    return seen.withColumn("expected", F.coalesce(F.lag(num).over(v), F.lit(0)) + 1)
 
 
 def _continuity(kind: str):  # noqa: ANN202
-    def rule(c: Corpus, p: dict) -> DataFrame:
-        bad = number_breaks(numbered(c, kind), ["doc_id"], ["block_ord", "block_id"], "num", "block_id")
-        detail = F.when(F.col("problem") == "duplicate", F.concat_ws(" ", F.lit("duplicate of"), "first_key")).otherwise(F.concat_ws(",", "expected", "num"))
-        return bad.select("doc_id", F.lit("error").alias("severity"), located(kind, "block_id").alias("location"), detail.alias("detail"), "sec")
+    def rule(p: dict) -> Column:
+        again = F.col("nth") > 1
+        detail = F.when(again, F.concat_ws(" ", F.lit("duplicate of"), "first_id")).otherwise(F.concat_ws(",", "expected", "num"))
+        return one((F.col("kind") == kind) & (again | (F.col("num") != F.col("expected"))), "error", located(kind, "block_id"), detail)
 
     return rule
 
@@ -597,35 +650,73 @@ MENTIONS = {
     "bare": r"(?<![A-Za-zА-Яа-яЁё])\((\d+)\)",
     "appendix": rf"(?iu)(?:приложени[еияй]|прил\.)\s+([А-Яа-яЁё]){RIGHT}",
     "citation": r"\[(\d+(?:\s*[-–]\s*\d+|\s*,\s*\d+)*)\]",
+    "lead": r"\[\s*(\d+)\s*[,\-–\]:]",
 }
 CAPTION_START = r"(?iu)^\s*(?:Рисунок|Таблица)\s+\d+\s*[—–-]"
 
 
-def mentions(c: Corpus, kind: str) -> DataFrame:
-    """(doc_id, block_id, block_ord, sec, pos, ref): every reference in the paragraphs that are no captions."""
-    par = c.relation("blocks").where(_is("paragraph") & ~F.col("text").rlike(CAPTION_START) & (category() != "caption"))
-    found = par.select("doc_id", "block_id", "block_ord", F.col("container_id").alias("sec"), F.posexplode(find_all("text", MENTIONS[kind], 1)).alias("pos", "ref"))
-    return found.withColumn("ref", F.upper("ref")) if kind == "appendix" else found
+@derived("refs", shared=True)
+def _refs(c: Corpus) -> DataFrame:
+    """(doc_id, block_id, block_ord, sec, kind, pos, ref): every reference in running text, of all kinds in one scan.
+
+    Captions refer to themselves and count for sources only. The kind `citation` holds all numbers of a bracket, `lead`
+    the first number of a bracket that may say more behind it.
+    """
+    own = F.col("text").rlike(CAPTION_START) | (category() == "caption")
+
+    def hits(kind: str, pattern: str) -> Column:
+        texts = find_all("text", pattern, 1)
+        if kind not in ("citation", "lead"):
+            texts = F.when(own, F.array().cast("array<string>")).otherwise(texts)
+        return F.transform(texts, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), (F.upper(x) if kind == "appendix" else x).alias("ref")))
+
+    found = [hits(kind, pattern) for kind, pattern in MENTIONS.items()]
+    par = c.relation("blocks").where(_is("paragraph"))
+    return par.select("doc_id", "block_id", "block_ord", F.col("container_id").alias("sec"), F.inline(F.concat(*found)))
+
+
+def _named_refs(c: Corpus) -> DataFrame:
+    """References to figures, tables, formulas and appendices with the kind and the key of their target."""
+    r = c.relation("refs").where(F.col("kind").isin("figure", "table", "formula", "bare", "appendix"))
+    key = F.when(F.col("kind") == "appendix", F.col("ref")).otherwise(F.col("ref").try_cast("int").cast("string"))
+    return r.withColumns({"target": F.when(F.col("kind") == "bare", "formula").otherwise(F.col("kind")), "key": key})
+
+
+def _targets(c: Corpus) -> DataFrame:
+    """(doc_id, target, key, id, ord, sec, letter): what running text can refer to: numbered objects and lettered appendices."""
+    o = c.relation("objects").select("doc_id", F.col("kind").alias("target"), F.col("num").cast("string").alias("key"), F.col("block_id").alias("id"), F.col("block_ord").alias("ord"), "sec", F.lit(None).cast("string").alias("letter"))
+    a = appendices(c).where("letter is not null")
+    return o.unionByName(a.select("doc_id", F.lit("appendix").alias("target"), F.upper("letter").alias("key"), F.col("sec_id").alias("id"), F.col("sec_ord").alias("ord"), F.col("sec_id").alias("sec"), "letter"))
+
+
+@derived("targets_x")
+def _targets_x(c: Corpus) -> DataFrame:
+    """Targets with the place of their first mention in *said*, null if there is none."""
+    first = _named_refs(c).groupBy("doc_id", "target", "key").agg(F.min("block_ord").alias("said"))
+    return _targets(c).join(first, ["doc_id", "target", "key"], "left")
+
+
+@derived("refs_x")
+def _refs_x(c: Corpus) -> DataFrame:
+    """References whose target does not exist. A bare number in brackets counts only where formulas are numbered."""
+    have = _targets(c).select("doc_id", "target", "key").distinct()
+    some = have.where("target = 'formula'").select("doc_id").distinct()
+    left = _named_refs(c).join(have, ["doc_id", "target", "key"], "left_anti")
+    return left.where("kind <> 'bare'").unionByName(left.where("kind = 'bare'").join(some, "doc_id", "left_semi").select(*left.columns))
 
 
 def _object_rules(kind: str, continuity: str, referenced: str, precedes: str | None, severity: str) -> None:
-    whole(continuity)(_continuity(kind))
+    local(continuity, "objects")(_continuity(kind))
 
-    @whole(referenced)
-    def _referenced(c: Corpus, p: dict) -> DataFrame:
-        said = mentions(c, kind).select("doc_id", F.col("ref").try_cast("int").alias("num"))
-        if kind == "formula":
-            said = said.unionByName(mentions(c, "bare").select("doc_id", F.col("ref").try_cast("int").alias("num")))
-        left = numbered(c, kind).join(said, ["doc_id", "num"], "left_anti")
-        return left.select("doc_id", F.lit(severity).alias("severity"), located(kind, "block_id").alias("location"), F.col("num").alias("detail"), "sec")
+    @local(referenced, "targets_x")
+    def _referenced(p: dict) -> Column:
+        return one((F.col("target") == kind) & F.col("said").isNull(), severity, located(kind, "id"), F.col("key"))
 
     if precedes:
 
-        @whole(precedes)
-        def _precedes(c: Corpus, p: dict) -> DataFrame:
-            first = mentions(c, kind).groupBy("doc_id", F.col("ref").try_cast("int").alias("num")).agg(F.min("block_ord").alias("said"))
-            late = numbered(c, kind).join(first, ["doc_id", "num"]).where("said > block_ord")
-            return late.select("doc_id", F.lit("warning").alias("severity"), located(kind, "block_id").alias("location"), F.col("num").alias("detail"), "sec")
+        @local(precedes, "targets_x")
+        def _precedes(p: dict) -> Column:
+            return one((F.col("target") == kind) & (F.col("said") > F.col("ord")), "warning", located(kind, "id"), F.col("key"))
 
 
 _object_rules("figure", "I.05", "I.06", "I.07", "error")
@@ -673,14 +764,9 @@ def _m01(p: dict) -> Column:
     return one(_is("formula") & ~blank("latex") & blank("number"), "error" if p.get("required", False) else "warning", located("formula", "block_id"))
 
 
-@whole("M.02")
-def _m02(c: Corpus, p: dict) -> DataFrame:
-    w = Window.partitionBy("doc_id").orderBy("block_ord", "block_id").rowsBetween(1, 3)
-    tells = _is("paragraph") & F.col("text").rlike(rf"(?iu)^\s*(где|здесь){RIGHT}")
-    b = c.relation("blocks").select("doc_id", "block_id", "block_type", "number", F.col("container_id").alias("sec"), F.max(tells.cast("int")).over(w).alias("told"))
-    return b.where(_is("formula") & ~blank("number") & (F.coalesce("told", F.lit(0)) == 0)).select(
-        "doc_id", F.lit("warning").alias("severity"), located("formula", "block_id").alias("location"), F.col("number").alias("detail"), "sec"
-    )
+@local("M.02", "lines")
+def _m02(p: dict) -> Column:
+    return one(_is("formula") & ~blank("number") & (F.col("told") == 0), "warning", located("formula", "block_id"), F.col("number"))
 
 
 # --- L: lists ------------------------------------------------------------------------------------------------------
@@ -728,43 +814,39 @@ def _field(name: str) -> Column:
     return F.nullif(F.col("fields")[name], F.lit(""))
 
 
+def _year() -> Column:
+    return strip(_field("year")).try_cast("int")
+
+
 @local("R.01", "blocks")
 def _r01(p: dict) -> Column:
     found = F.concat(find_all("text", r"\([А-ЯЁ][а-яё]+,\s*\d{4}\)"), find_all("text", r"\[[А-ЯЁ][а-яё]+\s+\d{4}\]"))
     return F.when(_is("paragraph"), many(found, "error", _par())).otherwise(_none(p))
 
 
-def cited(c: Corpus) -> DataFrame:
-    """(doc_id, block_id, block_ord, sec, num): numbers cited in brackets, ranges spelled out.
+def citations(c: Corpus) -> DataFrame:
+    """(doc_id, num, block_ord, run_ord, pos) of all citations that name a source by its number, in text and as inline elements.
 
-    Both ends of a range count where it runs backwards or is longer than a thousand.
+    In text the first number of a bracket counts, whatever follows it: [3], [3, с. 15], [3-5], [3: 7].
     """
-    m = mentions(c, "citation")
-    parts = F.transform(F.regexp_extract_all("ref", F.lit(r"(\d+(?:\s*[-–]\s*\d+)?)"), F.lit(1)), lambda x: F.transform(F.split(x, r"\s*[-–]\s*"), lambda n: n.try_cast("int")))
-    span = F.transform(parts, lambda x: F.when((F.size(x) == 2) & (x[0] <= x[1]) & (x[1] - x[0] <= 1000), F.sequence(x[0], x[1])).otherwise(x))
-    return m.select("doc_id", "block_id", "block_ord", "sec", F.explode(F.flatten(span)).alias("num")).where("num is not null")
-
-
-def citations(c: Corpus) -> DataFrame:
-    """(doc_id, num, block_ord, run_ord) of all citations, in text and as inline elements."""
     b = c.relation("blocks").where(_is("paragraph"))
     runs = b.select("doc_id", "block_ord", F.inline(F.transform(F.filter("runs", lambda r: r["kind"] == "citation"), lambda r: F.struct(r["run_ord"].alias("run_ord"), strip(r["source_id"]).alias("entry_id")))))
     inline = runs.join(c.relation("entries").select("doc_id", "entry_id", F.col("ordinal").alias("num")), ["doc_id", "entry_id"])
-    text = cited(c).select("doc_id", "num", "block_ord", F.lit(0).alias("run_ord"))
-    return inline.select("doc_id", "num", "block_ord", "run_ord").unionByName(text)
+    text = c.relation("refs").where("kind = 'lead'").select("doc_id", F.col("ref").try_cast("int").alias("num"), "block_ord", F.lit(0).alias("run_ord"), "pos").where("num is not null")
+    return inline.select("doc_id", "num", "block_ord", "run_ord", F.lit(0).alias("pos")).unionByName(text)
 
 
 @whole("R.02")
 def _r02(c: Corpus, p: dict) -> DataFrame:
-    """The first neighbouring pair of entries out of order, one per document."""
+    """The first neighbouring pair of entries out of order, one per document; a pair with an unknown side is left out."""
     w = Window.partitionBy("doc_id").orderBy("ordinal", "entry_id")
     e = c.relation("entries")
     if p.get("order", "alphabetical") == "by_mention":
-        first = citations(c).groupBy("doc_id", F.col("num").alias("ordinal")).agg(F.min(F.struct("block_ord", "run_ord")).alias("key"))
-        e = e.join(first, ["doc_id", "ordinal"])
+        first = citations(c).groupBy("doc_id", F.col("num").alias("ordinal")).agg(F.min(F.struct("block_ord", "run_ord", "pos")).alias("key"))
+        e = e.join(first, ["doc_id", "ordinal"], "left")
     else:
-        e = e.withColumn("key", F.lower(_field("author"))).where("key is not null")
-    bad = e.withColumns({"before": F.lag("key").over(w), "before_id": F.lag("entry_id").over(w)}).where("before > key")
+        e = e.withColumn("key", F.lower(_field("author")))
+    bad = e.select("doc_id", "ordinal", "entry_id", "key", F.lag("key").over(w).alias("before"), F.lag("entry_id").over(w).alias("before_id")).where("before > key")
     one_ = bad.groupBy("doc_id").agg(F.min_by(F.struct("entry_id", "before_id"), F.struct("ordinal", "entry_id")).alias("f"))
     return one_.select("doc_id", F.lit("warning").alias("severity"), located("bibliography", F.col("f.entry_id")).alias("location"), F.col("f.before_id").alias("detail"))
 
@@ -807,18 +889,16 @@ def _r09(p: dict) -> Column:
     return one((strip(_field("year")).try_cast("int") >= int(p.get("modern_year", 2020))) & _field("doi").isNull() & _field("url").isNull(), "info", _entry(), _field("year"))
 
 
-@whole("R.10")
-def _r10(c: Corpus, p: dict) -> DataFrame:
-    y = strip(_field("year")).try_cast("int")
-    share = c.relation("entries").groupBy("doc_id").agg(F.avg((y >= int(p.get("fresh_year_threshold", 2015))).cast("double")).alias("share"))
-    return share.where(F.col("share") < float(p.get("min_fresh_share", 0.5))).select("doc_id", F.lit("warning").alias("severity"), F.lit("bibliography").alias("location"), F.round("share", 6).alias("detail"))
+@local("R.10", "docs_x")
+def _r10(p: dict) -> Column:
+    fresh = F.size(F.filter("years", lambda y: y >= int(p.get("fresh_year_threshold", 2015))))
+    share = F.try_divide(fresh, F.size("years"))
+    return one(share < float(p.get("min_fresh_share", 0.5)), "warning", F.lit("bibliography"), F.round(share, 6))
 
 
-@whole("R.11")
-def _r11(c: Corpus, p: dict) -> DataFrame:
-    n = c.relation("entries").groupBy("doc_id").agg(F.count("*").alias("n"))
-    few = c.docs.select("doc_id").join(n, "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(0))).where(F.col("n") < int(p.get("min_sources", 20)))
-    return few.select("doc_id", F.lit("warning").alias("severity"), F.lit("bibliography").alias("location"), F.col("n").alias("detail"))
+@local("R.11", "docs_x")
+def _r11(p: dict) -> Column:
+    return one(F.col("entries") < int(p.get("min_sources", 20)), "warning", F.lit("bibliography"), F.col("entries"))
 
 
 def entry_language() -> Column:
@@ -827,13 +907,11 @@ def entry_language() -> Column:
     return F.coalesce(_field("language"), F.when(raw.rlike(r"^[А-ЯЁа-яё]"), "ru").when(raw.rlike(r"^[A-Za-z]"), "en"))
 
 
-@whole("R.12")
-def _r12(c: Corpus, p: dict) -> DataFrame:
-    lang = c.relation("entries").select("doc_id", entry_language().alias("lang")).where(F.col("lang").isin("ru", "en"))
-    share = lang.groupBy("doc_id").agg(F.avg((F.col("lang") == "en").cast("double")).alias("share"))
+@local("R.12", "docs_x")
+def _r12(p: dict) -> Column:
     low, high = float(p.get("min_foreign_share", 0.1)), float(p.get("max_foreign_share", 0.5))
-    bad = share.where((F.col("share") < low) | (F.col("share") > high))
-    return bad.select("doc_id", F.lit("info").alias("severity"), F.lit("bibliography").alias("location"), F.when(F.col("share") < low, "min").otherwise("max").alias("detail"))
+    share = F.col("foreign")
+    return one((share < low) | (share > high), "info", F.lit("bibliography"), F.when(share < low, "min").otherwise("max"))
 
 
 @local("R.13", "entries")
@@ -901,26 +979,34 @@ def _r15(c: Corpus, p: dict) -> DataFrame:
 # --- C: cross-references -------------------------------------------------------------------------------------------
 
 
-def _dangling(kind: str):  # noqa: ANN202
-    def rule(c: Corpus, p: dict) -> DataFrame:
-        have = numbered(c, kind).select("doc_id", "num")
-        said = mentions(c, kind).withColumn("num", F.col("ref").try_cast("int"))
-        if kind == "formula":
-            bare = mentions(c, "bare").withColumn("num", F.col("ref").try_cast("int")).join(have.select("doc_id").distinct(), "doc_id", "left_semi")
-            said = said.unionByName(bare.select(*said.columns))
-        return said.join(have, ["doc_id", "num"], "left_anti").select("doc_id", F.lit("error").alias("severity"), _par().alias("location"), F.col("num").alias("detail"), "sec")
+for _code, _kind in (("C.01", "figure"), ("C.02", "table"), ("C.03", "formula"), ("C.05", "appendix")):
 
-    return rule
+    @local(_code, "refs_x")
+    def _dangling(p: dict, kind: str = _kind) -> Column:
+        return one(F.col("target") == kind, "error", _par(), F.col("ref") if kind == "appendix" else F.col("key"))
 
 
-for _code, _kind in (("C.01", "figure"), ("C.02", "table"), ("C.03", "formula")):
-    whole(_code)(_dangling(_kind))
+#: Numbers made in one step when a range of citations is spelled out.
+_STEP = 10_000
 
 
 @whole("C.04")
 def _c04(c: Corpus, p: dict) -> DataFrame:
+    """Every number cited in brackets beyond the entries; ranges stay pairs of ends and only what lies outside is spelled out.
+
+    Both ends of a range that runs backwards count alone.
+    """
     n = c.relation("entries").groupBy("doc_id").agg(F.count("*").alias("n"))
-    bad = cited(c).join(n, "doc_id", "left").where((F.col("num") < 1) | (F.col("num") > F.coalesce("n", F.lit(0))))
+    token = F.explode(F.regexp_extract_all("ref", F.lit(r"(\d+(?:\s*[-–]\s*\d+)?)"), F.lit(1))).alias("token")
+    t = c.relation("refs").where("kind = 'citation'").select("doc_id", "block_id", "sec", token).join(n, "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    ends = F.transform(F.split("token", r"\s*[-–]\s*"), lambda x: F.coalesce(x.try_cast("bigint"), F.lit(2**62)))
+    t = t.withColumn("ends", ends).withColumns({"a": F.col("ends")[0], "b": F.element_at("ends", -1)})
+    span = lambda lo, hi: F.struct(lo.cast("bigint").alias("lo"), hi.cast("bigint").alias("hi"))
+    outside = F.when(F.col("b") < F.col("a"), F.array(span(F.col("a"), F.col("a")), span(F.col("b"), F.col("b")))).otherwise(F.array(span(F.col("a"), F.col("b"))))
+    parts = F.flatten(F.transform(outside, lambda s: F.array(span(s["lo"], F.least(s["hi"], F.lit(0))), span(F.greatest(s["lo"], F.col("n") + 1), s["hi"]))))
+    t = t.select("doc_id", "block_id", "sec", F.inline(F.filter(parts, lambda s: s["lo"] <= s["hi"])))
+    t = t.select("doc_id", "block_id", "sec", "hi", F.explode(F.sequence("lo", "hi", F.lit(_STEP).cast("bigint"))).alias("lo"))
+    bad = t.select("doc_id", "block_id", "sec", F.explode(F.sequence("lo", F.least("hi", F.col("lo") + _STEP - 1))).alias("num"))
     return bad.select("doc_id", F.lit("error").alias("severity"), _par().alias("location"), F.col("num").alias("detail"), "sec")
 
 
@@ -930,12 +1016,6 @@ def appendices(c: Corpus) -> DataFrame:
     return c.relation("heads").where("level = 1").where(F.col("text").rlike(rf"(?iu)^\s*Приложение{RIGHT}")).withColumn("letter", letter)
 
 
-@whole("C.05")
-def _c05(c: Corpus, p: dict) -> DataFrame:
-    have = appendices(c).select("doc_id", F.upper("letter").alias("ref"))
-    return mentions(c, "appendix").join(have, ["doc_id", "ref"], "left_anti").select("doc_id", F.lit("error").alias("severity"), _par().alias("location"), F.col("ref").alias("detail"), "sec")
-
-
 @whole("C.06")
 def _c06(c: Corpus, p: dict) -> DataFrame:
     """Inline references with a blank target (error), or with a target that no block, section or entry bears."""
@@ -955,6 +1035,7 @@ def _c06(c: Corpus, p: dict) -> DataFrame:
 ABBREVIATION = rf"{LEFT}([A-ZА-ЯЁ]{{2,10}}){RIGHT}"
 
 
+@derived("abbreviations", shared=True)
 def abbreviations(c: Corpus) -> DataFrame:
     """(doc_id, block_ord, block_id, sec, pos, abbr, after, before): capital words of 2 to 10 letters, in order.
 
@@ -968,7 +1049,7 @@ def abbreviations(c: Corpus) -> DataFrame:
 @whole("A.01")
 def _a01(c: Corpus, p: dict) -> DataFrame:
     known = [*KNOWN_ABBREVIATIONS, *p.get("known_abbreviations", [])]
-    first = abbreviations(c).where(~F.col("abbr").isin(*known)).groupBy("doc_id", "abbr").agg(F.min_by(F.struct("block_id", "sec", "before", "after"), F.struct("block_ord", "block_id", "pos")).alias("f"))
+    first = c.relation("abbreviations").where(~F.col("abbr").isin(*known)).groupBy("doc_id", "abbr").agg(F.min_by(F.struct("block_id", "sec", "before", "after"), F.struct("block_ord", "block_id", "pos")).alias("f"))
     told = F.col("f.after").rlike(r"^\s*\([^)]*[^\s)][^)]*\)") | F.col("f.after").rlike(r"^\s*\([^)]+$") | F.col("f.before").rlike(r"[A-Za-zА-Яа-яЁё]\s*\(\s*$")
     return first.where(~told).select("doc_id", F.lit("warning").alias("severity"), located("paragraph", F.col("f.block_id")).alias("location"), F.col("abbr").alias("detail"), F.col("f.sec").alias("sec"))
 
@@ -976,7 +1057,7 @@ def _a01(c: Corpus, p: dict) -> DataFrame:
 @whole("A.02")
 def _a02(c: Corpus, p: dict) -> DataFrame:
     listed = c.relation("heads").where(collapse("text").rlike("список сокращений|перечень сокращений|обозначения и сокращения")).select("doc_id")
-    n = abbreviations(c).groupBy("doc_id").agg(F.count_distinct("abbr").alias("n")).where(F.col("n") > int(p.get("threshold", 5)))
+    n = c.relation("abbreviations").groupBy("doc_id").agg(F.count_distinct("abbr").alias("n")).where(F.col("n") > int(p.get("threshold", 5)))
     return n.join(listed, "doc_id", "left_anti").select("doc_id", F.lit("warning").alias("severity"), F.lit("document").alias("location"), F.col("n").alias("detail"))
 
 
@@ -1010,17 +1091,18 @@ def _p01(c: Corpus, p: dict) -> DataFrame:
     return both.select("doc_id", F.lit("error").alias("severity"), _sec().alias("location"), F.concat_ws(" ", "problem", "letter").alias("detail"), F.col("sec_id").alias("sec"))
 
 
-@whole("P.02")
-def _p02(c: Corpus, p: dict) -> DataFrame:
-    said = mentions(c, "appendix").select("doc_id", "ref")
-    a = appendices(c).where("letter is not null").withColumn("ref", F.upper("letter"))
-    return a.join(said, ["doc_id", "ref"], "left_anti").select("doc_id", F.lit("error").alias("severity"), _sec().alias("location"), F.col("letter").alias("detail"), F.col("sec_id").alias("sec"))
+@local("P.02", "targets_x")
+def _p02(p: dict) -> Column:
+    return one((F.col("target") == "appendix") & F.col("said").isNull(), "error", _sec("id"), F.col("letter"))
+
 
+def _appendix() -> Column:
+    return (F.col("level") == 1) & F.col("text").rlike(rf"(?iu)^\s*Приложение{RIGHT}")
 
-@whole("P.03")
-def _p03(c: Corpus, p: dict) -> DataFrame:
-    hit = appendices(c).join(_first_par(c), ["doc_id", "sec_id"]).where(F.col("par.page_break_before") == F.lit(False))
-    return hit.select("doc_id", F.lit("error").alias("severity"), _sec().alias("location"), F.col("text").alias("detail"), F.col("sec_id").alias("sec"))
+
+@local("P.03", "heads_x")
+def _p03(p: dict) -> Column:
+    return one(_appendix() & (F.col("par.page_break_before") == F.lit(False)), "error", _sec(), F.col("text"))
 
 
 @local("P.04", "heads")
@@ -1029,11 +1111,10 @@ def _p04(p: dict) -> Column:
     return one((F.col("level") == 1) & t.rlike(rf"(?iu)^\s*Приложение{RIGHT}") & ~strip(t).rlike(r"^Приложение\s+[А-Я](?:\s+\S.*|\.\s+\S.*|$)"), "warning", _sec(), t)
 
 
-@whole("P.05")
-def _p05(c: Corpus, p: dict) -> DataFrame:
-    plain = ~F.lower(F.coalesce(F.col("par.style_name"), F.lit(""))).startswith("heading") & ~F.coalesce(F.exists("par.runs", lambda r: r["bold"] == F.lit(True)), F.lit(False))
-    hit = appendices(c).join(_first_par(c), ["doc_id", "sec_id"]).where(plain)
-    return hit.select("doc_id", F.lit("warning").alias("severity"), _sec().alias("location"), F.col("par.text").alias("detail"), F.col("sec_id").alias("sec"))
+@local("P.05", "heads_x")
+def _p05(p: dict) -> Column:
+    plain = ~F.lower(F.coalesce(F.col("par.style_name"), F.lit(""))).startswith("heading") & ~F.col("par.bold")
+    return one(_appendix() & (F.col("pars") > 0) & plain, "warning", _sec(), F.col("par.text"))
 
 
 # --- K: page sections ----------------------------------------------------------------------------------------------
@@ -1091,27 +1172,25 @@ def _k02(p: dict) -> Column:
     return one((F.col("ps_type") == "title") & F.col("visible"), "error", _page())
 
 
-@whole("K.03")
-def _k03(c: Corpus, p: dict) -> DataFrame:
-    want = int(p.get("expected_start_value", 3))
-    rank = F.when(F.col("ps_type") == "main", 0).when(F.col("ps_type") != "title", 1)
-    first = c.pages.where(rank.isNotNull()).groupBy("doc_id").agg(F.min_by(F.struct("ps_id", "start_mode", "start_value"), F.struct(rank.alias("r"), F.col("ps_ord"))).alias("s"))
-    mode = ~F.coalesce(F.col("s.start_mode"), F.lit("")).eqNullSafe("start_at")
-    bad = first.where(mode | ~F.col("s.start_value").eqNullSafe(want))
-    return bad.select("doc_id", F.lit("error").alias("severity"), located("page_section", F.col("s.ps_id")).alias("location"), F.when(mode, F.lit("mode")).otherwise(F.coalesce(F.col("s.start_value").cast("string"), F.lit("none"))).alias("detail"))
+@derived("pages_x")
+def _pages_x(c: Corpus) -> DataFrame:
+    """Page sections with their place *k*, and *main_k*: 1 for the first main section, else the first that is no title."""
+    w = Window.partitionBy("doc_id")
+    rank = F.when(F.col("ps_type") == "main", 0).when(F.col("ps_type") != "title", 1).otherwise(2)
+    return c.pages.withColumns({"k": F.row_number().over(w.orderBy("ps_ord", "ps_id")), "main_k": F.when(rank < 2, F.row_number().over(w.orderBy(rank, "ps_ord", "ps_id")))})
 
 
-def _later_pages(c: Corpus) -> DataFrame:
-    w = Window.partitionBy("doc_id").orderBy("ps_ord", "ps_id")
-    return c.pages.withColumn("k", F.row_number().over(w)).where("k > 1")
+@local("K.03", "pages_x")
+def _k03(p: dict) -> Column:
+    mode = ~F.coalesce("start_mode", F.lit("")).eqNullSafe("start_at")
+    wrong = ~F.col("start_value").eqNullSafe(int(p.get("expected_start_value", 3)))
+    return one((F.col("main_k") == 1) & (mode | wrong), "error", _page(), F.when(mode, F.lit("mode")).otherwise(F.coalesce(F.col("start_value").cast("string"), F.lit("none"))))
 
 
-@whole("K.04")
-def _k04(c: Corpus, p: dict) -> DataFrame:
-    bad = _later_pages(c).where("start_mode = 'restart'")
-    if p.get("allow_restart_in_appendix", False):
-        bad = bad.where("ps_type <> 'appendix'")
-    return bad.select("doc_id", F.lit("error").alias("severity"), _page().alias("location"), F.col("ps_type").alias("detail"))
+@local("K.04", "pages_x")
+def _k04(p: dict) -> Column:
+    free = (F.col("ps_type") == "appendix") if p.get("allow_restart_in_appendix", False) else F.lit(False)
+    return one((F.col("k") > 1) & (F.col("start_mode") == "restart") & ~free, "error", _page(), F.col("ps_type"))
 
 
 @local("K.05", "pages")
@@ -1121,10 +1200,9 @@ def _k05(p: dict) -> Column:
     return one((F.col("ps_type") == "appendix") & ~good, "warning", _page())
 
 
-@whole("K.06")
-def _k06(c: Corpus, p: dict) -> DataFrame:
-    bad = _later_pages(c).where("link_to_previous").where(~F.col("ps_type").isin(*p.get("exclude_types", [""])))
-    return bad.select("doc_id", F.lit("warning").alias("severity"), _page().alias("location"), F.col("ps_type").alias("detail"))
+@local("K.06", "pages_x")
+def _k06(p: dict) -> Column:
+    return one((F.col("k") > 1) & F.col("link_to_previous") & ~F.col("ps_type").isin(*p.get("exclude_types", [""])), "warning", _page(), F.col("ps_type"))
 
 
 # --- V: volume -----------------------------------------------------------------------------------------------------
@@ -1135,31 +1213,22 @@ def block_words() -> Column:
     return F.when(_is("list"), F.aggregate("items", F.lit(0), lambda a, x: a + words(x))).when(_is("paragraph") | _is("table"), words("text_x")).otherwise(0)
 
 
-def document_words(c: Corpus) -> DataFrame:
-    b = c.relation("blocks").groupBy("doc_id").agg(F.sum(block_words()).alias("words"), F.count_if(_is("figure")).alias("figures"), F.count_if(_is("table")).alias("tables"))
-    return c.docs.select("doc_id").join(b, "doc_id", "left").withColumns({n: F.coalesce(n, F.lit(0)) for n in ("words", "figures", "tables")})
-
-
-@whole("V.01")
-def _v01(c: Corpus, p: dict) -> DataFrame:
-    pages = document_words(c).withColumn("p", F.col("words") / float(p.get("words_per_page", 250)))
+@local("V.01", "docs_x")
+def _v01(p: dict) -> Column:
+    pages = F.col("words") / float(p.get("words_per_page", 250))
     low, high = float(p.get("min_pages", 25)), float(p.get("max_pages", 50))
-    return pages.where((F.col("p") < low) | (F.col("p") > high)).select("doc_id", F.lit("warning").alias("severity"), F.lit("document").alias("location"), F.when(F.col("p") < low, "short").otherwise("long").alias("detail"))
+    return one((pages < low) | (pages > high), "warning", F.lit("document"), F.when(pages < low, "short").otherwise("long"))
 
 
-@whole("V.02")
-def _v02(c: Corpus, p: dict) -> DataFrame:
-    out = None
-    for name, low, high in (("введение", p.get("intro_min_words", 800), p.get("intro_max_words", 1500)), ("заключение", p.get("conclusion_min_words", 500), p.get("conclusion_max_words", 1200))):
-        b = c.relation("blocks").select("doc_id", F.col("container_id").alias("sec_id"), block_words().alias("w"))
-        n = _subtree(c, [name]).join(b, ["doc_id", "sec_id"], "left").groupBy("doc_id", "root").agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n"))
-        bad = n.where((F.col("n") < int(low)) | (F.col("n") > int(high))).select("doc_id", F.lit("warning").alias("severity"), _sec("root").alias("location"), F.col("n").alias("detail"), F.col("root").alias("sec"))
-        out = bad if out is None else out.unionByName(bad)
-    return out
+@local("V.02", "parts")
+def _v02(p: dict) -> Column:
+    low = F.when(F.col("norm") == "введение", int(p.get("intro_min_words", 800))).otherwise(int(p.get("conclusion_min_words", 500)))
+    high = F.when(F.col("norm") == "введение", int(p.get("intro_max_words", 1500))).otherwise(int(p.get("conclusion_max_words", 1200)))
+    return one((F.col("words") < low) | (F.col("words") > high), "warning", _sec("sec"), F.col("words"))
 
 
-@whole("V.04")
-def _v04(c: Corpus, p: dict) -> DataFrame:
+@local("V.04", "docs_x")
+def _v04(p: dict) -> Column:
     tens = F.greatest(F.col("words") / float(p.get("words_per_page", 250)) / 10, F.lit(1.0))
     few = F.array_compact(
         F.array(
@@ -1167,7 +1236,7 @@ def _v04(c: Corpus, p: dict) -> DataFrame:
             F.when(F.col("tables") < float(p.get("min_tables_per_10_pages", 1)) * tens, "tables"),
         )
     )
-    return document_words(c).select("doc_id", F.lit("info").alias("severity"), F.lit("document").alias("location"), F.explode(few).alias("detail"))
+    return many(few, "info", F.lit("document"))
 
 
 # --- X: style, U: units --------------------------------------------------------------------------------------------
@@ -1215,16 +1284,16 @@ def _x07(p: dict) -> Column:
     return F.when(_is("paragraph"), many(long, "info", _par())).otherwise(_none(p))
 
 
-@whole("X.08")
-def _x08(c: Corpus, p: dict) -> DataFrame:
+@local("X.08", "blocks")
+def _x08(p: dict) -> Column:
     """Words of four letters or more that come again within a few such words; each once per paragraph."""
     s = _style()
-    par = c.relation("blocks").where(_is("paragraph") & ~s.startswith("heading") & ~s.startswith("caption"))
     kept = F.filter(F.transform(find_all("text", "[А-Яа-яёЁA-Za-z]+"), F.lower), lambda w: (F.length(w) >= 4) & ~w.isin(*STOP_WORDS))
-    w = par.select("doc_id", "block_id", F.col("container_id").alias("sec"), F.posexplode(kept).alias("k", "word"))
-    v = Window.partitionBy("doc_id", "block_id", "word").orderBy("k")
-    near = w.withColumn("gap", F.col("k") - F.lag("k").over(v)).where(F.col("gap") < int(p.get("min_distance", 3)))
-    return near.select("doc_id", "block_id", "sec", "word").distinct().select("doc_id", F.lit("info").alias("severity"), _par().alias("location"), F.col("word").alias("detail"), "sec")
+    back = int(p.get("min_distance", 3)) - 1
+    if back < 1:
+        return _none(p)
+    near = F.transform(kept, lambda w, i: F.when((i > 0) & F.array_contains(F.slice(kept, F.greatest(i - back + 1, F.lit(1)), F.least(i, F.lit(back))), w), w))
+    return F.when(_is("paragraph") & ~s.startswith("heading") & ~s.startswith("caption"), many(F.array_distinct(F.array_compact(near)), "info", _par())).otherwise(_none(p))
 
 
 _UNITS = "|".join(re.escape(u) for u in sorted(SI_UNITS, key=len, reverse=True))

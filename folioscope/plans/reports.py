@@ -11,16 +11,20 @@ from folioscope.operators.engine import Profile, validate, validate_in_parts
 from folioscope.operators.fixers import fix
 from folioscope.operators.rules import OFF
 from folioscope.plans.rules import _CURRENT, PARAMS
-from folioscope.session import table
-from folioscope.sources.corpus import from_tables
+from folioscope.session import materialize, table
+from folioscope.sources.corpus import Corpus, from_tables
 from folioscope.sources.imports import from_markdown, from_states, to_html, to_markdown
 from folioscope.streaming.check import check_stream, submissions_per_window
 
 _LAYOUT = ["T.01", "T.02", "T.03", "T.04", "T.05", "T.08", "I.08", "I.09"]
 
 
-def _violations(spark: SparkSession, d: str, spacing: float = 1.5) -> DataFrame:
-    return validate(from_tables(spark, d), Profile(params={"T.01": {"font": "Serif One"}, "T.03": {"line_spacing": spacing}}), codes=_LAYOUT, suppress=False)
+def _layout(c: Corpus, spacing: float = 1.5) -> DataFrame:
+    return validate(c, Profile(params={"T.01": {"font": "Serif One"}, "T.03": {"line_spacing": spacing}}), codes=_LAYOUT, suppress=False)
+
+
+def _violations(spark: SparkSession, d: str) -> DataFrame:
+    return _layout(from_tables(spark, d))
 
 
 def _every_violation(spark: SparkSession, d: str) -> DataFrame:
@@ -69,7 +73,9 @@ def top_codes_all(spark: SparkSession, d: str) -> DataFrame:
 
 def violation_diff(spark: SparkSession, d: str) -> DataFrame:
     """Violations fixed and introduced when the profile asks for another line spacing."""
-    return R.violation_diff(_violations(spark, d), _violations(spark, d, 1.15))
+    c = from_tables(spark, d)
+    c.made["blocks"] = materialize(c.relation("blocks"), "blocks")  # read by both runs
+    return R.violation_diff(_layout(c), _layout(c, 1.15))
 
 
 def suppress_disabled(spark: SparkSession, d: str) -> DataFrame:
@@ -120,7 +126,7 @@ def bib_classify(spark: SparkSession, d: str) -> DataFrame:
 def bib_fields(spark: SparkSession, d: str) -> DataFrame:
     e = from_tables(spark, d).entries.where("fields['raw'] is not null")
     f = B.entry_fields(F.col("fields")["raw"])
-    return e.select("doc_id", "entry_id", f["author"].alias("author"), f["year"].alias("year"), f["url"].alias("url"), f["language"].alias("language"))
+    return e.withColumn("f", f).select("doc_id", "entry_id", *[F.col("f")[k].alias(k) for k in ("author", "year", "url", "doi", "access_date", "place", "language")])
 
 
 def autofill_sources(spark: SparkSession, d: str) -> DataFrame:
@@ -197,19 +203,26 @@ _WORDS = "len(list_filter(regexp_split_to_array(text, '[\\s\\p{Z}]+'), lambda x:
 _SHOWN = "trim(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g')) <> ''"
 _B = f"""count(*) filter (block_type = 'paragraph') as paragraphs, count(*) filter (block_type = 'paragraph' and {_SHOWN}) as nonempty_paragraphs, count(*) filter (block_type = 'figure') as figures,
 count(*) filter (block_type = 'table') as tables, count(*) filter (block_type = 'formula') as formulas, count(*) filter (block_type = 'list') as lists,
-cast(sum(case when block_type = 'paragraph' then {_WORDS} else 0 end) as bigint) as words, cast(sum(case when block_type = 'paragraph' and {_SHOWN} then length(text) else 0 end) as bigint) as chars"""
+cast(sum(case when block_type = 'paragraph' then {_WORDS} else 0 end) as bigint) as words, cast(sum(case when block_type = 'paragraph' and {_SHOWN} then length(text) else 0 end) as bigint) as chars,
+cast(0 as bigint) as list_items, {", ".join(f"count(*) filter (block_type = 'paragraph' and has_{k}) as paragraphs_with_{k}" for k in ("formula", "xref", "citation"))}"""
+_KINDS = f"""kinds as (select doc_id, block_id, {", ".join(f"bool_or(kind = '{k}') as has_{k}" for k in ("formula", "xref", "citation"))} from run group by all),
+bk as (select bt.*, kinds.* exclude (doc_id, block_id) from bt left join kinds using (doc_id, block_id))"""
 _SUB = "(select distinct id, filename, profile_id, created_at, received_at, error_count, warning_count, info_count from submissions)"
 _RAW = "coalesce(entry_fields['raw'], '')"
+_N = "[^\\p{L}\\p{N}_]"
 
 SQL = {
-    "document_stats": f"""{_CURRENT}, b as (select doc_id, {_B} from bt group by doc_id),
+    "document_stats": f"""{_CURRENT}, {_KINDS}, b as (select doc_id, {_B} from bk group by doc_id),
 s as (select doc_id, count(*) as sections, count(*) filter (lvl = 1) as sections_1, count(*) filter (lvl = 2) as sections_2, count(*) filter (lvl = 3) as sections_3 from sec group by doc_id),
 e as (select doc_id, count(*) as entries from bib group by doc_id)
 select doc_id, coalesce(paragraphs, 0) as paragraphs, coalesce(nonempty_paragraphs, 0) as nonempty_paragraphs, coalesce(figures, 0) as figures, coalesce(tables, 0) as tables, coalesce(formulas, 0) as formulas, coalesce(lists, 0) as lists,
 coalesce(words, 0) as words, coalesce(chars, 0) as chars, coalesce(sections, 0) as sections, coalesce(sections_1, 0) as sections_1, coalesce(sections_2, 0) as sections_2, coalesce(sections_3, 0) as sections_3, coalesce(entries, 0) as entries,
+coalesce(list_items, 0) as list_items, coalesce(paragraphs_with_formula, 0) as paragraphs_with_formula, coalesce(paragraphs_with_xref, 0) as paragraphs_with_xref, coalesce(paragraphs_with_citation, 0) as paragraphs_with_citation, cast(0 as bigint) as page_sections,
 coalesce(round(case when nonempty_paragraphs > 0 then words / nonempty_paragraphs end, 1), 0.0) as words_per_paragraph from docs left join b using (doc_id) left join s using (doc_id) left join e using (doc_id)""",
-    "section_stats": f"""{_CURRENT}, h as (select doc_id, sec_id as container_id, coalesce(sec_path[1], sec_id) as top from sec), b as (select bt.doc_id, top, {_B} from bt left join h using (doc_id, container_id) group by bt.doc_id, top)
-select b.doc_id, b.top as sec_id, sec.txt as heading, sec.sec_ord, b.* exclude (doc_id, top) from b left join sec on sec.doc_id = b.doc_id and sec.sec_id = b.top""",
+    "section_stats": f"""{_CURRENT}, {_KINDS}, h as (select doc_id, sec_id as container_id, coalesce(sec_path[1], sec_id) as top from sec),
+b as (select bk.doc_id, top, {_B} from bk left join h using (doc_id, container_id) group by bk.doc_id, top),
+t as (select doc_id, sec_id as top from sec where lvl = 1), f as (select coalesce(b.doc_id, t.doc_id) as doc_id, coalesce(b.top, t.top) as top, b.* exclude (doc_id, top) from b full join t on t.doc_id = b.doc_id and t.top = b.top)
+select f.doc_id, f.top as sec_id, sec.txt as heading, sec.sec_ord, {", ".join(f"coalesce({x}, 0) as {x}" for x in R._COUNTERS)} from f left join sec on sec.doc_id = f.doc_id and sec.sec_id = f.top""",
     "entry_types": f"{_CURRENT} select doc_id, entry_type, count(*) as entries from bib group by all",
     "severity_pivot": f"{_V} select doc_id, count(*) filter (severity = 'error') as errors, count(*) filter (severity = 'warning') as warnings, count(*) filter (severity = 'info') as infos, count(*) as total from v group by doc_id",
     "category_rollup": f"{_V}, c as (select doc_id, split_part(check_code, '.', 1) as category from v) select doc_id, category, count(*) as violations, grouping(doc_id) * 2 + grouping(category) as level from c group by rollup (doc_id, category)",
@@ -227,10 +240,29 @@ select profile_id, arg_max(n, k) as profile_name, arg_max(v, k) as profile_versi
     "history_delete": f"select strftime(created_at, '%Y-%m') as month, count(*) as submissions from {_SUB} s where not exists (select 1 from profiles p where p.extends_id is not null and p.profile_id = s.profile_id) group by 1",
     "find_replace_counts": "select doc_id, cast((length(text) - length(replace(text, 'анализ', ''))) / 6 as int) as hits from documents where contains(text, 'анализ')",
     "bib_fields": f"""{_CURRENT} select doc_id, entry_id, coalesce(nullif(regexp_extract({_RAW}, '^[А-ЯЁ][а-яё]+\\s[А-ЯЁ]\\.\\s?[А-ЯЁ]\\.'), ''), nullif(regexp_extract({_RAW}, '^[A-Z][a-z]+,?\\s[A-Z]\\.\\s?[A-Z]\\.'), '')) as author,
-nullif(regexp_extract({_RAW}, '(?:^|[^\\p{{L}}\\p{{N}}_])((?:19|20)\\d{{2}})(?:[^\\p{{L}}\\p{{N}}_]|$)', 1), '') as year, nullif(regexp_extract({_RAW}, 'https?://\\S+'), '') as url,
+nullif(regexp_extract({_RAW}, '(?:^|[^\\p{{L}}\\p{{N}}_])((?:19|20)\\d{{2}})(?:[^\\p{{L}}\\p{{N}}_]|$)', 1), '') as year, nullif(rtrim(regexp_extract({_RAW}, 'https?://\\S+'), ').,;'), '') as url,
+nullif(rtrim(regexp_extract({_RAW}, '10\\.\\d{{4,9}}/[-._;()/:A-Za-z0-9]+'), ').,;'), '') as doi, nullif(regexp_extract({_RAW}, '(?i)дата\\s+обращения:\\s*(\\d{{1,2}}\\.\\d{{1,2}}\\.\\d{{4}})', 1), '') as access_date,
+nullif(regexp_extract({_RAW}, '—\\s*([А-ЯЁ][а-яё]+(?:[ -][А-ЯЁ][а-яё]+)?)\\s*:', 1), '') as place,
 case when regexp_matches({_RAW}, '^[А-ЯЁа-яё]') then 'ru' when regexp_matches({_RAW}, '^[A-Za-z]') then 'en' end as language from bib where entry_fields['raw'] is not null""",
+    "bib_classify": f"""{_CURRENT}, r as (select doc_id, entry_id, {_RAW} as raw, ' ' || {_RAW} || ' ' as pad from bib)
+select doc_id, entry_id, case when regexp_matches(raw, '(?i)https?://') then 'web' when regexp_matches(pad, '{_N}ГОСТ{_N}') then 'standard'
+when regexp_matches(pad, '(?i){_N}(дис\\.|диссертация{_N}|автореф\\.)') then 'thesis' when regexp_matches(pad, '(?i){_N}(конференция{_N}|материалы{_N}|сб\\.\\s*ст\\.)') then 'conference'
+when regexp_matches(pad, '(?i){_N}(закон{_N}|федер\\.\\s*закон{_N}|постановление{_N})') then 'law' when regexp_matches(raw, '(^|\\s)//\\s|журн\\.|№') or regexp_matches(pad, '{_N}(Журнал{_N}|No\\.)') then 'article' else 'book' end as kind from r""",
     "fix_spacing": f"{_CURRENT} select doc_id, block_id, case when cat = 'body' and abs(line_spacing - 1.5) > 0.01 then 1.5 else line_spacing end as line_spacing, case when cat = 'body' and alignment <> 'justify' then 'justify' else alignment end as alignment from par",
     "scan_lines": "select doc_id, line_no - 1 as line_no, length(line) as chars from (select doc_id, unnest(l) as line, generate_subscripts(l, 1) as line_no from (select doc_id, string_split(text, chr(10)) as l from documents)) where line <> ''",
-    "violation_diff": None,
+    "violation_diff": f"""{_V}, now as (select distinct doc_id, check_code, severity, location, detail from v),
+later as (select doc_id, check_code, severity, location, detail from now where check_code <> 'T.03'
+union select doc_id, 'T.03', 'error', 'paragraph[' || block_id || ']', cast(line_spacing as varchar) from par where cat = 'body' and abs(line_spacing - 1.15) > 0.01)
+select change, doc_id, check_code, location, print, severity from (
+select 'fixed' as change, doc_id, check_code, location, lower(detail) as print, severity from now n where not exists (select 1 from later t where (t.doc_id, t.check_code, t.location, t.detail) = (n.doc_id, n.check_code, n.location, n.detail))
+union all select 'introduced', doc_id, check_code, location, lower(detail), severity from later t where not exists (select 1 from now n where (t.doc_id, t.check_code, t.location, t.detail) = (n.doc_id, n.check_code, n.location, n.detail)))""",
+    "window_counts": f"""select start, profile_id, count(*) as submissions, cast(sum(error_count) as bigint) as errors from (select time_bucket(interval 7 days, created_at, timestamp '1970-01-01') as start, profile_id, error_count from {_SUB} where created_at is not null) group by all""",
+    "stream_check": f"{_V} select check_code, count(*) as violations from v where check_code in ('T.03', 'T.05', 'T.08') group by check_code",
+    "autofill_sources": f"""{_CURRENT}, m as (select doc_id, block_ord, unnest(regexp_extract_all(text, 'СТО\\s+\\d+(?:\\.\\d+)*\\s*[-–—]\\s*\\d{{4}}')) as s, 0 as law, generate_subscripts(regexp_extract_all(text, 'СТО\\s+\\d+(?:\\.\\d+)*\\s*[-–—]\\s*\\d{{4}}'), 1) as pos from par
+union all select doc_id, block_ord, unnest(regexp_extract_all(text, '(?i)(?:№\\s*)?(\\d{{1,4}})\\s*[-–—]\\s*ФЗ', 1)) || '-ФЗ', 1, generate_subscripts(regexp_extract_all(text, '(?i)(?:№\\s*)?(\\d{{1,4}})\\s*[-–—]\\s*ФЗ', 1), 1) from par),
+t as (select doc_id, regexp_replace(regexp_replace(s, '\\s*[-–—]\\s*', '-', 'g'), '\\s+', ' ', 'g') as source, min((block_ord, pos)) as place from m group by all),
+raws as (select doc_id, regexp_replace(regexp_replace({_RAW}, '\\s*[-–—]\\s*', '-', 'g'), '\\s+', ' ', 'g') as raw from bib),
+have as (select doc_id, unnest(regexp_extract_all(raw, 'СТО\\s+\\d+(?:\\.\\d+)*\\s*[-–—]\\s*\\d{{4}}')) as source from raws union select doc_id, unnest(regexp_extract_all(raw, '(?i)(?:№\\s*)?(\\d{{1,4}})\\s*[-–—]\\s*ФЗ', 1)) || '-ФЗ' from raws),
+new as (select * from t where not exists (select 1 from have h where h.doc_id = t.doc_id and h.source = t.source)), l as (select doc_id, max(ordinal) as m from bib group by doc_id)
+select new.doc_id, source, cast(coalesce(l.m, 0) + row_number() over (partition by new.doc_id order by place, source) as int) as ordinal from new left join l using (doc_id)""",
 }
-SQL = {k: v for k, v in SQL.items() if v}

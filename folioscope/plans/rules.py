@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscope.operators import rules as catalogue
-from folioscope.operators.engine import RULES, Profile, validate
+from folioscope.operators.engine import RULES, Profile, validate, validate_in_parts
 from folioscope.sources.corpus import from_tables
 
 #: Parameters that make the rules speak to these tables, where the base profile's would find nothing or everything.
@@ -36,7 +36,7 @@ def _rule(code: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def rule_union(spark: SparkSession, d: str) -> DataFrame:
     """All violations of all enabled rules, without what sections disable."""
-    return validate(from_tables(spark, d), Profile(disabled=set(catalogue.OFF), params=PARAMS))
+    return validate_in_parts(from_tables(spark, d).written(), Profile(disabled=set(catalogue.OFF), params=PARAMS))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name_of(c): _rule(c) for c in sorted(RULES) if c != "R.15"} | {"rule_union": rule_union}
@@ -147,7 +147,7 @@ select doc_id, 'error' as severity, 'section[' || sec_id || ']' as location, bef
     "rule_i08": _o("figure", "dpi < 150", "warning", "cast(dpi as varchar)"),
     "rule_i09": _o("figure", "alignment <> 'center'", "warning", "alignment"),
     "rule_m01": _o("formula", "trim(coalesce(latex, '')) <> ''", "warning"),
-    "rule_r02": f"""{_CURRENT}, e as (select *, {_AUTHOR} as k from bib where {_AUTHOR} is not null),
+    "rule_r02": f"""{_CURRENT}, e as (select *, {_AUTHOR} as k from bib),
 l as (select *, lag(k) over w as bk, lag(entry_id) over w as bid from e window w as (partition by doc_id order by ordinal, entry_id)),
 f as (select *, row_number() over (partition by doc_id order by ordinal, entry_id) as n from l where bk > k)
 select doc_id, 'warning' as severity, 'bibliography[' || entry_id || ']' as location, bid as detail from f where n = 1""",

@@ -66,6 +66,11 @@ def _status(spark: SparkSession, path: str) -> tuple | None:
     return path, st.getModificationTime(), st.getLen()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there a file or folder at *path*?"""
+    return _status(spark, path) is not None
+
+
 def discard(spark: SparkSession) -> None:
     """Remove everything this application wrote to the shared folder; frames read from there are gone."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))  # noqa: SLF001

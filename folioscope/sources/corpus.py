@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import text_of
+from folioscope.functions.text import strip, text_of
 from folioscope.session import materialize, table
 
 RUN = "struct<run_ord:int,kind:string,text:string,bold:boolean,italic:boolean,font:string,size_pt:double,color_hex:string,target_id:string,prefix:string,source_id:string,pages:string>"
@@ -40,37 +42,67 @@ class Corpus:
     def relation(self, name: str) -> DataFrame:
         """A frame with the derived columns the rules read; each is planned once."""
         if name not in self.made:
-            self.made[name] = _DERIVED[name](self)
+            self.made[name] = DERIVED[name](self)
         return self.made[name]
 
-    def persisted(self) -> Corpus:
-        """The same corpus with the derived frames kept in memory and on disk, for many rules over one input."""
-        for name in ("heads", "blocks", "entries"):
-            self.made[name] = self.relation(name).persist()
-        return replace(self, made=dict(self.made))
-
     def written(self) -> Corpus:
-        """The same corpus with its frames written once, for runs of all rules, each of which reads them anew."""
-        return Corpus(**{n: materialize(getattr(self, n), n) for n in SCHEMAS})
-
-
-def _heads(c: Corpus) -> DataFrame:
-    return c.secs.withColumn("text", text_of("heading"))
-
-
-def _blocks(c: Corpus) -> DataFrame:
+        """The same corpus with its frames, their derived columns and the shared relations written once.
+
+        For runs of all rules: each reads the few columns it needs of what is written, and nothing is derived twice.
+        """
+        names = ("docs", "pages", "heads", "blocks", "entries")
+        with ThreadPoolExecutor(len(names)) as pool:  # small frames do not wait for large ones
+            made = dict(zip(names, pool.map(lambda n: materialize(self.relation(n), n), names)))
+        plain = made["blocks"].drop("text", "text_x", "category")
+        out = Corpus(made["docs"], made["pages"], made["heads"].drop("text"), plain, made["entries"], made)
+        with ThreadPoolExecutor(max(1, len(SHARED))) as pool:
+            made |= dict(zip(SHARED, pool.map(lambda n: materialize(out.relation(n), n), SHARED)))
+        return out
+
+
+def paragraph_category(text: str = "text") -> Column:
+    """caption, footnote, header_footer, heading, placeholder or body, by the style and the text of a paragraph."""
+    s = F.lower(strip(F.coalesce("style_name", F.lit(""))))
+    return (
+        F.when(s.startswith("caption") | s.startswith("название"), "caption")
+        .when(s == "footnote text", "footnote")
+        .when(s.isin("header", "footer"), "header_footer")
+        .when(s.startswith("heading"), "heading")
+        .when(strip(text).startswith("[Рисунок:") | strip(text).startswith("[Таблица:"), "placeholder")
+        .otherwise("body")
+    )
+
+
+def with_text(blocks: DataFrame) -> DataFrame:
+    """Blocks with text (of their text runs), text_x (with references) and the category of a paragraph."""
     plain = text_of("runs")
     shown = text_of("runs", lambda r: r["kind"].isin("text", "xref"))
-    return c.blocks.withColumns({"text": F.coalesce(plain, F.lit("")), "text_x": F.coalesce(shown, F.lit(""))})
+    texts = blocks.withColumns({"text": F.coalesce(plain, F.lit("")), "text_x": F.coalesce(shown, F.lit(""))})
+    return texts.withColumn("category", paragraph_category())
 
 
-_DERIVED = {
+#: Derived relations by name; rules read them through Corpus.relation.
+DERIVED: dict[str, Callable[[Corpus], DataFrame]] = {
     "docs": lambda c: c.docs,
     "pages": lambda c: c.pages,
-    "heads": _heads,
-    "blocks": _blocks,
+    "heads": lambda c: c.secs.withColumn("text", text_of("heading")),
+    "blocks": lambda c: with_text(c.blocks),
     "entries": lambda c: c.entries,
 }
+#: Derived relations that several rules read.
+SHARED: list[str] = []
+
+
+def derived(name: str, shared: bool = False):  # noqa: ANN201
+    """Register a derived relation: a function from the corpus to a frame."""
+
+    def add(fn: Callable[[Corpus], DataFrame]) -> Callable[[Corpus], DataFrame]:
+        DERIVED[name] = fn
+        if shared:
+            SHARED.append(name)
+        return fn
+
+    return add
 
 
 def latest(df: DataFrame, keys: list[str], loaded: str = "loaded_at", deleted: str | None = "is_deleted") -> DataFrame:

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import text_of
 from folioscope.operators.engine import RULES, Profile, _scan
+from folioscope.sources.corpus import with_text
 
 
 def check_stream(blocks: DataFrame, codes: list[str], profile: Profile | None = None) -> DataFrame:
     """Violations of row-local block rules, block by block, without state; *blocks* may be a stream."""
     rules = [RULES[c] for c in codes if c in RULES and RULES[c].local and RULES[c].relation == "blocks"]
-    df = blocks.withColumns({"text": F.coalesce(text_of("runs"), F.lit("")), "text_x": F.coalesce(text_of("runs", lambda r: r["kind"].isin("text", "xref")), F.lit(""))})
-    return _scan(df, rules, profile or Profile())
+    return _scan(with_text(blocks), rules, profile or Profile())
 
 
 def submissions_per_window(stream: DataFrame, window: str = "7 days", late: str = "30 days") -> DataFrame:

@@ -33,6 +33,22 @@ def test_all_fixers_repair_and_repeat_to_nothing(spark):
     assert validate(c, codes=["T.02", "T.03", "T.08", "T.10", "T.11", "U.02", "H.08"], suppress=False).count() == 0
 
 
+def test_numbers_of_any_depth_and_below_structural_headings(spark):
+    chain = [sec(k, f"H{k}", k, path=[f"s{j}" for j in range(1, k + 1)], parent=f"s{k - 1}" if k > 1 else None) for k in range(1, 8)]
+    more = [sec(10, "3 Введение"), sec(11, "7 под", 2, parent="s10"), sec(12, "Вывод"), sec(13, "Заключение", 2, parent="s12"), sec(14, "b", 2, parent="s12"), sec(15, " ", 2, parent="s12")]
+    c, log = fix(corpus(spark, secs=[*chain, *more]), codes=["H.04"])
+    t = texts(c, "secs", "heading", "sec_id")
+    assert [t[f"s{k}"] for k in range(1, 8)] == [".".join(["1"] * k) + f" H{k}" for k in range(1, 8)]
+    assert (t["s10"], t["s11"], t["s12"], t["s13"], t["s14"], t["s15"]) == ("Введение", "7 под", "2 Вывод", "Заключение", "2.1 b", " ")
+    assert {r["location"] for r in log.collect()} == {*[f"s{k}" for k in range(1, 8)], "s10", "s12", "s14"}
+
+
+def test_full_stop_of_the_last_run_that_shows_text(spark):
+    heads = [sec(1, "", heading=[run("Итог."), run("", "text")]), sec(2, "", heading=[run("Итог…"), run(None, "citation")]), sec(3, "", heading=[run("a."), run("b?")])]
+    c, _ = fix(corpus(spark, secs=heads), codes=["H.08"])
+    assert texts(c, "secs", "heading", "sec_id") == {"s1": "Итог", "s2": "Итог", "s3": "a.b?"}
+
+
 def test_choice_of_fixers(spark):
     c = sample(spark)
     _, log = fix(c, Profile(disabled={"T.03"}), codes=["T.03", "none"])

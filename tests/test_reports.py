@@ -19,6 +19,10 @@ def test_stats(spark):
     assert (s[1]["words"], s[1]["paragraphs"], s[1]["nonempty_paragraphs"], s[1]["words_per_paragraph"], s[1]["sections_2"]) == (6, 4, 3, 2.0, 1)
     assert s[2]["words"] == 0 and s[2]["words_per_paragraph"] == 0.0
     assert {(r["sec_id"], r["words"]) for r in R.section_stats(c).collect()} == {("s1", 5), (None, 1)}
+    more = corpus(spark, secs=[sec(1, "A"), sec(2, "B"), sec(3, "C", 2, parent="s2")], blocks=[par(1, "x", run(None, "xref", target_id="t"), run("y", "formula")), obj("list", 2, None, items=["p", "q"])])
+    got = {r["sec_id"]: r for r in R.section_stats(more).collect()}
+    assert set(got) == {"s1", "s2"} and (got["s2"]["paragraphs"], got["s2"]["heading"]) == (0, "B")
+    assert [got["s1"][k] for k in ("lists", "list_items", "paragraphs_with_xref", "paragraphs_with_formula", "paragraphs_with_citation")] == [1, 2, 1, 1, 0]
 
 
 def test_reports_and_diff(spark):
@@ -41,9 +45,16 @@ def test_inheritance_and_history(spark, tmp_path):
     assert {r["state_id"] for r in R.retained(s, 1).collect()} == {3, 4} and {r["state_id"] for r in R.changed_versions(s).collect()} == {1, 3, 4}
     assert R.without(s, s.where("doc_id = 7"), ["doc_id"]).count() == 1
     sub = spark.createDataFrame([(1, "f")], "id long, filename string").withColumn("created_at", F.timestamp_ntz_literal("2024-02-03") if hasattr(F, "timestamp_ntz_literal") else F.lit("2024-02-03").cast("timestamp_ntz"))
-    for _ in range(2):
-        R.record(sub, spark.createDataFrame([(1, "T.01", "error", "p", "x")], V), str(tmp_path / "h"))
-    assert spark.read.parquet(str(tmp_path / "h/violations")).count() == 2 and R.recent(sub.withColumn("error_count", F.lit(1)), 5, "f").count() == 1
+    sub = sub.withColumnRenamed("id", "submission_id")
+    found = spark.createDataFrame([(1, "T.01", "error"), (1, "T.02", "info"), (9, "T.01", "error")], "submission_id long, check_code string, severity string")
+    for _ in range(2):  # recording twice changes nothing
+        R.record(sub, found, str(tmp_path / "h"))
+    R.record(sub.withColumn("submission_id", F.lit(2).cast("long")), found.where("submission_id = 1").withColumn("submission_id", F.lit(2).cast("long")), str(tmp_path / "h"))
+    assert spark.read.parquet(str(tmp_path / "h/violations")).count() == 4 and spark.read.parquet(str(tmp_path / "h/submissions")).count() == 2
+    head, body = R.get_submission(spark, str(tmp_path / "h"), 1)
+    assert head.first()["filename"] == "f" and {r["check_code"] for r in body.collect()} == {"T.01", "T.02"}
+    sub = sub.withColumnRenamed("submission_id", "id")
+    assert R.recent(sub.withColumn("error_count", F.lit(1)), 5, "f").count() == 1
 
 
 def test_bibliography_text(spark):
@@ -53,7 +64,9 @@ def test_bibliography_text(spark):
     assert [out[k]["t"] for k in range(5)] == ["book", "web", "standard", "thesis", "article"]
     assert out[0]["f"]["place"] == "Москва" and out[1]["f"]["access_date"] == "01.02.2020" and out[1]["f"]["language"] == "en" and "doi" not in out[0]["f"]
     c = corpus(spark, blocks=[par(1, "по ГОСТ 7.1 - 2003, ГОСТ 7.1–2003 и № 273-ФЗ"), par(2, "ГОСТ Р 1.5-2012")], entries=[{"doc_id": 1, "ordinal": 4, "entry_id": "r", "fields": {"raw": "ГОСТ Р 1.5 – 2012."}}])
-    assert [(r["source"], r["ordinal"]) for r in B.missing_sources(c).orderBy("ordinal").collect()] == [("ГОСТ 7.1-2003", 5), ("273-ФЗ", 6)] or B.missing_sources(c).count() == 2
+    assert [(r["source"], r["ordinal"]) for r in B.missing_sources(c).orderBy("ordinal").collect()] == [("273-ФЗ", 5), ("ГОСТ 7.1-2003", 6)]
+    links = spark.createDataFrame([("Site (https://a.b/c). doi: 10.1000/xyz123.",)], "raw string").select(B.entry_fields(F.col("raw")).alias("f")).first()["f"]
+    assert (links["url"], links["doi"]) == ("https://a.b/c", "10.1000/xyz123") and "year" not in links
 
 
 def test_markdown_and_html(spark):
