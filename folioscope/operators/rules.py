@@ -1033,25 +1033,35 @@ def _c06(c: Corpus, p: dict) -> DataFrame:
 # --- A: abbreviations ----------------------------------------------------------------------------------------------
 
 ABBREVIATION = rf"{LEFT}([A-ZА-ЯЁ]{{2,10}}){RIGHT}"
+#: What explains an abbreviation: brackets that show something right behind it, or a word and a bracket right before it.
+BEHIND = rf"{ABBREVIATION}(?=([\s\p{{Z}}]*\([^)]*[^\s\p{{Z}})][^)]*\))?)"
+BEFORE = r"[A-Za-zА-Яа-яЁё][\s\p{Z}]*\([\s\p{Z}]*$"
 
 
 @derived("abbreviations", shared=True)
 def abbreviations(c: Corpus) -> DataFrame:
-    """(doc_id, block_ord, block_id, sec, pos, abbr, after, before): capital words of 2 to 10 letters, in order.
+    """(doc_id, block_ord, block_id, sec, pos, abbr, told): capital words of 2 to 10 letters, in order, and whether the text explains them there.
 
-    The paragraph is cut at each of them, so what stands on both sides needs no positions.
+    The paragraph is cut at each of them, so what stands before one needs no positions.
     """
-    par = c.relation("blocks").where(_is("paragraph")).select("doc_id", "block_ord", "block_id", F.col("container_id").alias("sec"), find_all("text", ABBREVIATION, 1).alias("a"), F.split("text", ABBREVIATION, -1).alias("s"))
-    item = F.transform("a", lambda x, i: F.struct(i.alias("pos"), x.alias("abbr"), F.element_at("s", i + 1).alias("before"), F.element_at("s", i + 2).alias("after")))
-    return par.select("doc_id", "block_ord", "block_id", "sec", F.inline(item))
+    par = c.relation("blocks").where(_is("paragraph") & F.col("text").rlike(ABBREVIATION))
+    par = par.select(
+        "doc_id", "block_ord", "block_id", F.col("container_id").alias("sec"),
+        find_all("text", ABBREVIATION, 1).alias("a"), find_all("text", BEHIND, 2).alias("b"), F.split("text", ABBREVIATION, -1).alias("s"),
+    )
+
+    def item(x: Column, i: Column) -> Column:
+        before = F.concat(F.when(i > 0, F.element_at("a", F.greatest(i, F.lit(1)))).otherwise(""), F.element_at("s", i + 1))
+        return F.struct(i.alias("pos"), x.alias("abbr"), ((F.element_at("b", i + 1) != "") | before.rlike(BEFORE)).alias("told"))
+
+    return par.select("doc_id", "block_ord", "block_id", "sec", F.inline(F.transform("a", item)))
 
 
 @whole("A.01")
 def _a01(c: Corpus, p: dict) -> DataFrame:
     known = [*KNOWN_ABBREVIATIONS, *p.get("known_abbreviations", [])]
-    first = c.relation("abbreviations").where(~F.col("abbr").isin(*known)).groupBy("doc_id", "abbr").agg(F.min_by(F.struct("block_id", "sec", "before", "after"), F.struct("block_ord", "block_id", "pos")).alias("f"))
-    told = F.col("f.after").rlike(r"^\s*\([^)]*[^\s)][^)]*\)") | F.col("f.after").rlike(r"^\s*\([^)]+$") | F.col("f.before").rlike(r"[A-Za-zА-Яа-яЁё]\s*\(\s*$")
-    return first.where(~told).select("doc_id", F.lit("warning").alias("severity"), located("paragraph", F.col("f.block_id")).alias("location"), F.col("abbr").alias("detail"), F.col("f.sec").alias("sec"))
+    first = c.relation("abbreviations").where(~F.col("abbr").isin(*known)).groupBy("doc_id", "abbr").agg(F.min_by(F.struct("block_id", "sec", "told"), F.struct("block_ord", "block_id", "pos")).alias("f"))
+    return first.where("not f.told").select("doc_id", F.lit("warning").alias("severity"), located("paragraph", F.col("f.block_id")).alias("location"), F.col("abbr").alias("detail"), F.col("f.sec").alias("sec"))
 
 
 @whole("A.02")

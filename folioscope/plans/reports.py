@@ -10,7 +10,8 @@ from folioscope.operators import reports as R
 from folioscope.operators.engine import Profile, validate, validate_in_parts
 from folioscope.operators.fixers import fix
 from folioscope.operators.rules import OFF
-from folioscope.plans.rules import _CURRENT, PARAMS
+from folioscope.plans.rules import _CURRENT, rule_union
+from folioscope.plans.rules import SQL as RULE_SQL
 from folioscope.session import materialize, table
 from folioscope.sources.corpus import Corpus, from_tables
 from folioscope.sources.imports import from_markdown, from_states, to_html, to_markdown
@@ -29,7 +30,7 @@ def _violations(spark: SparkSession, d: str) -> DataFrame:
 
 def _every_violation(spark: SparkSession, d: str) -> DataFrame:
     """What rule_union finds: violations of all enabled rules, without what sections disable."""
-    return validate_in_parts(from_tables(spark, d).written(), Profile(disabled=set(OFF), params=PARAMS))
+    return rule_union(spark, d)
 
 
 def document_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -57,17 +58,17 @@ def top_codes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def severity_pivot_all(spark: SparkSession, d: str) -> DataFrame:
-    """severity_pivot over all enabled rules; the one with SQL is over the layout rules."""
+    """severity_pivot over all enabled rules."""
     return R.severity_pivot(_every_violation(spark, d))
 
 
 def category_rollup_all(spark: SparkSession, d: str) -> DataFrame:
-    """category_rollup over all enabled rules; the one with SQL is over the layout rules."""
+    """category_rollup over all enabled rules."""
     return R.category_rollup(_every_violation(spark, d))
 
 
 def top_codes_all(spark: SparkSession, d: str) -> DataFrame:
-    """top_codes over all enabled rules; the one with SQL is over the layout rules."""
+    """top_codes over all enabled rules."""
     return R.top_codes(_every_violation(spark, d))
 
 
@@ -266,3 +267,8 @@ have as (select doc_id, unnest(regexp_extract_all(raw, 'СТО\\s+\\d+(?:\\.\\d+
 new as (select * from t where not exists (select 1 from have h where h.doc_id = t.doc_id and h.source = t.source)), l as (select doc_id, max(ordinal) as m from bib group by doc_id)
 select new.doc_id, source, cast(coalesce(l.m, 0) + row_number() over (partition by new.doc_id order by place, source) as int) as ordinal from new left join l using (doc_id)""",
 }
+
+_SEVERITIES = "select doc_id, count(*) filter (severity = 'error') as errors, count(*) filter (severity = 'warning') as warnings, count(*) filter (severity = 'info') as infos, count(*) as total from v group by doc_id"
+_ROLLUP = "select doc_id, category, count(*) as violations, grouping(doc_id) * 2 + grouping(category) as level from (select doc_id, split_part(check_code, '.', 1) as category from v) c group by rollup (doc_id, category)"
+_TOP = "select check_code, count(*) as violations from v group by check_code order by violations desc, check_code limit 5"
+SQL |= {f"{name}_all": f"with v as ({RULE_SQL['rule_union']}) {tail}" for name, tail in (("severity_pivot", _SEVERITIES), ("category_rollup", _ROLLUP), ("top_codes", _TOP))}

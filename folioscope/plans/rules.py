@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,10 @@ PARAMS = {
     "X.03": {"banned_phrases": ["вышло плохо", "clearly", "es klappte"]},
     "R.13": {"suspicious_domains": ["lane.example", "vik.example"]},
     "I.03": {"format": "Рисунок {num} — {title}", "allow_dot_after_number": True},
+    "I.11": {"format": "Рисунок {num} – {title}"},
+    "B.12": {"format": "Таблица {num} – {title}"},
+    "A.02": {"threshold": 0},
+    "X.06": {"custom_patterns": ["анализ", "analysis"], "max_per_paragraph": 0},
 }
 
 
@@ -113,6 +118,37 @@ _F = _FIELD.format
 _AUTHOR = f"lower({_F('author')})"
 _RAW = "coalesce(trim(entry_fields['raw']), '')"
 
+_W = "[^\\p{L}\\p{N}_]"
+_UNIT = "|".join(re.escape(u) for u in sorted(catalogue.SI_UNITS, key=len, reverse=True))
+_EDGE = "(?:[\\s.,;:!?)\\]/\\-]|$)"
+_NAMES = "|".join(u for u in catalogue.TEXT_UNITS if u[0].isalnum())
+_SIGNS = "|".join(u for u in catalogue.TEXT_UNITS if not u[0].isalnum())
+
+
+def _texts(values: list[str]) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def _each(pattern: str, severity: str, group: int = 1, table: str = "par", cond: str = "true") -> str:
+    """A row for each match of a pattern in the paragraphs."""
+    return f"{_CURRENT} select doc_id, '{severity}' as severity, 'paragraph[' || block_id || ']' as location, unnest(regexp_extract_all(text, '{pattern}', {group})) as detail from {table} where {cond}"
+
+
+def _heading(level: int, upper: bool) -> str:
+    case = f"select doc_id, 'error' as severity, 'section[' || sec_id || ']' as location, 'case' as detail from sec where lvl = {level} and trim(txt) <> '' and trim(txt) <> upper(trim(txt)) union all " if upper else ""
+    return f"""{_CURRENT}, hr as (select doc_id, sec_id, unnest(heading) as h from sec where lvl = {level} and trim(txt) <> ''), r as (select * from hr where h.kind = 'text' and trim(h.text) <> '')
+{case} select doc_id, 'error' as severity, 'section[' || sec_id || ']' as location, 'size' as detail from r where abs(h.size_pt - 14) > 0.1 union all select doc_id, 'error', 'section[' || sec_id || ']', 'bold' from r where not h.bold"""
+
+
+def _caption(kind: str, word: str, prefix: str, dot: bool) -> str:
+    good = f"regexp_matches(trim(text), '^{word} (?:[А-Я]\\.)?\\d+(?:\\.\\d+)* [—–-] \\S.*\\s*$')" + (f" or regexp_matches(trim(text), '^{prefix}\\s+\\d+(?:\\.\\d+)?\\.\\s+\\S')" if dot else "")
+    return _o(kind, f"trim(text) <> '' and not ({good})", "error", "text")
+
+
+_CITED = """tok as (select doc_id, block_id, unnest(regexp_extract_all(inner_, '\\d+(?:\\s*[-–]\\s*\\d+)?')) as t from (select doc_id, block_id, unnest(regexp_extract_all(text, '\\[(\\d+(?:\\s*[-–]\\s*\\d+|\\s*,\\s*\\d+)*)\\]', 1)) as inner_ from par)),
+ab as (select doc_id, block_id, cast(regexp_extract(t, '^\\d+') as bigint) as a, cast(regexp_extract(t, '\\d+$') as bigint) as b from tok),
+cite as (select doc_id, block_id, unnest(case when b < a then [a, b] else range(a, b + 1) end) as num from ab)"""
+
 SQL: dict[str, str] = {
     "rule_t01": _p("run.kind = 'text' and trim(run.text) <> '' and cat <> 'header_footer' and run.font <> 'Serif One'", "error", "run.font", _RUNS),
     "rule_t02": _p("run.kind = 'text' and trim(run.text) <> '' and abs(run.size_pt - case cat when 'body' then 14 when 'caption' then 12 when 'footnote' then 10 end) > 0.1", "error", "cast(run.size_pt as varchar)", _RUNS),
@@ -180,4 +216,98 @@ where not exists (select 1 from known where known.doc_id = r.doc_id and known.ki
     "rule_v01": f"""{_CURRENT}, w as (select doc_id, sum(len(list_filter(regexp_split_to_array(t, '[\\s\\p{{Z}}]+'), lambda x: x <> ''))) as n from
  (select bt.doc_id, coalesce(string_agg(case when run.kind in ('text', 'xref') then coalesce(run.text, '') end, '' order by run_ord nulls first, run_id), '') as t from bt left join run using (doc_id, block_id) where block_type in ('paragraph', 'table') group by bt.doc_id, bt.block_id) group by doc_id)
 select docs.doc_id, 'warning' as severity, 'document' as location, case when coalesce(n, 0) / 250.0 < 25 then 'short' else 'long' end as detail from docs left join w using (doc_id) where coalesce(n, 0) / 250.0 < 25 or coalesce(n, 0) / 250.0 > 50""",
+    "rule_h01": _heading(1, True),
+    "rule_h02": _heading(2, False),
+    "rule_h06": f"""{_CURRENT}, kid as (select doc_id, container_id as sec_id, 0 as sub, block_ord as o, block_id as i, block_type = 'paragraph' and trim(text) = '' as hollow from bt
+ union all select doc_id, parent_id, 1, sec_ord, sec_id, false from sec where parent_id is not null),
+f as (select doc_id, sec_id, arg_min(hollow, (sub, o, i)) as hollow from kid group by doc_id, sec_id)
+select sec.doc_id, 'warning' as severity, 'section[' || sec.sec_id || ']' as location, case when hollow is null then 'nothing' else 'empty' end as detail from sec left join f using (doc_id, sec_id) where trim(txt) <> '' and coalesce(hollow, true)""",
+    "rule_s02": f"""{_CURRENT.replace("with blk", "with recursive blk")}, rk(n, k) as (values {", ".join(f"('{n}', {k})" for k, h in enumerate(catalogue.EXPECTED_ORDER) for n in (x.lower() for x in (h, *catalogue.HEADING_ALIASES.get(h, []))))}),
+h as (select doc_id, sec_id, txt, k, row_number() over (partition by doc_id order by sec_ord, sec_id) as j from sec join rk on rk.n = {_NORM} where lvl = 1),
+chain as (select doc_id, j, k, 1 as len from h union select h.doc_id, h.j, h.k, c.len + 1 from chain c join h on h.doc_id = c.doc_id and h.j > c.j and h.k > c.k),
+best as (select doc_id, j, max(k) as k, max(len) as len from chain group by doc_id, j),
+step as (select b.doc_id, b.j, arg_min(a.j, (-a.len, a.j)) as up from best b left join best a on a.doc_id = b.doc_id and a.j < b.j and a.k < b.k group by b.doc_id, b.j),
+keep as (select doc_id, arg_min(j, (-len, j)) as j from best group by doc_id union select s.doc_id, s.up from keep join step s on s.doc_id = keep.doc_id and s.j = keep.j where s.up is not null)
+select doc_id, 'error' as severity, 'section[' || sec_id || ']' as location, txt as detail from h where not exists (select 1 from keep where keep.doc_id = h.doc_id and keep.j = h.j)""",
+    "rule_s04": f"""{_CURRENT}, {_tree('введение')}, t as (select tree.doc_id, root, lower(text) as t from tree join par on par.doc_id = tree.doc_id and par.container_id = tree.sec_id union all select tree.doc_id, root, lower(txt) from tree join sec using (doc_id, sec_id)),
+e as (select unnest([{_texts(catalogue.INTRO_ELEMENTS)}]) as e)
+select doc_id, 'warning' as severity, 'section[' || root || ']' as location, e as detail from t, e group by doc_id, root, e having not coalesce(bool_or(contains(t, e)), false)""",
+    "rule_i03": _caption("figure", "Рисунок", "Рис(?:унок)?", True),
+    "rule_b03": _caption("table", "Таблица", "Таблица", False),
+    "rule_i04": f"""{_CURRENT} select distinct bt.doc_id, 'warning' as severity, 'figure[' || bt.block_id || ']' as location, cast(run.size_pt as varchar) as detail from bt {_RUNS} where block_type = 'figure' and kind = 'text' and trim(run.text) <> '' and abs(run.size_pt - 12) > 0.1""",
+    "rule_t12": f"""{_CURRENT}, m as (select doc_id, block_id, len(regexp_extract_all(text, '\\d+(?:[.,]\\d+)? (?:(?:{_NAMES})(?:{_W}|$)|(?:{_SIGNS}))')) as n from par)
+select doc_id, 'info' as severity, 'paragraph[' || block_id || ']' as location, cast(n as varchar) as detail from m where n > 0""",
+    "rule_u01": _each(f"(\\d+ (?:{_UNIT})){_EDGE}", "warning"),
+    "rule_u02": _each(f"(\\d+[.,](?:{_UNIT})){_EDGE}", "error"),
+    "rule_c04": f"""{_CURRENT}, {_CITED}, n as (select doc_id, count(*) as n from bib group by doc_id)
+select cite.doc_id, 'error' as severity, 'paragraph[' || block_id || ']' as location, cast(num as varchar) as detail from cite left join n using (doc_id) where num < 1 or num > coalesce(n.n, 0)""",
+    "rule_c05": f"""{_CURRENT}, a as (select doc_id, upper(regexp_extract(txt, '^\\s*Приложение\\s+([A-Za-zА-ЯЁа-яё])(?:{_W}|$)', 1)) as l from sec where lvl = 1 and regexp_matches(txt, '(?i)^\\s*Приложение(?:{_W}|$)')),
+m as (select doc_id, block_id, upper(unnest(regexp_extract_all(text || ' ', '(?i)(?:приложени[еияй]|прил\\.)\\s+([А-Яа-яЁё]){_W}', 1))) as l from {_PLAIN})
+select doc_id, 'error' as severity, 'paragraph[' || block_id || ']' as location, l as detail from m where not exists (select 1 from a where a.doc_id = m.doc_id and a.l = m.l)""",
+    "rule_r05": f"""{_CURRENT}, said as (select doc_id, try_cast(unnest(regexp_extract_all(text, '\\[\\s*(\\d+)\\s*[,\\-–\\]:]', 1)) as int) as num from par
+union all select par.doc_id, bib.ordinal from par {_RUNS} join bib on bib.doc_id = par.doc_id and bib.entry_id = trim(run.source_id) where run.kind = 'citation')
+select doc_id, 'warning' as severity, 'bibliography[' || entry_id || ']' as location, cast(ordinal as varchar) as detail from bib where not exists (select 1 from said where said.doc_id = bib.doc_id and said.num = bib.ordinal)""",
+    "rule_r10": f"""{_CURRENT}, y as (select doc_id, case when regexp_matches(trim({_F('year')}), '^[+-]?\\d+$') then try_cast(trim({_F('year')}) as int) end as y from bib),
+s as (select doc_id, avg(case when y >= 2015 then 1.0 else 0.0 end) as share from y where y is not null group by doc_id)
+select doc_id, 'warning' as severity, 'bibliography' as location, cast(cast(round(share, 6) as double) as varchar) as detail from s where share < 0.5""",
+    "rule_v02": f"""{_CURRENT}, root as (select doc_id, sec_id as root, h from (select *, {_NORM} as h, row_number() over (partition by doc_id, {_NORM} order by sec_ord, sec_id) k from sec where lvl = 1 and {_NORM} in ('введение', 'заключение')) where k = 1),
+below as (select distinct doc_id, sec_id, unnest(list_append(coalesce(sec_path, []), sec_id)) as root from sec),
+shown as (select doc_id, block_id, coalesce(string_agg(case when kind in ('text', 'xref') then coalesce(text, '') end, '' order by run_ord nulls first, run_id), '') as t from run group by doc_id, block_id),
+w as (select bt.doc_id, container_id as sec_id, sum(len(list_filter(regexp_split_to_array(coalesce(t, ''), '[\\s\\p{{Z}}]+'), lambda x: x <> ''))) as n from bt left join shown using (doc_id, block_id) where block_type in ('paragraph', 'table') group by all),
+v as (select root.doc_id, root.root, h, cast(coalesce(sum(n), 0) as bigint) as n from root join below using (doc_id, root) left join w on w.doc_id = root.doc_id and w.sec_id = below.sec_id group by all)
+select doc_id, 'warning' as severity, 'section[' || root || ']' as location, cast(n as varchar) as detail from v where n < case h when 'введение' then 800 else 500 end or n > case h when 'введение' then 1500 else 1200 end""",
+    "rule_v04": f"""{_CURRENT}, shown as (select doc_id, block_id, coalesce(string_agg(case when kind in ('text', 'xref') then coalesce(text, '') end, '' order by run_ord nulls first, run_id), '') as t from run group by doc_id, block_id),
+w as (select bt.doc_id, sum(case when block_type in ('paragraph', 'table') then len(list_filter(regexp_split_to_array(coalesce(t, ''), '[\\s\\p{{Z}}]+'), lambda x: x <> '')) else 0 end) as n, count(*) filter (block_type = 'figure') as f, count(*) filter (block_type = 'table') as tb from bt left join shown using (doc_id, block_id) group by bt.doc_id),
+d as (select docs.doc_id, greatest(coalesce(n, 0) / 250.0 / 10, 1.0) as tens, coalesce(f, 0) as f, coalesce(tb, 0) as tb from docs left join w using (doc_id))
+select doc_id, 'info' as severity, 'document' as location, 'figures' as detail from d where f < tens union all select doc_id, 'info', 'document', 'tables' from d where tb < tens""",
+    "rule_x02": f"""{_CURRENT}, shown as (select doc_id, block_id, coalesce(string_agg(case when kind in ('text', 'xref') then coalesce(text, '') end, '' order by run_ord nulls first, run_id), '') as t from run group by doc_id, block_id),
+m as (select par.doc_id, par.block_id, regexp_extract(' ' || t || ' ', '(?i){_W}({"|".join(catalogue.FIRST_PERSON)}){_W}', 1) as w from par join shown using (doc_id, block_id))
+select doc_id, 'warning' as severity, 'paragraph[' || block_id || ']' as location, w as detail from m where w <> ''""",
+    "rule_x07": f"""{_CURRENT}, s as (select doc_id, block_id, unnest(string_split(regexp_replace(text, '([.!?])\\s+([А-ЯA-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1))) as s from par),
+n as (select doc_id, block_id, len(list_filter(regexp_split_to_array(s, '[\\s\\p{{Z}}]+'), lambda x: x <> '')) as n from s)
+select doc_id, 'info' as severity, 'paragraph[' || block_id || ']' as location, cast(n as varchar) as detail from n where n > 35""",
+    "rule_x08": f"""{_CURRENT}, w as (select doc_id, block_id, list_filter(list_transform(regexp_extract_all(text, '[А-Яа-яёЁA-Za-z]+'), lambda x: lower(x)), lambda x: length(x) >= 4 and x not in ({_texts(catalogue.STOP_WORDS)})) as k from par where cat not in ('heading', 'caption') or lower(style_name) like 'название%'),
+u as (select doc_id, block_id, unnest(k) as word, generate_subscripts(k, 1) as i from w), g as (select *, i - lag(i) over (partition by doc_id, block_id, word order by i) as gap from u)
+select distinct doc_id, 'info' as severity, 'paragraph[' || block_id || ']' as location, word as detail from g where gap < 3""",
+    "rule_k01": f"""{_CURRENT}, h as (select doc_id, regexp_replace({_NORM}, '\\.+$', '') as n from sec where lvl = 1),
+k as (select distinct doc_id, case when n = 'титульный лист' then 'title' when starts_with(n, 'приложение') then 'appendix' when n in ({_texts(catalogue.FRONT)}) or starts_with(n, 'задание') then 'frontmatter' when n <> '' then 'main' end as k from h),
+t as (select doc_id, unnest(['title', 'frontmatter', 'frontmatter', 'main', 'appendix']) as k from docs)
+select doc_id, 'error' as severity, 'page_sections' as location, 'absent ' || k as detail from t where not exists (select 1 from k where k.doc_id = t.doc_id and k.k = t.k)""",
+    "rule_a01": f"""{_CURRENT}, t as (select doc_id, block_id, block_ord, unnest(p) as p, generate_subscripts(p, 1) as i, p as pieces from (select doc_id, block_id, block_ord, string_split(regexp_replace(text, '([\\p{{L}}\\p{{N}}_]+)', chr(1) || '\\1' || chr(2), 'g'), chr(1)) as p from par)),
+u as (select doc_id, block_id, block_ord, i, split_part(p, chr(2), 1) as w, replace(array_to_string(pieces[i + 1:], ''), chr(2), '') as rest, split_part(p, chr(2), 2) as gap, replace(array_to_string(pieces[:i - 1], ''), chr(2), '') as before from t where i > 1),
+f as (select doc_id, w, arg_min((block_id, gap || rest, before), (block_ord, block_id, i)) as f from u where regexp_full_match(w, '[A-ZА-ЯЁ]{{2,10}}') and w not in ({_texts(catalogue.KNOWN_ABBREVIATIONS)}) group by doc_id, w)
+select doc_id, 'warning' as severity, 'paragraph[' || f[1] || ']' as location, w as detail from f where not regexp_matches(f[2], '^[\\s\\p{{Z}}]*\\([^)]*[^\\s\\p{{Z}})][^)]*\\)') and not regexp_matches(f[3], '[A-Za-zА-Яа-яЁё][\\s\\p{{Z}}]*\\([\\s\\p{{Z}}]*$')""",
+    "rule_t07": f"""{_CURRENT}, e as (select *, trim(text) = '' as hollow, row_number() over (partition by doc_id, container_id order by block_ord, block_id) - row_number() over (partition by doc_id, container_id, trim(text) = '' order by block_ord, block_id) as g from par)
+select doc_id, 'warning' as severity, 'paragraph[' || arg_min(block_id, (block_ord, block_id)) || ']' as location, cast(count(*) as varchar) as detail from e where hollow group by doc_id, container_id, g having count(*) > 1""",
+    "rule_a02": f"""{_CURRENT}, w as (select doc_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) as w from par), n as (select doc_id, count(distinct w) as n from w where regexp_full_match(w, '[A-ZА-ЯЁ]{{2,10}}') group by doc_id)
+select doc_id, 'warning' as severity, 'document' as location, cast(n as varchar) as detail from n where n > 0 and not exists (select 1 from sec where sec.doc_id = n.doc_id and regexp_matches({_NORM}, 'список сокращений|перечень сокращений|обозначения и сокращения'))""",
+    "rule_i11": _o("figure", "regexp_extract(trim(text), '^Рис(?:унок)?\\s+\\d+(?:\\.\\d+)?\\s*([—–-])\\s*\\S', 1) not in ('', '–')", "info", "regexp_extract(trim(text), '^Рис(?:унок)?\\s+\\d+(?:\\.\\d+)?\\s*([—–-])\\s*\\S', 1)"),
+    "rule_b12": _o("table", "regexp_extract(trim(text), '^Таблица\\s+\\d+(?:\\.\\d+)?\\s*([—–-])\\s*\\S', 1) not in ('', '–')", "info", "regexp_extract(trim(text), '^Таблица\\s+\\d+(?:\\.\\d+)?\\s*([—–-])\\s*\\S', 1)"),
+    "rule_x06": f"""{_CURRENT}, n as (select doc_id, block_id, len(regexp_extract_all(text, '(?i)анализ')) + len(regexp_extract_all(text, '(?i)analysis')) + len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda x: x in ({_texts([x for x in catalogue.BUREAUCRATIC if " " not in x and chr(92) not in x])})))
+ + len(regexp_extract_all(' ' || text || ' ', '(?i){_W}(?:представляе|представляю)т\\s+собой{_W}')) + len(regexp_extract_all(' ' || text || ' ', '(?i){_W}в\\s+качестве{_W}')) as n from par)
+select doc_id, 'info' as severity, 'paragraph[' || block_id || ']' as location, cast(n as varchar) as detail from n where n > 0""",
 }
+
+
+def _nested(sql: str) -> str:
+    """A statement of this module as a subquery beside the current tables."""
+    rest = sql.replace(_CURRENT, "").replace(_CURRENT.replace("with blk", "with recursive blk"), "").strip()
+    return f"(with recursive {rest[1:]})" if rest.startswith(",") else f"({rest})"
+
+
+def _union_sql() -> str:
+    """The findings of all enabled rules with SQL, without what sections disable; the others find nothing in these tables.
+
+    Where a finding lies is read from its location.
+    """
+    codes = [c for c in sorted(RULES) if c not in catalogue.OFF and name_of(c) in SQL]
+    found = "\nunion all ".join(f"select '{c}' as check_code, doc_id, severity, location, cast(detail as varchar) as detail from {_nested(SQL[name_of(c)])}" for c in codes)
+    return f"""{_CURRENT}, found as ({found}),
+placed as (select f.*, coalesce(b.container_id, case when starts_with(location, 'section[') then location[9:-2] end) as sec
+ from found f left join blk b on b.doc_id = f.doc_id and f.location in ('paragraph[' || b.block_id || ']', 'figure[' || b.block_id || ']', 'table[' || b.block_id || ']', 'formula[' || b.block_id || ']') and regexp_extract(f.location, '\\[(.*)\\]$', 1) = b.block_id),
+below as (select distinct doc_id, sec_id, unnest(list_append(coalesce(sec_path, []), sec_id)) as up from sec),
+quiet as (select distinct below.doc_id, below.sec_id as sec, c.code from below join (select doc_id, sec_id as up, unnest(disabled_checks) as code from sec) c using (doc_id, up))
+select doc_id, check_code, severity, location, detail from placed v where not exists (select 1 from quiet q where q.doc_id = v.doc_id and q.sec = v.sec and q.code in ('*', v.check_code))"""
+
+
+SQL["rule_union"] = _union_sql()

@@ -127,7 +127,9 @@ def test_reports_cover_rules_and_fixers_beyond_layout(spark, monkeypatch):
     from test_fixers import sample
 
     c = corpus(spark, docs=(1, 2), blocks=[par(1, "a", line_spacing=1.0)], entries=[{"doc_id": 2, "ordinal": 1, "entry_id": "r", "fields": {"raw": "x"}}])
-    monkeypatch.setattr(reports, "from_tables", lambda spark, d: c)
+    from folioscope.plans import rules as rule_plans
+
+    monkeypatch.setattr(rule_plans, "from_tables", lambda spark, d: c)
     monkeypatch.setattr(engine, "RULES", {k: engine.RULES[k] for k in ("T.03", "R.04", "R.05", "R.11")})
     pivot = {r["doc_id"]: (r["errors"], r["warnings"]) for r in reports.severity_pivot_all(spark, "").collect()}
     assert pivot == {1: (1, 1), 2: (1, 2)}

@@ -209,6 +209,8 @@ def test_abbreviations_and_appendices(spark):
     c = corpus(spark, blocks=[par(1, "АБВ (расшифровка) и потом АБВ, ГОСТ"), par(2, "XYZ тут, Полное имя (КЛМ)"), par(3, "см. приложение В и приложении Я, К.Л.М. и КЛМ")], secs=[sec(1, "Приложение А"), sec(2, "Приложение В"), sec(3, "Приложение z")])
     assert found(c, "A.01") == [("paragraph[p-2]", "XYZ")] and found(c, "A.03") == [("document", "КЛМ")] and found(c, "A.02", threshold=2) == [("document", "4")]
     assert found(c, "P.01") == [("section[s2]", "order В"), ("section[s3]", "latin z")] and found(c, "C.05") == [("paragraph[p-3]", "Я")]
+    d = corpus(spark, blocks=[par(1, "АБВ (ГДЕ) и слово (ЖЗИ), ЙКЛ ( ), МНО (не закрыто, 5 (ПРС)")])
+    assert found(d, "A.01") == [("paragraph[p-1]", x) for x in ("ЙКЛ", "ПРС")]
     assert [x[0] for x in found(c, "P.02")] == ["section[s1]", "section[s3]"] and [x[0] for x in found(c, "P.04")] == ["section[s3]"]
 
 
