@@ -1,13 +1,9 @@
-"""Corpus from other forms: saved editor states, Markdown, word-processor packages; and Markdown and HTML out."""
+"""Corpus from saved editor states and Markdown; and Markdown and HTML out."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Callable, Iterator
-from xml.etree import ElementTree
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +11,8 @@ from folioscope.functions.text import blank, collapse, strip
 from folioscope.operators.bibliography import entry_fields, entry_type
 from folioscope.operators.nested import flat_tables, tagged_rows
 from folioscope.sources.corpus import CELL, RUN, Corpus, make
+from folioscope.sources.packages import BIBLIOGRAPHY_HEADINGS, nested_sections
 
-BIBLIOGRAPHY_HEADINGS = ("список использованных источников", "список литературы", "библиографический список", "список источников")
 _RUN_NAMES = [p.split(":")[0] for p in RUN[7:-1].split(",")]
 
 
@@ -93,15 +89,7 @@ def from_markdown(spark: SparkSession, df: DataFrame, key: str = "doc_id", text:
     """
     lines = markdown_lines(df.where(F.col(text).isNotNull()), key, text)
     w = Window.partitionBy("doc_id").orderBy("line_no")
-    cols = {f"l{k}": F.last(F.when(F.col("level") == k, F.col("line_no")), ignorenulls=True).over(w) for k in range(1, 7)}
-    opened = lines.withColumns(cols)
-    # an ancestor counts only while no heading of a smaller level has come after it
-    live = []
-    for k in range(1, 7):
-        smaller = F.greatest(F.lit(-1), F.lit(-1), *[F.coalesce(f"l{j}", F.lit(-1)) for j in range(1, k)])
-        live.append(F.when(F.col(f"l{k}") > smaller, F.concat(F.lit("h"), F.col(f"l{k}"))))
-    path = F.array_compact(F.array(*live))
-    opened = opened.withColumn("path", path)
+    opened = nested_sections(lines, "level", "line_no", "h", 6)
     heads = opened.where("kind = 'heading'")
     secs = heads.select(
         "doc_id", F.concat(F.lit("h"), "line_no").alias("sec_id"), F.try_element_at("path", F.lit(-2)).alias("parent_id"), F.col("line_no").alias("sec_ord"), F.size("path").alias("level"),
@@ -115,8 +103,8 @@ def from_markdown(spark: SparkSession, df: DataFrame, key: str = "doc_id", text:
     text_ = F.when(F.col("kind") == "image", F.regexp_extract(values[0], r"!\[([^\]]*)\]", 1)).otherwise(F.array_join(values, " "))
     blocks = g.select(
         "doc_id", F.concat(F.lit("b"), "o").alias("block_id"), F.col("o").alias("block_ord"), F.try_element_at("path", F.lit(-1)).alias("container_id"), kind.alias("block_type"),
-        (F.col("kind") == "number").alias("ordered"), F.when(kind == "list", values).alias("items"), F.array(_run(run_ord=F.lit(0), kind=F.lit("text"), text=text_)).alias("runs"),
-        F.when(F.col("kind") == "formula", F.array_join(values, " ")).alias("latex"),
+        (F.col("kind") == "number").alias("ordered"), F.when(kind == "list", values).alias("items"), F.when(F.col("kind") == "formula", F.array().cast(f"array<{RUN}>")).otherwise(F.array(_run(run_ord=F.lit(0), kind=F.lit("text"), text=text_))).alias("runs"),
+        F.when(F.col("kind") == "formula", strip(F.replace(F.array_join(values, " "), F.lit("$$"), F.lit("")))).alias("latex"),
     )
     return make(spark, docs=df.select(F.col(key).alias("doc_id")).distinct(), secs=secs, blocks=blocks)
 
@@ -163,7 +151,7 @@ def _exported(c: Corpus, head: Column, block: Column, entry: Callable[[Column, C
 def to_markdown(c: Corpus) -> DataFrame:
     """(doc_id, line_no, line): documents as lines of Markdown, in document order, ready to be written as text.
 
-    A list, a table or the bibliography is one row of several lines.
+    Lists, tables and the bibliography have a row for each of their lines.
     """
     t = _inline(F.col("runs"), "**%s**", "*%s*", "***%s***", "$%s$", lambda x: x)
     items = F.transform("items", lambda x, i: F.concat(F.when(F.col("ordered"), F.concat((i + 1).cast("string"), F.lit(". "))).otherwise("- "), F.coalesce(x, F.lit(""))))
@@ -184,8 +172,9 @@ def to_markdown(c: Corpus) -> DataFrame:
     )
     head = F.concat(F.repeat(F.lit("#"), F.least("level", F.lit(6))), F.lit(" "), "text")
     x = _exported(c, head, block, lambda s, n: F.concat(n.cast("string"), F.lit(". "), s))
-    w = Window.partitionBy("doc_id").orderBy("sec_ord", "o", "id", "x")
-    return x.select("doc_id", F.row_number().over(w).alias("line_no"), F.col("x").alias("line"))
+    w = Window.partitionBy("doc_id").orderBy("sec_ord", "o", "id", "x", "part")
+    lines = x.select("doc_id", "sec_ord", "o", "id", "x", F.posexplode(F.split("x", "\n", -1)).alias("part", "line"))
+    return lines.select("doc_id", F.row_number().over(w).alias("line_no"), "line")
 
 
 def escaped(c):  # noqa: ANN001, ANN202
@@ -225,54 +214,3 @@ def to_html(c: Corpus) -> DataFrame:
     head = F.concat(F.lit("<h"), level, F.lit(">"), escaped(F.col("text")), F.lit("</h"), level, F.lit(">"))
     x = _exported(c, head, block, lambda s, n: _tagged("li", escaped(s)), ('<ol class="bibliography">\n', "\n</ol>"))
     return x.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sec_ord", "o", "id", "x"))), lambda r: r["x"]), "\n").alias("html"))
-
-
-_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-
-
-def _package(path: str, content: bytes) -> list[dict]:
-    """Paragraphs of a word-processor package: style, text, run properties; unreadable packages give nothing."""
-    try:
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            root = ElementTree.fromstring(z.read("word/document.xml"))
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-        return []
-    out = []
-    for n, p in enumerate(root.iter(f"{_W}p")):
-        style = p.find(f"{_W}pPr/{_W}pStyle")
-        jc = p.find(f"{_W}pPr/{_W}jc")
-        runs = []
-        for r in p.iter(f"{_W}r"):
-            text = "".join(t.text or "" for t in r.iter(f"{_W}t"))
-            size, font = r.find(f"{_W}rPr/{_W}sz"), r.find(f"{_W}rPr/{_W}rFonts")
-            bold = r.find(f"{_W}rPr/{_W}b")
-            runs.append({"text": text, "size_pt": int(size.get(f"{_W}val")) / 2 if size is not None else None, "font": font.get(f"{_W}ascii") if font is not None else None,
-                         "bold": bold.get(f"{_W}val", "1") not in ("0", "false") if bold is not None else None})
-        out.append({"path": path, "n": n, "style": style.get(f"{_W}val") if style is not None else None, "alignment": {"both": "justify"}.get(jc.get(f"{_W}val"), jc.get(f"{_W}val")) if jc is not None else None, "runs": runs})
-    return out
-
-
-def read_packages(spark: SparkSession, folder: str, pattern: str = "*.docx") -> DataFrame:
-    """(path, n, style, alignment, runs): the paragraphs of all word-processor files below a folder, in order."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [r for p, c in zip(b["path"], b["content"]) for r in _package(p, bytes(c))]
-            yield pd.DataFrame(rows, columns=["path", "n", "style", "alignment", "runs"])
-
-    return files.mapInPandas(work, "path string, n int, style string, alignment string, runs array<struct<text:string,size_pt:double,font:string,bold:boolean>>")
-
-
-def from_packages(spark: SparkSession, folder: str) -> Corpus:
-    """Documents from word-processor files; the id of a document is the hash of its path. `Heading N` opens a section."""
-    p = read_packages(spark, folder).withColumn("doc_id", F.xxhash64("path"))
-    text = F.array_join(F.transform("runs", lambda r: r["text"]), "")
-    level = F.nullif(F.regexp_extract("style", r"^Heading\s*(\d)$", 1), F.lit("")).cast("int")
-    w = Window.partitionBy("doc_id").orderBy("n")
-    p = p.withColumn("level", level).withColumn("sec", F.last(F.when(F.col("level").isNotNull(), F.concat(F.lit("sec-"), "n")), ignorenulls=True).over(w))
-    runs = F.transform("runs", lambda r, i: _run(run_ord=i, kind=F.lit("text"), text=r["text"], bold=r["bold"], font=r["font"], size_pt=r["size_pt"]))
-    secs = p.where("level is not null").select("doc_id", F.col("sec").alias("sec_id"), F.col("n").alias("sec_ord"), "level", F.array("sec").alias("path"), runs.alias("heading"))
-    blocks = p.where("level is null").select("doc_id", F.concat(F.lit("p-"), "n").alias("block_id"), F.col("n").alias("block_ord"), F.col("sec").alias("container_id"), F.lit("paragraph").alias("block_type"), F.col("style").alias("style_name"), "alignment", runs.alias("runs"))
-    docs = p.groupBy("doc_id").agg(F.coalesce(F.min_by(F.when(F.col("style") == "Title", text), "n"), F.regexp_extract(F.first("path"), r"([^/]+)\.docx$", 1)).alias("title"))
-    return make(spark, docs=docs, secs=secs, blocks=blocks)

@@ -1,12 +1,11 @@
 import json
-import zipfile
 
 from test_rules import corpus, obj, par, run, sec
 
 from folioscope.operators import bibliography as B
 from folioscope.operators import reports as R
 from folioscope.operators.engine import validate
-from folioscope.sources.imports import from_markdown, from_packages, from_states, to_html, to_markdown
+from folioscope.sources.imports import from_markdown, from_states, to_html, to_markdown
 from folioscope.streaming.check import check_stream, submissions_per_window
 from pyspark.sql import functions as F
 
@@ -77,21 +76,10 @@ def test_markdown_and_html(spark):
     kinds = sorted((r["block_ord"], r["block_type"], r["container_id"]) for r in c.blocks.collect())
     assert kinds == [(2, "paragraph", "h0"), (6, "list", "h5"), (8, "list", "h5"), (11, "figure", "h10"), (12, "formula", "h10"), (13, "paragraph", "h10")]
     lines = [r["line"] for r in to_markdown(c).orderBy("line_no").collect()]
-    assert lines == ["# A", "one two", "## B", "- x\n- y", "1. z", "## C", "![cap]()", "$$$$x$$$$", "<b>&"] or lines[0] == "# A"
+    assert lines == ["# A", "one two", "## B", "- x", "- y", "1. z", "## C", "![cap]()", "$$x$$", "<b>&"]
     assert "&lt;b&gt;&amp;" in to_html(c).first()["html"]
 
 
-def test_packages(spark, tmp_path):
-    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-    xml = f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Введение</w:t></w:r></w:p><w:p><w:pPr><w:jc w:val="both"/></w:pPr><w:r><w:rPr><w:b/><w:sz w:val="28"/></w:rPr><w:t>Текст</w:t></w:r></w:p></w:body></w:document>'
-    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
-        z.writestr("word/document.xml", xml)
-    (tmp_path / "b.docx").write_bytes(b"no package")
-    c = from_packages(spark, str(tmp_path))
-    b = c.blocks.first()
-    assert (b["alignment"], b["runs"][0]["size_pt"], b["runs"][0]["bold"], b["container_id"]) == ("justify", 14.0, True, "sec-0") and c.docs.count() == 1
-
-
 def test_streams(spark, tmp_path):
     c = corpus(spark, blocks=[par(1, "a  b", line_spacing=1.0), par(2, "c")])
     c.blocks.write.parquet(str(tmp_path / "in"))
@@ -150,7 +138,7 @@ def test_exports_keep_every_block_inline_element_and_entry(spark):
     entries = [{"doc_id": 1, "ordinal": k, "entry_id": f"ref-{k}", "fields": {"raw": f"E & {k}"}} for k in (2, 1)]
     c = corpus(spark, secs=[sec(1, "A"), sec(2, "Список литературы"), sec(3, "Z")], blocks=blocks, entries=entries)
     lines = [r["line"] for r in to_markdown(c).orderBy("line_no").collect()]
-    assert lines == ["# A", "a<**b**[ref-2, с. 5]см. [→t-1]$x^2$", "**Cap**\n\n| h | i |\n|---|---|\n| 1\\|2 | < |", "![Fig]()", "$$y<1$$", "1. p\n2. q", "Toc", "# Список литературы", "1. E & 1\n2. E & 2", "# Z"]
+    assert lines == ["# A", "a<**b**[ref-2, с. 5]см. [→t-1]$x^2$", "**Cap**", "", "| h | i |", "|---|---|", "| 1\\|2 | < |", "![Fig]()", "$$y<1$$", "1. p", "2. q", "Toc", "# Список литературы", "1. E & 1", "2. E & 2", "# Z"]
     assert to_html(c).first()["html"].split("\n") == [
         "<h1>A</h1>", "<p>a&lt;<strong>b</strong>[ref-2, с. 5]см. [→t-1]\\(x^2\\)</p>",
         "<table><caption>Cap</caption><thead><tr><th>h</th><th>i</th></tr></thead><tbody><tr><td>1|2</td><td>&lt;</td></tr></tbody></table>",
