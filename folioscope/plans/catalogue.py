@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.plans import records, reports, rules
+from folioscope.plans import records, reports, rules, states
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**records.QUERIES, **rules.QUERIES, **reports.QUERIES}
-SQL: dict[str, str] = {**records.SQL, **rules.SQL, **reports.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**records.QUERIES, **rules.QUERIES, **reports.QUERIES, **states.QUERIES}
+SQL: dict[str, str] = {**records.SQL, **rules.SQL, **reports.SQL, **states.SQL}

@@ -57,8 +57,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _states(spark, d).select("state_id", "node_path", "parent_path", F.col("tag").alias("node_kind"))
 
 
-def _flat(spark: SparkSession, d: str, tag: str) -> DataFrame:
-    """The flat table of one tag; the records are visited once for all of them."""
+def flat_states(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The flat tables of the saved states, by tag; the records are visited once for all queries over them."""
     rows = _states(spark, d)
 
     def write() -> str:
@@ -66,22 +66,22 @@ def _flat(spark: SparkSession, d: str, tag: str) -> DataFrame:
         return path
 
     path = once(spark, "p5-tables", [f"{d}/builder_states.parquet"], write)
-    return read_tables(spark, path, rows.schema, "state_id")[tag]
+    return read_tables(spark, path, rows.schema, "state_id")
 
 
 def p5_runs(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of runs, with their columns."""
-    return _flat(spark, d, "run")
+    return flat_states(spark, d)["run"]
 
 
 def p5_blocks(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of blocks, with their columns."""
-    return _flat(spark, d, "block")
+    return flat_states(spark, d)["block"]
 
 
 def p5_sections(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of sections, with their columns."""
-    return _flat(spark, d, "section")
+    return flat_states(spark, d)["section"]
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_cascade, p5_found, p5_runs, p5_blocks, p5_sections)}
