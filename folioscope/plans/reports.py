@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.functions.text import text_of
 from folioscope.operators import bibliography as B
 from folioscope.operators import reports as R
 from folioscope.operators.engine import Profile, validate, validate_in_parts
 from folioscope.operators.fixers import fix
+from folioscope.operators import rules as RULE_VALUES
 from folioscope.operators.rules import OFF
 from folioscope.plans.rules import _CURRENT, rule_union
 from folioscope.plans.rules import SQL as RULE_SQL
@@ -146,6 +150,33 @@ def fix_spacing(spark: SparkSession, d: str) -> DataFrame:
     return c.blocks.where("block_type = 'paragraph'").select("doc_id", "block_id", "line_spacing", "alignment")
 
 
+def _fixed_runs(spark: SparkSession, d: str, codes: list[str]) -> DataFrame:
+    """The inline elements of paragraphs after the fixers named."""
+    c, _ = fix(from_tables(spark, d), codes=codes)
+    return c.blocks.where("block_type = 'paragraph'").select("doc_id", "block_id", F.explode("runs").alias("r"))
+
+
+def fix_fonts(spark: SparkSession, d: str) -> DataFrame:
+    """Fonts and sizes of all runs of paragraphs after the fixers of both."""
+    return _fixed_runs(spark, d, ["T.01", "T.02"]).select("doc_id", "block_id", "r.run_ord", "r.font", "r.size_pt")
+
+
+def fix_spaces(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of all runs of paragraphs after the fixers of blanks, dashes, quotation marks and initials."""
+    return _fixed_runs(spark, d, ["T.08", "T.09", "T.10", "T.11", "T.13"]).where("r.kind = 'text'").select("doc_id", "block_id", "r.run_ord", "r.text")
+
+
+def fix_units(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of all runs of paragraphs after the fixers of numbers and their units."""
+    return _fixed_runs(spark, d, ["T.12", "U.01", "U.02"]).where("r.kind = 'text'").select("doc_id", "block_id", "r.run_ord", "r.text")
+
+
+def fix_numbering(spark: SparkSession, d: str) -> DataFrame:
+    """Headings after their fixers: numbered in order, without full stops at the end."""
+    c, _ = fix(from_tables(spark, d), codes=["H.03", "H.04", "H.08"])
+    return c.secs.select("doc_id", "sec_id", text_of("heading").alias("heading"))
+
+
 def scan_lines(spark: SparkSession, d: str) -> DataFrame:
     """Non-empty lines of the document texts, in place."""
     t = table(spark, d, "documents")
@@ -185,7 +216,7 @@ def window_counts(spark: SparkSession, d: str) -> DataFrame:
 
 _ALL = (
     document_stats, section_stats, entry_types, severity_pivot, category_rollup, top_codes, severity_pivot_all, category_rollup_all, top_codes_all, violation_diff, suppress_disabled, profile_values, history_recent,
-    history_by_profile, states_retained, states_changed, history_delete, find_replace_counts, bib_classify, bib_fields, autofill_sources, fix_log, fix_spacing,
+    history_by_profile, states_retained, states_changed, history_delete, find_replace_counts, bib_classify, bib_fields, autofill_sources, fix_log, fix_spacing, fix_fonts, fix_spaces, fix_units, fix_numbering,
     scan_lines, import_markdown, import_states, export_markdown, export_html, stream_check, window_counts,
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -272,3 +303,87 @@ _SEVERITIES = "select doc_id, count(*) filter (severity = 'error') as errors, co
 _ROLLUP = "select doc_id, category, count(*) as violations, grouping(doc_id) * 2 + grouping(category) as level from (select doc_id, split_part(check_code, '.', 1) as category from v) c group by rollup (doc_id, category)"
 _TOP = "select check_code, count(*) as violations from v group by check_code order by violations desc, check_code limit 5"
 SQL |= {f"{name}_all": f"with v as ({RULE_SQL['rule_union']}) {tail}" for name, tail in (("severity_pivot", _SEVERITIES), ("category_rollup", _ROLLUP), ("top_codes", _TOP))}
+
+
+def _esc(x: str) -> str:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
+def _export_sql(bold: str, italic: str, both: str, formula: str, html: bool, tail: str) -> str:
+    """The elements of each document in order, as (doc_id, sec_ord, o, id, x), and what is made of them.
+
+    The tables hold no lists and no cells, so these are not restated.
+    """
+    safe = _esc if html else (lambda x: x)
+    put = lambda form, x: " || ".join(("'" + part + "'") for part in form.split("%s")).replace(" || ", f" || {x} || ", 1)
+    t = safe("coalesce(text, '')")
+    cited = safe("'[' || coalesce(source_id, '') || case when coalesce(pages, '') <> '' then ', с. ' || pages else '' end || ']'")
+    referred = safe("coalesce(prefix, '') || '[→' || coalesce(target_id, '') || ']'")
+    other = f"case when kind = 'formula' then {put(formula, t)} when kind = 'citation' then {cited} when kind = 'xref' then {referred}"
+    styled = f"{other} when {t} = '' then '' when bold and italic then {put(both, t)} when bold then {put(bold, t)} when italic then {put(italic, t)} else {t} end"
+    plain = f"{other} else {t} end"
+    shown = "trim(regexp_replace({0}, '[\\s\\p{{Z}}]+', ' ', 'g')) <> ''"
+    latex = safe("coalesce(latex, '')")
+    if html:
+        block = f"""case block_type when 'paragraph' then case when {shown.format('s')} then '<p>' || s || '</p>' end when 'table' then '<table>' || case when s <> '' then '<caption>' || s || '</caption>' else '' end || '</table>'
+when 'figure' then '<figure>' || case when s <> '' then '<figcaption>' || s || '</figcaption>' else '' end || '</figure>' when 'formula' then '<div class="formula">$$ ' || {latex} || ' $$</div>' when 'toc' then '<nav class="toc">' || s || '</nav>' else case when {shown.format('s')} then '<div>' || s || '</div>' end end"""
+        head = f"'<h' || least(lvl, 6) || '>' || {_esc('txt')} || '</h' || least(lvl, 6) || '>'"
+        entry, before, after = f"'<li>' || {_esc('src')} || '</li>'", "'<ol class=\"bibliography\">' || chr(10) || ", " || chr(10) || '</ol>'"
+    else:
+        block = f"case block_type when 'figure' then '![' || p || ']()' when 'formula' then '$$' || {latex} || '$$' when 'table' then case when p <> '' then '**' || p || '**' else '' end else s end"
+        head, entry, before, after = "repeat('#', least(lvl, 6)) || ' ' || txt", "nth || '. ' || src", "", ""
+    return f"""{_CURRENT}, r as (select distinct doc_id, block_id, run_id, run_ord, kind, text, bold, italic, target_id, prefix, source_id, pages from runs where block_id is not null),
+line as (select doc_id, block_id, string_agg({styled}, '' order by run_ord nulls first, run_id) as s, string_agg({plain}, '' order by run_ord nulls first, run_id) as p from r group by all),
+b as (select bt.doc_id, container_id, block_ord, block_id, block_type, latex, coalesce(s, '') as s, coalesce(p, '') as p from bt left join line using (doc_id, block_id)),
+src as (select doc_id, ordinal, entry_id, coalesce(case when {shown.format("coalesce(entry_fields['raw'], '')")} then entry_fields['raw'] end, array_to_string(map_values(map_from_entries(list_filter(map_entries(entry_fields), lambda e: e.key <> 'raw'))), '. '), '') as src from bib),
+num as (select *, row_number() over (partition by doc_id order by ordinal, entry_id, src) as nth from src),
+lst as (select doc_id, {before}string_agg({entry}, chr(10) order by nth){after} as x from num group by doc_id),
+place as (select doc_id, min(sec_ord) as sec_ord from sec where lower(trim(regexp_replace(txt, '[\\s\\p{{Z}}]+', ' ', 'g'))) in ('список использованных источников', 'список литературы', 'библиографический список', 'список источников') group by doc_id),
+e as (select doc_id, sec_ord, -1 as o, sec_id as id, {head} as x from sec
+ union all select b.doc_id, coalesce(sec.sec_ord, 0), block_ord, block_id, {block} from b left join sec on sec.doc_id = b.doc_id and sec.sec_id = b.container_id
+ union all select lst.doc_id, coalesce(place.sec_ord, 2147483647), 2147483647, '', x from lst left join place using (doc_id)),
+y as (select * from e where x is not null) {tail}"""
+
+
+SQL["export_html"] = _export_sql("<strong>%s</strong>", "<em>%s</em>", "<strong><em>%s</em></strong>", "\\(%s\\)", True, "select doc_id, string_agg(x, chr(10) order by sec_ord, o, id, x) as html from y group by doc_id")
+SQL["export_markdown"] = _export_sql(
+    "**%s**", "*%s*", "***%s***", "$%s$", False,
+    ", z as (select *, unnest(string_split(x, chr(10))) as line, generate_subscripts(string_split(x, chr(10)), 1) as part from y) select doc_id, cast(row_number() over (partition by doc_id order by sec_ord, o, id, x, part) as int) as line_no, line from z",
+)
+
+# Fixers restated. A number joins its unit, and initials the name, by a blank that does not break.
+_KIND = "case when lower(coalesce(style_name, '')) like 'caption%' or lower(coalesce(style_name, '')) like 'название%' then 'caption' when lower(style_name) = 'footnote text' then 'footnote' when lower(style_name) in ('header', 'footer') then 'header_footer' when lower(coalesce(style_name, '')) like 'heading%' or lower(style_name) in ('title', 'subtitle') then 'heading' else 'body' end"
+_PAR_RUNS = f"""{_CURRENT}, r as (select distinct doc_id, block_id, run_id, run_ord, kind, text, font, size_pt from runs where block_id is not null),
+pr as (select r.*, {_KIND} as fcat from r join par using (doc_id, block_id))"""
+_UNITS = "|".join(re.escape(u) for u in RULE_VALUES.TEXT_UNITS)
+_SI = "|".join(re.escape(u) for u in sorted(RULE_VALUES.SI_UNITS, key=len, reverse=True))
+_STRUCTURAL = ", ".join(f"'{x}'" for x in RULE_VALUES.STRUCTURAL)
+_BARE = "regexp_replace({0}, '(?i)^(?:(?:глава|раздел|часть)\\s+)?\\d+(?:\\.\\d+)*\\.?\\s+', '')"
+SQL |= {
+    "fix_fonts": f"""{_PAR_RUNS} select doc_id, block_id, run_ord, case when kind = 'text' and trim(text) <> '' and fcat <> 'header_footer' and font <> 'Times New Roman' then 'Times New Roman' else font end as font,
+case when kind = 'text' and trim(text) <> '' and abs(size_pt - case fcat when 'body' then 14 when 'caption' then 12 when 'footnote' then 10 end) > 0.1 then case fcat when 'body' then 14 when 'caption' then 12 when 'footnote' then 10 end else size_pt end as size_pt from pr""",
+    "fix_spaces": f"""{_PAR_RUNS}, a as (select * replace (case when fcat <> 'header_footer' then regexp_replace(text, '  +', ' ', 'g') else text end as text) from pr where kind = 'text'),
+b as (select *, row_number() over (partition by doc_id, block_id, coalesce(text, '') <> '' order by run_ord desc nulls last, run_id desc) as back, count(*) filter (coalesce(text, '') <> '') over (partition by doc_id, block_id) as shown from a),
+c as (select * replace (case when back = 1 and coalesce(text, '') <> '' and fcat <> 'header_footer' then regexp_replace(text, '[\\s\\p{{Z}}]+$', '') else text end as text) from b),
+t as (select *, count(*) filter (coalesce(text, '') <> '') over w as visible_, sum(length(text) - length(replace(text, '"', ''))) over w as marks from c window w as (partition by doc_id, block_id)),
+q as (select * replace (case when visible_ = 1 and marks % 2 = 0 then regexp_replace(text, '"([^"]*)"', '«\\1»', 'g') else text end as text) from t),
+h as (select * replace (case when visible_ = 1 then replace(text, ' - ', ' — ') else text end as text) from q)
+select doc_id, block_id, run_ord, regexp_replace(text, '([А-ЯЁ]\\.) ([А-ЯЁ]\\.) ([А-ЯЁ][а-яё]+)', '\\1' || chr(160) || '\\2' || chr(160) || '\\3', 'g') as text from h""",
+    "fix_units": f"""{_PAR_RUNS}, a as (select *, regexp_replace(text, '(\\d+(?:[.,]\\d+)?) ({_UNITS})([^\\p{{L}}\\p{{N}}_]|$)', '\\1' || chr(160) || '\\2\\3', 'g') as x from pr where kind = 'text'),
+b as (select *, regexp_replace(x, '(\\d+) ({_SI})([\\s.,;:!?)\\]/\\-]|$)', '\\1' || chr(160) || '\\2\\3', 'g') as y from a)
+select doc_id, block_id, run_ord, regexp_replace(y, '(\\d+)[.,]({_SI})([\\s.,;:!?)\\]/\\-]|$)', '\\1' || chr(160) || '\\2\\3', 'g') as text from b""",
+    "fix_numbering": f"""{_CURRENT}, a as (select *, regexp_replace(txt, '^(\\d+(?:\\.\\d+)*)\\.(\\s)', '\\1\\2') as t1 from sec),
+b as (select *, {_BARE.format('t1')} as bare from a), c as (select *, regexp_replace(lower(trim(regexp_replace(bare, '[\\s\\p{{Z}}]+', ' ', 'g'))), '\\.+$', '') as n from b),
+d as (select *, n in ({_STRUCTURAL}) or starts_with(n, 'приложение') as st from c), k as (select *, row_number() over (partition by doc_id, parent_id, st order by sec_ord, sec_id) as rank from d),
+u as (select doc_id, sec_id, unnest(p) as up, generate_subscripts(p, 1) as i from (select doc_id, sec_id, case when len(coalesce(sec_path, [])) > 0 then sec_path else [sec_id] end as p from d)),
+m as (select u.doc_id, u.sec_id, string_agg(cast(k.rank as varchar), '.' order by u.i) as num, bool_or(case when u.up <> u.sec_id then k.st else false end) as inside from u join k on k.doc_id = u.doc_id and k.sec_id = u.up group by all),
+o as (select d.*, case when m.num is null or m.inside or trim(bare) = '' or len(coalesce(heading, [])) = 0 then t1 when st then bare else num || ' ' || bare end as t2 from d left join m using (doc_id, sec_id))
+select doc_id, sec_id, regexp_replace(t2, '(\\.\\.\\.|\\.|…)([\\s\\p{{Z}}]*)$', '\\2') as heading from o""",
+    "import_markdown": """with l as (select doc_id, line, i, case when trim(regexp_replace(line, '[\\s\\p{Z}]+', ' ', 'g')) = '' then 'blank' when regexp_matches(line, '^#{1,6}\\s') then 'heading' when regexp_matches(line, '^\\s*[-*+]\\s') then 'bullet' when regexp_matches(line, '^\\s*\\d{1,3}[.)]\\s') then 'number'
+when regexp_matches(line, '^\\s*\\|.*\\|\\s*$') then 'table' when regexp_matches(line, '^\\s*\\$\\$') then 'formula' when regexp_matches(line, '^\\s*!\\[[^\\]]*\\]\\([^)]*\\)') then 'image' else 'text' end as kind
+from (select doc_id, unnest(s) as line, generate_subscripts(s, 1) as i from (select doc_id, string_split(text, chr(10)) as s from documents where text is not null))),
+g as (select *, case when kind = lag(kind) over (partition by doc_id order by i) then 0 else 1 end as new from l)
+select doc_id, case kind when 'bullet' then 'list' when 'number' then 'list' when 'image' then 'figure' when 'text' then 'paragraph' else kind end as block_type, cast(sum(new) as bigint) as blocks from g where kind not in ('heading', 'blank') group by 1, 2""",
+}
