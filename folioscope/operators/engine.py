@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import partial, reduce
@@ -126,21 +126,36 @@ def validate(c: Corpus, profile: Profile | None = None, codes: list[str] | None
     return _settled(reduce(DataFrame.unionByName, frames), c, profile, suppress)
 
 
-def validate_in_parts(c: Corpus, profile: Profile | None = None, suppress: bool = True, at_once: int = 8) -> DataFrame:
+def validate_in_parts(c: Corpus, profile: Profile | None = None, suppress: bool = True, at_once: int | None = None) -> DataFrame:
     """What validate finds with all enabled rules, each relation and each corpus rule as a job of its own, written once.
 
-    *at_once* jobs are planned and run beside each other, which keeps plans small and the cluster busy. *c* should be
-    written (Corpus.written), so that the parts share what is derived.
+    *at_once* jobs are planned and run beside each other, which keeps plans small and the cluster busy; by default one for
+    each quarter of a gigabyte of the driver's heap, at most eight. *c* should be written (Corpus.written), so that the
+    parts share what is derived.
     """
     profile = profile or Profile()
     parts = _parts(c, profile, None)
     if not parts:
         return validate(c, profile, ["none"], suppress)
+    if at_once is None:
+        heap = c.docs.sparkSession.sparkContext._jvm.java.lang.Runtime.getRuntime().maxMemory()  # noqa: SLF001
+        at_once = max(1, min(8, heap >> 28))
     with ThreadPoolExecutor(at_once) as pool:
         found = list(pool.map(lambda make: materialize(make(), "found"), parts))
     return _settled(reduce(DataFrame.unionByName, found), c, profile, suppress)
 
 
+def validate_iter(c: Corpus, profile: Profile | None = None) -> Iterator[tuple[list[str], DataFrame]]:
+    """The codes and the findings of one part of the rules after the other, each written as it is reached, to report progress.
+
+    What sections disable is left out; together the parts are what validate finds.
+    """
+    profile = profile or Profile()
+    for make in _parts(c, profile, None):
+        codes = [r.code for r in make.args[2]] if make.func is _scan_of else [make.args[1].code]
+        yield codes, _settled(materialize(make(), "found"), c, profile, suppress=True)
+
+
 def _parts(c: Corpus, profile: Profile, codes: list[str] | None) -> list[Callable[[], DataFrame]]:
     """What makes the findings (COLUMNS) of each relation's local rules and of each corpus rule."""
     codes = [x for x in (codes or runnable(profile)) if x in RULES]

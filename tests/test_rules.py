@@ -223,6 +223,18 @@ def test_style_units_volume(spark):
     assert found(c, "X.05", terms={"Подход": ["метод", "нет"]}) == [("document", "Подход: метод")]
 
 
+def test_parts_are_the_whole(spark, monkeypatch):
+    from folioscope.operators import engine
+
+    monkeypatch.setattr(engine, "RULES", {k: engine.RULES[k] for k in ("T.03", "T.05", "S.02", "R.11", "B.02")})
+    c = corpus(spark, secs=[sec(1, "Введение", disabled_checks=["T.03"]), sec(2, "Реферат")], blocks=[par(1, "x", line_spacing=1.0, alignment="left")]).written()
+    key = lambda df: sorted(map(tuple, df.collect()))
+    parts = list(engine.validate_iter(c))
+    assert sorted(x for codes, _ in parts for x in codes) == ["R.11", "S.02", "T.03", "T.05"]
+    assert sorted(r for _, f in parts for r in map(tuple, f.collect())) == key(validate(c)) == key(engine.validate_in_parts(c, at_once=2)) == key(engine.validate_in_parts(c))
+    assert {r["check_code"] for r in validate(c).collect()} == {"T.05", "S.02", "R.11"}
+
+
 def test_suppression_severity_and_plugins(spark):
     c = corpus(spark, secs=[sec(1, "Введение", disabled_checks=["T.03"]), sec(2, "под", 2, parent="s1"), sec(10, "Другое", disabled_checks=["*"])],
                blocks=[par(1, "x", line_spacing=1.0, alignment="left", container_id="s2"), par(2, "x", line_spacing=1.0, container_id="s10"), par(3, "x", line_spacing=1.0, container_id="s3")])
