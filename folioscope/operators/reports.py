@@ -91,6 +91,35 @@ def top_codes(v: DataFrame, k: int = 5) -> DataFrame:
     return v.groupBy("check_code").agg(F.count("*").alias("violations")).orderBy(F.desc("violations"), "check_code").limit(k)
 
 
+def placed(v: DataFrame, c: Corpus) -> DataFrame:
+    """*v* with top, the top-level section each violation lies in, and top_no, its number in the document from 0; null where none is told.
+
+    The place is read from the location: a section by its id, a block by the section that holds it.
+    """
+    kind, key = (F.regexp_extract("location", r"^([^\[]*)\[(.*)\]$", k) for k in (1, 2))
+    heads = c.relation("heads")
+    top = F.coalesce(F.try_element_at("path", F.lit(1)), "sec_id")
+    secs = heads.select("doc_id", F.col("sec_id").alias("sec"), top.alias("top"))
+    order = heads.where("level = 1").select("doc_id", F.col("sec_id").alias("top"), (F.row_number().over(Window.partitionBy("doc_id").orderBy("sec_ord", "sec_id")) - 1).alias("top_no"))
+    blocks = c.relation("blocks").select("doc_id", F.col("block_id").alias("key"), F.col("container_id").alias("holds"))
+    out = v.withColumns({"kind": kind, "key": key}).join(blocks, ["doc_id", "key"], "left").withColumn("sec", F.when(F.col("kind") == "section", F.col("key")).when(F.col("kind") != "bibliography", F.col("holds")))
+    return out.join(secs, ["doc_id", "sec"], "left").join(order, ["doc_id", "top"], "left").select(*v.columns, "top", "top_no")
+
+
+def markdown_report(v: DataFrame) -> DataFrame:
+    """(doc_id, line_no, line): the violations of each document as Markdown, a table per category; documents without have no lines."""
+    safe = lambda x: F.replace(F.coalesce(x, F.lit("")), F.lit("|"), F.lit("\\|"))
+    rows = v.select("doc_id", category().alias("c"), F.lit(1).alias("part"), "check_code", "location", "detail", F.concat(F.lit("| "), F.array_join(F.array("check_code", "severity", safe(F.col("location")), safe(F.col("detail"))), " | "), F.lit(" |")).alias("line"))
+    head = F.concat(F.lit("### "), F.col("c"), F.lit("\n\n| code | severity | location | detail |\n| --- | --- | --- | --- |"))
+    groups = rows.select("doc_id", "c").distinct()
+    none = F.lit(None).cast("string")
+    heads = groups.select("doc_id", "c", F.explode(F.array(F.struct(F.lit(0).alias("part"), head.alias("line")), F.struct(F.lit(2).alias("part"), F.lit("").alias("line")))).alias("x")).select("doc_id", "c", "x.part", none.alias("check_code"), none.alias("location"), none.alias("detail"), "x.line")
+    titles = groups.select("doc_id").distinct().select("doc_id", F.lit("").alias("c"), F.lit(0).alias("part"), none.alias("check_code"), none.alias("location"), none.alias("detail"), F.concat(F.lit("## "), F.col("doc_id").cast("string"), F.lit("\n")).alias("line"))
+    every = rows.unionByName(heads).unionByName(titles).select("*", F.posexplode(F.split("line", "\n", -1)).alias("k", "text"))
+    w = Window.partitionBy("doc_id").orderBy("c", "part", "check_code", "location", "detail", "k")
+    return every.select("doc_id", F.row_number().over(w).alias("line_no"), F.col("text").alias("line"))
+
+
 def filtered(v: DataFrame, severities: list[str] | None = None, categories: list[str] | None = None) -> DataFrame:
     """Violations of the given severities and categories; an empty choice means all."""
     if severities:

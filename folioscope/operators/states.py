@@ -148,3 +148,34 @@ def versions_diff(flat: Flat, order: DataFrame, key: str = "state_id") -> DataFr
     both = then.join(now, ["doc_id", key, "heading"], "full_outer")
     change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "modified")
     return both.select("doc_id", key, "heading", change.alias("change")).where("change is not null")
+
+
+def in_order(path: str = "node_path") -> Column:
+    """Sorts elements as they are read: blocks of a section before its subsections, each by its place."""
+    return F.transform(F.split(path, "/"), lambda x: F.struct(F.substring(x, 1, 1).alias("l"), F.substring(x, 2, 9).cast("int").alias("n")))
+
+
+# Kinds of elements a reference can name, with the prefix of their ids, their label and the text shown without one.
+TARGETS = {"figure": ("fig", "Рисунок", "(без подписи)"), "table": ("tbl", "Таблица", "(без подписи)"), "formula": ("formula", "Формула", "(пусто)")}
+
+
+def reference_targets(flat: Flat, key: str = "state_id") -> DataFrame:
+    """(key, node_path, target_id, label): what a reference of each state can name: figures, tables and numbered formulas, counted by kind.
+
+    Sources are left aside. Long formulas are cut to 30 characters in the label.
+    """
+    sources = flat["section"].where("is_bibliography and parent_path = ''").select(key, F.col("node_path").alias("top"))
+    b = flat["block"].where(F.col("kind").isin("figure", "table") | ((F.col("kind") == "formula") & F.coalesce("numbered", F.lit(True))))
+    b = b.withColumn("top", _top()).join(sources, [key, "top"], "left_anti").withColumn("n", F.row_number().over(Window.partitionBy(key, "kind").orderBy(in_order())))
+    names = [F.create_map(*[F.lit(x) for k, v in TARGETS.items() for x in (k, v[j])])[F.col("kind")] for j in range(3)]
+    short = F.when(F.length("latex") > 30, F.concat(F.substring("latex", 1, 30), F.lit("…"))).otherwise(F.col("latex"))
+    shown = F.coalesce(F.nullif(F.when(F.col("kind") == "formula", short).otherwise(F.col("caption")), F.lit("")), names[2])
+    return b.select(key, "node_path", F.concat(names[0], F.lit("-"), "n").alias("target_id"), F.concat(names[1], F.lit(" "), "n", F.lit(": "), shown).alias("label"))
+
+
+def citation_options(flat: Flat, key: str = "state_id") -> DataFrame:
+    """(key, source_id, label): the sources a citation can name, by their place in the first section of sources; long ones cut to 57 characters."""
+    first = flat["section"].where("is_bibliography and parent_path = ''").groupBy(key).agg(F.min_by("references", "place").alias("r"))
+    s = first.select(key, F.posexplode("r").alias("i", "s")).where(~blank("s")).withColumn("s", F.regexp_replace("s", r"(?U)^\s+|\s+$", ""))
+    short = F.when(F.length("s") > 60, F.concat(F.substring("s", 1, 57), F.lit("…"))).otherwise(F.col("s"))
+    return s.select(key, F.concat(F.lit("bib-"), F.col("i") + 1).alias("source_id"), F.concat(F.lit("["), F.col("i") + 1, F.lit("] "), short).alias("label"))

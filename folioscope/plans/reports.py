@@ -83,6 +83,17 @@ def violation_diff(spark: SparkSession, d: str) -> DataFrame:
     return R.violation_diff(_layout(c), _layout(c, 1.15))
 
 
+def violations_by_section(spark: SparkSession, d: str) -> DataFrame:
+    """Layout violations counted per top-level section and its number in the document."""
+    c = from_tables(spark, d)
+    return R.placed(_layout(c), c).groupBy("doc_id", F.col("top").alias("sec_id"), "top_no").agg(F.count("*").alias("violations"))
+
+
+def report_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """Layout violations of every document as lines of Markdown."""
+    return R.markdown_report(_violations(spark, d))
+
+
 def suppress_disabled(spark: SparkSession, d: str) -> DataFrame:
     """Layout violations left after sections switched checks off."""
     return validate(from_tables(spark, d), Profile(params={"T.01": {"font": "Serif One"}}), codes=_LAYOUT)
@@ -215,7 +226,7 @@ def window_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL = (
-    document_stats, section_stats, entry_types, severity_pivot, category_rollup, top_codes, severity_pivot_all, category_rollup_all, top_codes_all, violation_diff, suppress_disabled, profile_values, history_recent,
+    document_stats, section_stats, entry_types, severity_pivot, category_rollup, top_codes, severity_pivot_all, category_rollup_all, top_codes_all, violation_diff, violations_by_section, report_markdown, suppress_disabled, profile_values, history_recent,
     history_by_profile, states_retained, states_changed, history_delete, find_replace_counts, bib_classify, bib_fields, autofill_sources, fix_log, fix_spacing, fix_fonts, fix_spaces, fix_units, fix_numbering,
     scan_lines, import_markdown, import_states, export_markdown, export_html, stream_check, window_counts,
 )
@@ -387,3 +398,13 @@ from (select doc_id, unnest(s) as line, generate_subscripts(s, 1) as i from (sel
 g as (select *, case when kind = lag(kind) over (partition by doc_id order by i) then 0 else 1 end as new from l)
 select doc_id, case kind when 'bullet' then 'list' when 'number' then 'list' when 'image' then 'figure' when 'text' then 'paragraph' else kind end as block_type, cast(sum(new) as bigint) as blocks from g where kind not in ('heading', 'blank') group by 1, 2""",
 }
+SQL |= {
+    "violations_by_section": f"""{_V}, p as (select v.doc_id, coalesce(sec_path[1], sec_id) as top from v left join sec on sec.doc_id = v.doc_id and sec.sec_id = v.sec),
+o as (select doc_id, sec_id as top, row_number() over (partition by doc_id order by sec_ord, sec_id) - 1 as top_no from sec where lvl = 1)
+select p.doc_id, p.top as sec_id, cast(o.top_no as int) as top_no, count(*) as violations from p left join o on o.doc_id = p.doc_id and o.top = p.top group by all""",
+    "report_markdown": f"""{_V}, r as (select doc_id, split_part(check_code, '.', 1) as c, 1 as part, check_code, location, detail, '| ' || check_code || ' | ' || severity || ' | ' || replace(location, '|', chr(92) || '|') || ' | ' || replace(coalesce(detail, ''), '|', chr(92) || '|') || ' |' as line from v),
+g as (select distinct doc_id, c from r), e as (select * from r union all select doc_id, c, 0, null, null, null, '### ' || c || chr(10) || chr(10) || '| code | severity | location | detail |' || chr(10) || '| --- | --- | --- | --- |' from g
+union all select doc_id, c, 2, null, null, null, '' from g union all select distinct doc_id, '', 0, null, null, null, '## ' || doc_id || chr(10) from g),
+x as (select *, unnest(string_split(line, chr(10))) as text, generate_subscripts(string_split(line, chr(10)), 1) as k from e)
+select doc_id, cast(row_number() over (partition by doc_id order by c, part, check_code nulls first, location nulls first, detail nulls first, k) as int) as line_no, text as line from x""",
+}

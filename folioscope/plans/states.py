@@ -58,6 +58,16 @@ def states_header_merges(spark: SparkSession, d: str) -> DataFrame:
     return b.select("state_id", "node_path", F.inline(S.header_merges(F.col("headers"))))
 
 
+def states_reference_targets(spark: SparkSession, d: str) -> DataFrame:
+    """What references of every state can name."""
+    return S.reference_targets(flat_states(spark, d))
+
+
+def states_citation_options(spark: SparkSession, d: str) -> DataFrame:
+    """What citations of every state can name."""
+    return S.citation_options(flat_states(spark, d))
+
+
 def states_diff(spark: SparkSession, d: str) -> DataFrame:
     """How the top sections of every version of a document differ from the version before."""
     order = table(spark, d, "builder_states").select("state_id", "doc_id", "saved_at").distinct()
@@ -76,7 +86,7 @@ def _state_rule(code: str) -> Callable[[SparkSession, str], DataFrame]:
 
 QUERIES = {
     f.__name__: f
-    for f in (states_progress, states_readiness, states_search, states_replace_counts, states_title_case, states_captions, states_empty_paragraphs, states_header_merges, states_diff, *map(_state_rule, ("B.01", "B.10", "M.02", "M.04", "T.07")))
+    for f in (states_progress, states_readiness, states_search, states_replace_counts, states_title_case, states_captions, states_empty_paragraphs, states_header_merges, states_reference_targets, states_citation_options, states_diff, *map(_state_rule, ("B.01", "B.10", "M.02", "M.04", "T.07")))
 }
 
 _NODES = _P5[: _P5.rindex("select state_id, path as node_path")].rstrip() + r""",
@@ -138,4 +148,12 @@ select state_id, 'warning' as severity, 'formula[' || path || ']' as location, c
 select state_id, 'warning' as severity, 'formula[' || path || ']' as location, cast(cast(num as bigint) as varchar) as detail from g where num is not null and not exists (select 1 from said where said.state_id = g.state_id and try_cast(said.n as int) = g.num)""",
     "states_rule_t07": f"""{_BLOCKS}, e as (select *, not {_SHOWN} as hollow, row_number() over (partition by state_id, parent order by o) - row_number() over (partition by state_id, parent, {_SHOWN} order by o) as i from g where kind = 'paragraph')
 select state_id, 'warning' as severity, 'paragraph[' || arg_min(path, o) || ']' as location, cast(count(*) as varchar) as detail from e where hollow group by state_id, parent, i having count(*) > 1""",
+    "states_reference_targets": f"""{_BLOCKS}, s as (select state_id, path from sec where is_bib and parent = ''),
+t as (select g.*, row_number() over (partition by g.state_id, kind order by o) as n from g where (kind in ('figure', 'table') or (kind = 'formula' and coalesce(try_cast(v ->> 'numbered' as boolean), true)))
+ and not exists (select 1 from s where s.state_id = g.state_id and s.path = split_part(g.path, '/', 1)))
+select state_id, path as node_path, case kind when 'figure' then 'fig-' when 'table' then 'tbl-' else 'formula-' end || n as target_id, case kind when 'figure' then 'Рисунок ' when 'table' then 'Таблица ' else 'Формула ' end || n || ': ' ||
+case when kind = 'formula' then coalesce(nullif(case when length(v ->> 'latex') > 30 then left(v ->> 'latex', 30) || '…' else v ->> 'latex' end, ''), '(пусто)') else coalesce(nullif(v ->> 'caption', ''), '(без подписи)') end as label from t""",
+    "states_citation_options": f"""{_NODES}, b as (select state_id, arg_min(refs, cast(path[2:] as int)) as r from sec where is_bib and parent = '' group by state_id),
+i as (select state_id, regexp_replace(unnest(r), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') as s, generate_subscripts(r, 1) as i from b)
+select state_id, 'bib-' || i as source_id, '[' || i || '] ' || case when length(s) > 60 then left(s, 57) || '…' else s end as label from i where s <> ''""",
 }

@@ -36,6 +36,17 @@ def test_reports_and_diff(spark):
     assert {(r["check_code"], r["status"]) for r in d} == {("T.01", "changed"), ("T.02", "removed"), ("S.01", "added")}
 
 
+def test_violations_in_their_place(spark):
+    c = corpus(spark, docs=(1, 2), secs=[sec(1, "A"), sec(2, "B"), sec(3, "C", 2, parent="s2")], blocks=[par(1, "x", container_id="s3"), par(2, "y", container_id=None)])
+    v = spark.createDataFrame([(1, "T.01", "error", "paragraph[p-1]", "a|b"), (1, "T.01", "error", "paragraph[p-2]", None), (1, "S.01", "error", "document", "x"), (1, "H.05", "info", "section[s3]", ""), (1, "R.04", "error", "bibliography[p-1]", "q")], V)
+    got = {r["location"]: (r["top"], r["top_no"]) for r in R.placed(v, c).collect()}
+    assert got == {"paragraph[p-1]": ("s2", 1), "paragraph[p-2]": (None, None), "document": (None, None), "section[s3]": ("s2", 1), "bibliography[p-1]": (None, None)}
+    lines = [r["line"] for r in R.markdown_report(v.where("check_code in ('T.01', 'H.05')")).orderBy("line_no").collect()]
+    head = ["", "| code | severity | location | detail |", "| --- | --- | --- | --- |"]
+    assert lines == ["## 1", "", "### H", *head, "| H.05 | info | section[s3] |  |", "", "### T", *head, "| T.01 | error | paragraph[p-1] | a\\|b |", "| T.01 | error | paragraph[p-2] |  |", ""]
+    assert R.markdown_report(v.where("false")).count() == 0 and R.placed(v.where("false"), c).count() == 0
+
+
 def test_inheritance_and_history(spark, tmp_path):
     p = spark.createDataFrame([("a", None, "A", "1"), ("b", "a", None, "2"), ("c", "b", None, None), ("x", "y", None, "9"), ("y", "x", "Y", None), ("z", "gone", None, None)], "id string, up string, name string, version string")
     got = {r["id"]: (r["name"], r["version"]) for r in R.inherited(p, "id", "up", ["name", "version"]).collect()}

@@ -56,6 +56,17 @@ def test_rewrites(spark):
     assert [None if r[0] is None else [tuple(x) for x in r[0]] for r in df.select(S.header_merges(F.col("h"))).collect()] == [[(1, 3)], [], [], None, []]
 
 
+def test_what_references_can_name(spark):
+    state = {"sections": [
+        sec("A", {"kind": "formula", "latex": "x" * 31}, {"kind": "formula", "latex": "y", "numbered": False}, subs=[sec("B", {"kind": "figure"}, {"kind": "table", "caption": "T"})]),
+        sec("C", {"kind": "figure", "caption": "F"}, {"kind": "formula"}), sec("S", {"kind": "table"}, is_bibliography=True, references=["a", " ", "b" * 61]), sec("S2", is_bibliography=True, references=["z"]),
+    ]}
+    f = flat(spark, state, {"sections": []})
+    got = {r["target_id"]: (r["node_path"], r["label"]) for r in S.reference_targets(f).collect()}
+    assert got == {"formula-1": ("s0/b0", "Формула 1: " + "x" * 30 + "…"), "fig-1": ("s0/s0/b0", "Рисунок 1: (без подписи)"), "tbl-1": ("s0/s0/b1", "Таблица 1: T"), "fig-2": ("s1/b0", "Рисунок 2: F"), "formula-2": ("s1/b1", "Формула 2: (пусто)")}
+    assert {(r["source_id"], r["label"]) for r in S.citation_options(f).collect()} == {("bib-1", "[1] a"), ("bib-3", "[3] " + "b" * 57 + "…")}
+
+
 def test_versions(spark):
     b = {"sections": [sec("введение и цель", par("Раз два")), A["sections"][1], sec("Новое"), sec("", par("a")), sec("", par("b"))]}
     c = json.loads(json.dumps(b))
